@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules, secrets, sharding
+from . import huffman, packing, pii, quality_rules, secrets, sharding
 from .common import count_kind, documents, span_text, text_of
+from .tokens import tokenizer_path
 
 
 def base_digest(spans, kinds):
@@ -24,6 +25,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer_path()))
+
+
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     text = text_of(docs)
@@ -32,6 +37,10 @@ def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.read_back(huffman.encode_corpus(documents(spark, sf_dir), tokenizer_path()))
+
+
 def op9_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(
@@ -51,7 +60,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_histogram_shards": op7_histogram_shards,
+    "op8_token_files": op8_token_files,
     "op9_pii_scan": op9_pii_scan,
     "op10_quality_rules": op10_quality_rules,
 }
