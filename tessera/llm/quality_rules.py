@@ -8,36 +8,42 @@ other columns pass through (columns of the same names as results are replaced).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_CLASS, SEPARATORS, let, text_of
-
-WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-#: A line of prose ends like this (closing quotes and brackets may follow).
-LINE_END = "[.!?:;…。！？][\"'”’»)\\]]*[\\x20\\x09-\\x0D]*$"
-#: Three separators between short items, or a line that is nothing but a site's own words.
-NAVIGATION = (
-    r"(?:\S[^|»›]{0,40}[|»›]){3}"
-    r"|(?i:^\W*(?:home|menu|next|previous|back|log ?in|log ?out|sign ?(?:in|up)|search|share|read more|click here|contact(?: us)?|about(?: us)?|skip to content)\W*$)"
-)
+from .common import SEPARATOR_CLASS, let, text_of
+
+SYMBOLS = "[#*$%&|<>]"
+#: A line of prose ends like this; closing quotes, brackets and space may follow.
+LINE_END = "[.!?:;…。！？][\"'”’»)\\]\\x20\\x09-\\x0D]*$"
+WORDED = r"[^\x20\x09-\x0D]"
+#: Three of these make a line navigation; so does a short line of nothing but a site's own words.
+NAVIGATION_MARKS = "^(?:[^|»›]*+[|»›]){3}"
+NAVIGATION_LINE = r"^\W*(?:home|menu|next|previous|back|log ?in|log ?out|sign ?(?:in|up)|search|share|read more|click here|contact(?: us)?|about(?: us)?|skip to content)\W*$"
+NAVIGATION_LENGTH = 40
 BOILERPLATE = (
-    r"(?i:all rights reserved|\bcopyright\b|\(c\) ?\d{4}|licen[sc]ed under|terms of (?:use|service)|privacy policy"
-    r"|\bcookies?\b|javascript|lorem ipsum|subscribe to|newsletter|powered by)"
-)
+    "all rights reserved", "copyright", "licensed under", "licenced under", "terms of use", "terms of service", "privacy policy",
+    "cookie", "javascript", "lorem ipsum", "subscribe to", "newsletter", "powered by",
+)
 
 
 def line_verdicts(text: Column, symbol_share: float = 0.1) -> Column:
-    """array<struct<line,words,failed>> in order; lines without a word never fail."""
+    """array<struct<line,words_lost,failed>> in order; lines without a word never fail."""
 
     def judge(line):
-        symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-        failed = (
-            ~line.rlike(LINE_END) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | (symbols > symbol_share * F.length(line))
+        failed = line.rlike(WORDED) & (
+            ~line.rlike(LINE_END)
+            | line.rlike(NAVIGATION_MARKS)
+            | (F.regexp_count(line, F.lit(SYMBOLS)) > symbol_share * F.length(line))
+            | F.when(F.length(line) <= NAVIGATION_LENGTH, F.lower(line).rlike(NAVIGATION_LINE)).otherwise(F.lit(False))
+            | let(F.lower(line), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE]))
+        )
+        return let(
+            failed,
+            lambda bad: F.struct(line.alias("line"), F.when(bad, F.size(words_of(line))).otherwise(F.lit(0)).alias("words_lost"), bad.alias("failed")),
         )
-        words = F.regexp_count(line, F.lit(WORD))
-        return F.struct(line.alias("line"), words.alias("words"), ((words > 0) & failed).alias("failed"))
 
     return F.transform(F.split(text, "\n", -1), judge)
 
@@ -82,8 +88,9 @@ def repeated_words(words: Column) -> Column:
                 lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(~place).bitwiseOR(i.cast("long")),
             )
         )
-        candidates = let(hashes, lambda h: near(h, lambda x, y: F.shiftright(x, 30) == F.shiftright(y, 30)))
-        return let(candidates, lambda c: F.when(F.size(c) == 0, F.lit(0)).otherwise(exact(w, c)))
+        alike = lambda x, y: F.shiftright(x, 30) == F.shiftright(y, 30)
+        pairs = lambda h: F.exists(F.transform(h, lambda x, j: alike(x, F.get(h, j + 1))), lambda v: v)
+        return let(hashes, lambda h: F.when(F.coalesce(pairs(h), F.lit(False)), let(near(h, alike), lambda c: exact(w, c))).otherwise(F.lit(0)))
 
     return let(words, lambda w: F.when(F.size(w) < 3, F.lit(0)).otherwise(count(w))).cast("long")
 
@@ -94,23 +101,22 @@ def measure(df: DataFrame, text_column: str = "text", max_lost: float = 0.5, sym
     kept: the base rule holds and the failing lines hold at most max_lost of the words.
     """
     text = text_of(df, text_column)
-    lines = F.split(text, "\n", -1)
-    worded = F.filter(lines, lambda line: F.length(F.translate(line, SEPARATORS, "")) > 0)
+    worded = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORDED))
     out = df.withColumns(
         {
-            "word_chars": F.length(F.translate(text, SEPARATORS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "_facts": let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))),
+            "_facts": let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"), F.length(F.array_join(w, "")).cast("long").alias("c"))),
             "_lines": line_verdicts(text, symbol_share),
         }
     )
     out = out.withColumns(
         {
             "n_words": F.col("_facts.n"),
+            "word_chars": F.col("_facts.c"),
             "n_repeat_words": F.col("_facts.r"),
             "n_lines_removed": F.size(F.filter("_lines", lambda x: x["failed"])).cast("long"),
-            "n_words_removed": F.aggregate("_lines", F.lit(0), lambda a, x: a + F.when(x["failed"], x["words"]).otherwise(0)).cast("long"),
+            "n_words_removed": F.aggregate("_lines", F.lit(0), lambda a, x: a + x["words_lost"]).cast("long"),
             "cleaned": F.array_join(F.transform(F.filter("_lines", lambda x: ~x["failed"]), lambda x: x["line"]), "\n"),
         }
     ).drop("_facts", "_lines")
