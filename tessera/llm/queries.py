@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, packing, pii, quality_model, quality_rules, secrets, sharding
+from . import decontaminate, huffman, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding
 from .common import count_kind, documents, span_text, text_of
 from .tokens import tokenizer_path
 
@@ -38,6 +38,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "expected_grade", "top_probability", "kept")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     text = text_of(docs)
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_histogram_shards": op7_histogram_shards,
     "op8_token_files": op8_token_files,
     "op9_pii_scan": op9_pii_scan,
