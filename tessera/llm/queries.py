@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding
+from . import decontaminate, huffman, near_dedup, packing, pii, quality_model, quality_rules, repeats, secrets, sharding
 from .common import count_kind, documents, span_text, text_of
 from .tokens import tokenizer_path
 
@@ -38,6 +38,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "expected_grade", "top_probability", "kept")
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.removed_runs(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_histogram_shards": op7_histogram_shards,
     "op8_token_files": op8_token_files,
