@@ -177,13 +177,16 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     out = docs
     for items in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by BLOCK_CHARACTERS
+        out = out.where(F.pandas_udf(_clean(shared, uuid.uuid4().hex), "boolean")(F.col(text_column)))
+    return out.select(*columns)
 
-        def clean(batches: Iterator[pd.Series], shared=shared, key=uuid.uuid4().hex) -> Iterator[pd.Series]:
-            if key not in _matchers:
-                _matchers.clear()
-                _matchers[key] = Matcher(shared.value)
-            for texts in batches:
-                yield pd.Series([not _matchers[key].find(t) for t in texts], dtype=bool)
 
-        out = out.where(F.pandas_udf(clean, "boolean")(F.col(text_column)))
-    return out.select(*columns)
+def _clean(shared, key: str):
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if key not in _matchers:
+            _matchers.clear()
+            _matchers[key] = Matcher(shared.value)
+        for texts in batches:
+            yield pd.Series([not _matchers[key].find(t) for t in texts], dtype=bool)
+
+    return clean

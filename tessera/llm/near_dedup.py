@@ -117,7 +117,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     step = np.uint64(0)
     while len(doc):
         step += np.uint64(1)
-        draw = mix(seed + step * _ODD[2])
+        draw = mix(seed + np.uint64((int(step) * int(_ODD[2])) & 0xFFFFFFFFFFFFFFFF))
         uniform = ((draw >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
         time = time - np.log(uniform) / width
         early = time < last[doc]
