@@ -104,16 +104,35 @@ def surroundings(data: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> tu
     doc = np.searchsorted(bounds, places, side="right") - 1
     left = np.minimum(places - bounds[doc], LEFT)
     right = np.minimum(bounds[doc + 1] - places, RIGHT)
-    index = places[:, None] + np.arange(-LEFT, RIGHT)
-    inside = (index >= (places - left)[:, None]) & (index < (places + right)[:, None])
     rows = np.zeros((len(places), LEFT + RIGHT + 2), dtype=np.uint8)
-    rows[:, :-2] = np.where(inside, data[np.clip(index, 0, max(0, len(data) - 1))], 0) if len(data) else 0
+    padded = np.concatenate([np.zeros(LEFT, dtype=np.uint8), data, np.zeros(RIGHT, dtype=np.uint8)])
+    rows[:, :-2] = np.lib.stride_tricks.sliding_window_view(padded, LEFT + RIGHT)[places]
+    for cut in np.flatnonzero((left < LEFT) | (right < RIGHT)).tolist():  # near the bounds of documents
+        rows[cut, : LEFT - left[cut]] = 0
+        rows[cut, LEFT + right[cut] : -2] = 0
     rows[:, -2], rows[:, -1] = left, right
     return rows, doc
 
 
-def _void(rows: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel()
+def distinct_rows(rows: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each different one, which one each row is), by extra and then a hash; checked byte by byte."""
+    factors = mix(np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * np.uint64(_P)) | np.uint64(1)
+    h = np.zeros(len(rows), dtype=np.uint64)
+    for j in range(rows.shape[1]):
+        h += (rows[:, j].astype(np.uint64) + np.uint64(1)) * factors[j]
+    h = mix(h)
+    if extra is not None:  # keeps the order by extra in the high bits
+        h = (extra.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)) if int(extra.max(initial=0)) < 1 << 20 else h
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    if not np.array_equal(rows[first][which], rows) or (extra is not None and not np.array_equal(extra[first][which], extra)):
+        full = rows if extra is None else np.concatenate([extra.astype(">i8").view(np.uint8).reshape(-1, 8), rows], axis=1)
+        _, first, which = np.unique(np.ascontiguousarray(full).view(np.dtype((np.void, full.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    elif extra is not None and int(extra.max(initial=0)) >= 1 << 20:
+        order = np.argsort(extra[first], kind="stable")
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        first, which = first[order], back[which]
+    return first, which
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -268,6 +287,22 @@ class Chunk:
         return (hit | (low < high))[self.which]
 
 
+class Marked:
+    """A chunk with the surroundings of its shared anchors: each different one once, by bucket."""
+
+    def __init__(self, row: dict):
+        self.id = row["chunk"]
+        self.docs = np.frombuffer(row["docs"], dtype=np.int64)
+        self.bounds = np.frombuffer(row["bounds"], dtype=np.int64)
+        self.data = _expand(row["data"], np.uint8)
+        self.places = np.cumsum(_expand(row["places"], np.int32).astype(np.int64))
+        self.to = _expand(row["buckets"], np.int32).astype(np.int64)
+        self.rows, self.doc = surroundings(self.data, self.bounds, self.places)
+        self.first, self.which = distinct_rows(self.rows, self.to)
+        self.least = np.full(len(self.first), LAST)
+        np.minimum.at(self.least, self.which, self.docs[self.doc])
+
+
 def _joined(chunk_rows: DataFrame, replies: DataFrame) -> DataFrame:
     return chunk_rows.join(replies.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in replies.columns if c != "chunk"])).alias("replies")), "chunk", "left")
 
@@ -299,63 +334,64 @@ def removed_runs(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     replies = stored(replies, "anchor-replies")
     common = replies.agg(F.sum("n")).first()[0] or 0
     second = max(1, int(common // BUCKET_SURROUNDINGS))
-    mixed = "kind int, bucket long, chunk long, docs binary, bounds binary, data binary, rows binary, least binary, places binary, which binary"
+    marked = f"{CHUNK}, places binary, buckets binary"
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 own = Chunk(row, buckets)
                 here = own.shared(row["replies"])
-                places, hashes = own.places[here], own.hashes[here]
-                rows, doc = surroundings(own.data, own.bounds, places)
-                to = ((hashes >> np.uint64(8)) % np.uint64(second)).astype(np.int64)
-                _, first, which = np.unique(_void(np.concatenate([to.astype(">i8").view(np.uint8).reshape(-1, 8), rows], axis=1)), return_index=True, return_inverse=True)
-                least = np.full(len(first), LAST)
-                np.minimum.at(least, which, own.docs[doc])
+                to = ((own.hashes[here] >> np.uint64(8)) % np.uint64(second)).astype(np.int32)
                 yield _batch(
-                    mixed, kind=[0], bucket=[-1], chunk=[own.id], docs=[row["docs"]], bounds=[row["bounds"]], data=[row["data"]], rows=[None], least=[None],
-                    places=[_squeeze(places)], which=[_squeeze(np.stack([to[first][which], which]))],
+                    marked, chunk=[own.id], docs=[row["docs"]], bounds=[row["bounds"]], data=[row["data"]],
+                    places=[_squeeze(np.diff(own.places[here], prepend=0).astype(np.int32))], buckets=[_squeeze(to)],
                 )
-                groups = to[first]
-                cuts = np.flatnonzero(np.diff(groups, prepend=-1, append=-1))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    yield _batch(
-                        mixed, kind=[1], bucket=[int(groups[a])], chunk=[own.id], docs=[None], bounds=[None], data=[None], rows=[_squeeze(rows[first[a:b]])],
-                        least=[_squeeze(least[a:b])], places=[None], which=[None],
-                    )
 
-    gathered = stored(_joined(base, replies).mapInArrow(gather, mixed), "surroundings")
+    kept = stored(_joined(base, replies).mapInArrow(mark, marked), "marked")
     discard(base)
     discard(replies)
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = Marked(batch.slice(i, 1).to_pylist()[0])
+                groups = own.to[own.first]
+                cuts = np.flatnonzero(np.diff(groups, prepend=-1, append=-1))
+                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                yield _batch(
+                    "bucket long, chunk long, rows binary, least binary", bucket=[int(groups[a]) for a, _ in spans], chunk=[own.id] * len(spans),
+                    rows=[_squeeze(own.rows[own.first[a:b]]) for a, b in spans], least=[_squeeze(own.least[a:b]) for a, b in spans],
+                )
+
+    gathered = kept.mapInArrow(gather, "bucket long, chunk long, rows binary, least binary")
+
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         every = [_expand(x, np.uint8).reshape(-1, LEFT + RIGHT + 2) for x in rows["rows"]]
         docs = np.concatenate([_expand(x, np.int64) for x in rows["least"]])
         sizes = [len(x) for x in every]
-        different, first, which = np.unique(_void(np.concatenate(every)), return_index=True, return_inverse=True)
-        least = np.full(len(different), LAST)
+        every = np.concatenate(every)
+        first, which = distinct_rows(every)
+        least = np.full(len(first), LAST)
         np.minimum.at(least, which, docs)
-        found = least_documents(np.concatenate(every)[first], least)
+        found = least_documents(every[first], least)
         ends = np.cumsum(sizes)
         return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "found": [_squeeze(found[which[b - s : b]]) for b, s in zip(ends.tolist(), sizes)]})
 
-    answers = gathered.where("kind = 1").select("bucket", "chunk", "rows", "least").groupBy("bucket").applyInPandas(answer, "chunk long, bucket long, found binary")
+    answers = gathered.groupBy("bucket").applyInPandas(answer, "chunk long, bucket long, found binary")
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                docs, bounds = np.frombuffer(row["docs"], dtype=np.int64), np.frombuffer(row["bounds"], dtype=np.int64)
-                data, places = _expand(row["data"], np.uint8), _expand(row["places"], np.int64)
-                _, which = _expand(row["which"], np.int64).reshape(2, -1)
+                own = Marked(row)
+                docs, bounds, data, places, which = own.docs, own.bounds, own.data, own.places, own.which
                 answers = sorted(row["replies"] or [], key=lambda x: x["bucket"])
                 cover = np.zeros(len(data) + 1, dtype=np.int32)
                 if answers:
                     least = np.concatenate([_expand(x["found"], np.int64).reshape(-1, LEFT + 1) for x in answers])
-                    doc = np.searchsorted(bounds, places, side="right") - 1
-                    at, string = np.nonzero(least[which] < docs[doc][:, None])
+                    at, string = np.nonzero(least[which] < docs[own.doc][:, None])
                     starts = places[at] - LEFT + string
                     cover += np.bincount(starts, minlength=len(cover)).astype(np.int32)
                     cover -= np.bincount(starts + LENGTH, minlength=len(cover)).astype(np.int32)
@@ -375,7 +411,6 @@ def removed_runs(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    own = gathered.where("kind = 0").select("chunk", "docs", "bounds", "data", "places", "which")
-    return _joined(own, answers).mapInArrow(remove, result)
+    return _joined(kept, answers).mapInArrow(remove, result)
 
 
