@@ -36,7 +36,7 @@ from .common import discard, stored
 from .near_dedup import mix
 
 LENGTH = 50
-GRAM = 28
+GRAM = 20
 CHUNK_BYTES = 4_000_000
 #: Anchor hashes and surroundings that a bucket gets on average.
 BUCKET_ANCHORS = 1_000_000
