@@ -10,9 +10,9 @@ shingle costs about one point. Two registers agree with the probability of the w
 Jaccard similarity.
 
 Documents with the same text are one node. Nodes that agree in a band are compared, first
-each with the least node of the bucket, then across what is still apart in a bucket, until
-every pair of a bucket is either checked or already in one class. Checks compute the exact
-multiset similarity from the texts. Classes are the connected components of the links.
+each with its bucket's pivot. Where a bucket still holds several classes, the nodes tied by
+such buckets are compared with each other in blocks, so every pair of a bucket is either
+checked or already in one class. Checks compute the exact multiset similarity from the texts. Classes are the connected components of the links.
 
 Defined results: null or empty texts (no words) are each a class of their own; repeated
 rows and rows with one id are in one class; an empty table gives an empty table; other
@@ -38,6 +38,8 @@ BANDS = 32
 ROWS = 6
 REGISTERS = BANDS * ROWS
 SLICE_BYTES = 4_000_000
+#: Nodes of a block; a task compares two blocks.
+BLOCK = 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -226,6 +228,69 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "class")
 
 
+def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        h, before = shingles(pa.array(batch["text"], pa.string()))
+        doc, element, times = multiset(h, before)
+        cuts = np.searchsorted(doc, np.arange(len(batch) + 1))
+        out = batch[["cluster", "node", "class", "blocks"]].copy()
+        out["elements"] = [element[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        out["times"] = [times[a:b].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        yield out
+
+
+def cross_links(left: pd.DataFrame, right: pd.DataFrame | None, at_least: float) -> pd.DataFrame:
+    """Links between rows of left and of right (or among left's own) that are in different classes."""
+    other = left if right is None else right
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in other["elements"]]
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    times = np.concatenate([np.frombuffer(x, dtype="<i8") for x in other["times"]])
+    total = np.bincount(owner, weights=times, minlength=len(sets))
+    order = np.argsort(flat, kind="stable")
+    flat, owner, times = flat[order], owner[order], times[order]
+    kinds, nodes = other["class"].to_numpy(), other["node"].to_numpy()
+    found = []
+    for i, (node, kind, e, t) in enumerate(zip(left["node"], left["class"], left["elements"], left["times"])):
+        e, t = np.frombuffer(e, dtype=np.uint64), np.frombuffer(t, dtype="<i8")
+        a, b = np.searchsorted(flat, e, side="left"), np.searchsorted(flat, e, side="right")
+        n = b - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(owner[at], weights=np.minimum(np.repeat(t, n), times[at]), minlength=len(sets))
+        close = (both >= at_least * (total + t.sum() - both)) & (kinds != kind)
+        if right is None:
+            close[: i + 1] = False
+        found += [(min(node, x), max(node, x)) for x in nodes[close].tolist()]
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def across(clusters: DataFrame, found: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
+    """Links between nodes of one cluster (node, class) that are in different classes so far (found).
+
+    A cluster is cut into blocks of about BLOCK nodes; a task holds two blocks, so a large
+    cluster is spread over tasks and only links come out.
+    """
+    sized = clusters.select("node", F.col("class").alias("cluster"))
+    sizes = sized.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = sized.join(sizes, "cluster").join(found, "node", "left").select("cluster", "node", F.coalesce("class", "node").alias("class"), "blocks")
+    bags = stored(
+        rows.join(texts, "node").dropDuplicates(["node"]).select("cluster", "node", "class", "blocks", "text").mapInPandas(_bags, "cluster long, node long, class long, blocks int, elements binary, times binary"),
+        "bags",
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    paired = bags.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+        left, right = rows[rows["own"] == low], rows[rows["own"] == high]
+        if rows["class"].nunique() < 2 or not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        return cross_links(left, None if low == high else right, at_least)
+
+    return paired.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long")
+
+
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", at_least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, shingles): one row for each row of df; the class is its least document."""
     sketched = stored(sketch(df, id_column, text_column), "sketches")
@@ -237,36 +302,31 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         "nodes",
     )
     in_bands = nodes.select("node", "shingles", F.explode("bands").alias("band"))
-    shared = stored(in_bands.groupBy("band").agg(F.min(F.struct("node", "shingles")).alias("p"), F.count("*").alias("n")).where("n > 1").select("band", F.col("p.node").alias("pivot"), F.col("p.shingles").alias("pivot_shingles")), "buckets")
+    draw = F.struct("node", "shingles")
+    shared = stored(
+        in_bands.groupBy("band").agg(F.min(draw).alias("p"), F.count("*").alias("n")).where("n > 1").select("band", F.col("p.node").alias("pivot"), F.col("p.shingles").alias("pivot_shingles")),
+        "buckets",
+    )
     members = stored(in_bands.join(shared, "band"), "members")
     close = lambda x, y: F.least(x, y) >= at_least * F.greatest(x, y)  # noqa: E731  else the sizes alone rule it out
     pairs = stored(
         members.where((F.col("node") != F.col("pivot")) & close(F.col("shingles"), F.col("pivot_shingles")))
-        .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
         .distinct(),
         "pairs",
     )
     texts = df.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text")).join(nodes.select("node"), "node", "left_semi")
     links = stored(verified(pairs, texts, at_least), "links")
     found = components(links)
-    # buckets that still hold several classes: every pair across them that is not yet checked
-    own = stored(members.join(found, "node", "left").select("band", "node", "shingles", "pivot", F.coalesce("class", "node").alias("class")), "members")
+    # buckets that still hold several classes: their nodes are compared in blocks, whole bags at a time
+    own = stored(members.join(found, "node", "left").select("band", "node", "pivot", F.coalesce("class", "node").alias("class")), "members")
     split = own.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most AND n > 2").select("band")
     apart = own.join(split, "band")
-    home = apart.where(F.col("node") == F.col("pivot")).select("band", F.col("class").alias("home")).distinct()
-    left = apart.join(home, "band").where(F.col("class") != F.col("home")).select("band", F.col("node").alias("u"), F.col("class").alias("class_u"), F.col("shingles").alias("size_u"))
-    right = apart.where(F.col("node") != F.col("pivot")).select("band", F.col("node").alias("x"), F.col("class").alias("class_x"), F.col("shingles").alias("size_x"))
-    crossing = stored(
-        left.join(right, "band")
-        .where((F.col("class_u") != F.col("class_x")) & close(F.col("size_u"), F.col("size_x")))
-        .select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti"),
-        "crossing",
-    )
-    if not crossing.isEmpty():
-        links = links.unionByName(stored(verified(crossing, texts, at_least), "links"))
-        found = components(links)
+    ties = apart.where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    if not ties.isEmpty():
+        more = stored(across(components(ties), found, texts, at_least), "links")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
     named = nodes.select("text_key", "node").join(found, "node", "left").select("text_key", F.coalesce("class", "node").alias("class_id"))
     return sketched.join(named, "text_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "shingles")
 
