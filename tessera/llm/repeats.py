@@ -41,6 +41,7 @@ CHUNK_BYTES = 4_000_000
 #: Anchor hashes and surroundings that a bucket gets on average.
 BUCKET_ANCHORS = 1_000_000
 BUCKET_SURROUNDINGS = 40_000
+PART_SURROUNDINGS = 6_000
 #: Bytes of a hash that are sent; the bucket holds the rest of its information. A false match costs only work.
 SENT = 5
 LEFT, RIGHT = LENGTH - GRAM, LENGTH
@@ -136,14 +137,14 @@ def distinct_rows(rows: np.ndarray, extra: np.ndarray | None = None) -> tuple[np
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first depth symbols or more (ties by place); symbols up to 256."""
+    """Suffixes sorted by their first depth symbols or more, ties in any order; symbols up to 256."""
     n, width = len(text), 7
     padded = np.concatenate([text.astype(np.int64), np.zeros(width, dtype=np.int64)])
     key = np.zeros(n, dtype=np.int64)
     for j in range(width):
         key = key * 257 + padded[j : j + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if width >= depth:
             return order
         sorted_key = key[order]
@@ -374,7 +375,14 @@ def removed_runs(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
         first, which = distinct_rows(every)
         least = np.full(len(first), LAST)
         np.minimum.at(least, which, docs)
-        found = least_documents(every[first], least)
+        # equal strings have equal anchors, so a bucket falls into parts by anchor that fit in cache
+        gram = distinct_rows(every[first][:, LEFT : LEFT + GRAM])[1]
+        part = gram * max(1, len(first) // PART_SURROUNDINGS) // max(1, int(gram.max()) + 1)
+        found = np.empty((len(first), LEFT + 1), dtype=np.int64)
+        for k in range(int(part.max()) + 1):
+            own = np.flatnonzero(part == k)
+            if len(own):
+                found[own] = least_documents(every[first[own]], least[own])
         ends = np.cumsum(sizes)
         return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "found": [_squeeze(found[which[b - s : b]]) for b, s in zip(ends.tolist(), sizes)]})
 
