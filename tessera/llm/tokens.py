@@ -13,9 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words held by each of the memo's two generations, for each Python worker.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 #: Bytes of text encoded at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 16_000_000
+#: Signs that may follow a word of letters and are a pre-token of their own there.
+TAILS = ".,;:!?#%&*$|"
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -45,70 +47,68 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        # without offsets, which nothing here needs
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
     def _plain(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+        return self._ids(text).tobytes()
+
+    def _known(self, words: list[str]) -> list[bytes | None]:
+        out = list(map(self.young.get, words))
+        again = {}
+        for i, ids in enumerate(out):
+            if ids is None and (ids := self.old.get(words[i])) is not None:
+                out[i] = again[words[i]] = ids
+        self._keep(again)
+        return out
 
-    def _put(self, word: str, ids: bytes) -> bytes:
-        if len(self.young) >= MEMO_WORDS:
+    def _keep(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
-        self.young[word] = ids
-        return ids
-
-    def _get(self, word: str) -> bytes | None:
-        ids = self.young.get(word)
-        if ids is None and (ids := self.old.get(word)) is not None:
-            self._put(word, ids)
-        return ids
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters only: each is one pre-token, closed by one id."""
         found: dict[str, bytes] = {}
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
-                raw, at = ids.tobytes(), 0
-                for word, end in zip(part, ends.tolist(), strict=True):
-                    found[word] = raw[4 * at : 4 * end]
-                    at = end
+            ids = self._ids(" ".join(part))
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                found.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
             else:
-                found |= {word: self._plain(word) for word in part}
+                found.update((word, self._plain(word)) for word in part)
         return found
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as bytes of unsigned 32-bit integers."""
-        out: list[bytes | None] = [self._get(w) for w in words]
+        out = self._known(words)
         missing = [i for i, ids in enumerate(out) if ids is None]
         if not missing:
             return out
-        split, letters = {}, set()
-        for i in missing:
-            w = words[i]
-            core = w.rstrip(".,;:!?")
-            # per-character lower case, as the tokenizer does it; two letters differ in context
-            if core.isalpha() and "Σ" not in core and "İ" not in core:
-                core_lower = core.lower()
-                split[w] = (core_lower, w[len(core) :])
-                if self._get(core_lower) is None:
-                    letters.add(core_lower)
-        fresh = self._letters([w for w in letters if w.isalpha()])
-        for i in missing:
-            w = words[i]
-            if w in split:
-                core, tail = split[w]
-                ids = fresh.get(core)
-                if ids is None:
-                    ids = self._get(core) or self._plain(core)
-                if tail:
-                    end = self._get(tail)
-                    ids = ids + (end if end is not None else self._put(tail, self._plain(tail)))
-            else:
-                ids = self._plain(w)
-            out[i] = ids
-            self._put(w, ids)
-        for w, ids in fresh.items():
-            self._put(w, ids)
+        cores = [words[i].rstrip(TAILS) for i in missing]
+        # per-character lower case, as the tokenizer does it; two letters differ in context
+        lower = [c.lower() if c.isalpha() and (c.isascii() or not ("Σ" in c or "İ" in c)) else None for c in cores]
+        distinct = list({c for c in lower if c})
+        ids_of = dict(zip(distinct, self._known(distinct)))
+        ids_of.update(self._letters([c for c, ids in ids_of.items() if ids is None and c.isalpha()]))
+        tails: dict[str, bytes] = {"": b""}
+        fresh = {}
+        for i, core, low in zip(missing, cores, lower):
+            word = words[i]
+            ids = ids_of.get(low) if low else None
+            if ids is None:
+                ids = self._plain(word)
+            elif len(core) < len(word):
+                tail = word[len(core) :]
+                if tail not in tails:
+                    tails[tail] = self._plain(tail)
+                ids = ids + tails[tail]
+            out[i] = fresh[word] = ids
+        fresh.update((c, ids) for c, ids in ids_of.items() if ids is not None)
+        self._keep(fresh)
         return out
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
