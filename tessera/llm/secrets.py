@@ -38,6 +38,8 @@ IDENTIFIER_DOCUMENTS = 2000
 #: Nats by which the random model must win, in all and for each character.
 MIN_RATIO = 12.0
 MIN_RATIO_PER_CHARACTER = 0.45
+#: Weight of single-character frequencies in a row of the models, in characters.
+BACK_OFF = 10.0
 
 
 def base_spans(text: Column) -> Column:
@@ -91,7 +93,7 @@ def identifiers(df: DataFrame, text_column: str = "text", n: int = IDENTIFIER_DO
 
 
 def train(positive: DataFrame, negative: DataFrame) -> list[float]:
-    """The log-likelihood ratio of each bigram, add-one smoothed, as SIDE * SIDE numbers."""
+    """The log-likelihood ratio of each bigram as SIDE * SIDE numbers; rare ones lean on the frequency of their second character."""
     counted = (
         positive.select("token", F.lit(1).alias("label"))
         .unionByName(negative.select("token", F.lit(0).alias("label")))
@@ -100,16 +102,22 @@ def train(positive: DataFrame, negative: DataFrame) -> list[float]:
         .count()
         .collect()  # at most 2 * SIDE * SIDE rows
     )
-    counts = {0: [1.0] * (SIDE * SIDE), 1: [1.0] * (SIDE * SIDE)}
+    counts = {0: [0.0] * (SIDE * SIDE), 1: [0.0] * (SIDE * SIDE)}
     for r in counted:
         counts[r["label"]][r["bigram"]] += r["count"]
-    ratio = [0.0] * (SIDE * SIDE)
-    for a in range(SIDE):
-        row = slice(a * SIDE, (a + 1) * SIDE)
-        p, q = sum(counts[1][row]), sum(counts[0][row])
-        for b in range(a * SIDE, (a + 1) * SIDE):
-            ratio[b] = math.log(counts[1][b] / p) - math.log(counts[0][b] / q)
-    return ratio
+    logs = []
+    for label in (1, 0):
+        n = counts[label]
+        single = [1.0 + sum(n[b::SIDE]) for b in range(SIDE)]
+        whole = sum(single)
+        logs.append(
+            [
+                math.log((n[a * SIDE + b] + BACK_OFF * single[b] / whole) / (sum(n[a * SIDE : (a + 1) * SIDE]) + BACK_OFF))
+                for a in range(SIDE)
+                for b in range(SIDE)
+            ]
+        )
+    return [p - q for p, q in zip(*logs, strict=True)]
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:
