@@ -67,7 +67,7 @@ def flatten(df: DataFrame, combine: dict[str, Column] | None = None) -> DataFram
     pieces = points.withColumn("_b", F.lead("_a").over(w)).where("_b IS NOT NULL")
     over = rows.join(pieces, [*keys, "_island"]).where((F.col("start") <= F.col("_a")) & (F.col("end") >= F.col("_b")))
     rules = {c: e for c, e in combiners(df, combine).items() if c not in (*keys, "start", "end")}
-    out = over.groupBy(*keys, "_a", "_b").agg(*[e.alias(c) for c, e in rules.items()])
+    out = over.groupBy(*keys, "_a", "_b").agg(F.count("*").alias("_n"), *[e.alias(c) for c, e in rules.items()])
     return out.withColumnsRenamed({"_a": "start", "_b": "end"}).select(*df.columns)
 
 
