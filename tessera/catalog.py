@@ -33,12 +33,12 @@ def r6(c, name: str):
     return F.round(c if not isinstance(c, str) else F.col(c), 6).alias(name)
 
 
-CALLS = """, seg AS (SELECT r.*, log2(o.o_totalprice/100000) AS log2, CAST(o.o_custkey%40+1 AS BIGINT) AS probes FROM iv_regions r JOIN orders o ON o.o_orderkey=r.row_id)"""
+CALLS = """, seg AS (SELECT r.*, round(log2(o.o_totalprice/100000),3) AS log2, CAST(o.o_custkey%40+1 AS BIGINT) AS probes FROM iv_regions r JOIN orders o ON o.o_orderkey=r.row_id)"""
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions with a log-ratio, taken as segments."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), F.log2(F.col("o_totalprice") / 100000).alias("log2"), (F.col("o_custkey") % 40 + 1).alias("probes"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), F.round(F.log2(F.col("o_totalprice") / 100000), 3).alias("log2"), (F.col("o_custkey") % 40 + 1).alias("probes"))
     return regions(spark, sf_dir).join(o, "row_id").select("chromosome", "start", "end", "gene", "row_id", "log2", "probes")
 
 
