@@ -81,12 +81,15 @@ def splitters(df: DataFrame, columns: list[str], size: str, targets: list[int],
             df.select(cell.alias("cell"), probe.alias("probe"), F.col(size).alias("size"))
             .where("cell IS NOT NULL")
             .groupBy("cell", "probe")
-            .agg(F.sum("size").alias("bytes"))
+            .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
             .collect()  # at most intervals x PROBES sums
         )
         by_cell: dict[int, dict[int, int]] = {}
+        single = set()
         for r in sums:
             by_cell.setdefault(r["cell"], {})[r["probe"]] = r["bytes"]
+            if r["rows"] == 1:
+                single.add((r["cell"], r["probe"]))
         for i, at in list(open_.items()):
             fixed, lo, hi, below = at
             step = max(1, -(-(hi - lo + 1) // PROBES))
@@ -98,10 +101,13 @@ def splitters(df: DataFrame, columns: list[str], size: str, targets: list[int],
             start, end = lo + nth * step, min(hi, lo + (nth + 1) * step - 1)
             rest = len(columns) - len(fixed) - 1
             after = below + got[nth]
-            if targets[i] - below <= tolerance:
-                found[i] = (*fixed, start, *[LONG_MIN] * rest)
-            elif after - targets[i] <= tolerance and after >= targets[i]:
-                found[i] = (*fixed, end, *[LONG_MAX] * rest)
+            at_start = (*fixed, start, *[LONG_MIN] * rest)
+            past_end = (*fixed, end + 1, *[LONG_MIN] * rest) if end < LONG_MAX else (*fixed, end, *[LONG_MAX] * rest)
+            nearest = at_start if targets[i] - below <= after - targets[i] else past_end
+            if targets[i] - below <= tolerance or 0 <= after - targets[i] <= tolerance:
+                found[i] = nearest
+            elif (cells.index(at), nth) in single:  # no tuple cuts a row
+                found[i] = nearest
             elif start < end:
                 open_[i] = (fixed, start, end, below)
                 continue
@@ -109,7 +115,7 @@ def splitters(df: DataFrame, columns: list[str], size: str, targets: list[int],
                 open_[i] = ((*fixed, start), LONG_MIN, LONG_MAX, below)
                 continue
             else:
-                found[i] = (*fixed, start) if targets[i] - below <= after - targets[i] else (*fixed, end)
+                found[i] = nearest
             del open_[i]
     return [found[i] or (*open_[i][0], open_[i][1], *[LONG_MIN] * (len(columns) - len(open_[i][0]) - 1)) for i in range(len(targets))]
 
@@ -126,11 +132,10 @@ def histogram_shard(df: DataFrame, key: str, size: Column, tie: Column, shards:
     )
     placed = stored(placed, "shard-keys")
     order = ["_key", "_tie", "_copy"]
-    total, largest = placed.agg(F.sum("size"), F.max("size")).first()
-    total, largest = total or 0, largest or 0
+    total = placed.agg(F.sum("size")).first()[0] or 0
     n = shards * RANGES_PER_SHARD
     targets = [total * i // n for i in range(1, n)]
-    bounds = splitters(placed, order, "size", targets, tolerance if tolerance is not None else max(largest // 2, total // (n * 1000)))
+    bounds = splitters(placed, order, "size", targets, tolerance if tolerance is not None else total // (n * 1000))
     bounds = sorted(bounds)
     cols = [F.col(c) for c in order]
     placed = placed.withColumn("_range", _tree(bounds, lambda b: _less(cols, b), lambda i: F.lit(i)))

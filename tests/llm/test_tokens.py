@@ -115,3 +115,19 @@ def test_shards(spark, ids):
         assert max(sizes) - min(sizes) <= 110
     order = [r["doc_id"] if r["doc_id"] is not None else -(1 << 63) for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
     assert order == sorted(order)
+
+
+def test_one_long_document_loosens_no_boundary(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [50 + (i * 37) % 100 for i in range(2000)]
+    sizes[700] = sum(sizes) // 19  # about 5 % of all bytes
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n long").repartition(3)
+    shards = [r["shard"] for r in sharding.histogram_shard(df, "doc_id", F.col("n"), F.xxhash64("n")).orderBy("doc_id").collect()]
+    ends = [0]
+    for n in sizes:
+        ends.append(ends[-1] + n)
+    for s in range(1, 8):
+        target = ends[-1] * s // 8
+        cut = ends[sum(x < s for x in shards)]
+        assert abs(cut - target) - min(abs(e - target) for e in ends) <= ends[-1] // 64000
