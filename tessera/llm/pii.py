@@ -1,12 +1,12 @@
 """Personal data in texts: fixed patterns, and terms that give protected entities away.
 
 A protected entity is a value that a fixed pattern finds. Over all documents, the operator
-counts in how many each entity occurs, each term, and each pair of an entity with a term of
-its line. The pointwise mutual information of the pair, divided by the entity's information
+counts in how many each entity occurs, each term (outside of all fixed finds), and each pair
+of an entity with a term anywhere in the same document. The pointwise mutual information of the pair, divided by the entity's information
 content, is the share of the entity that the term discloses: 1 when the term is never seen
 without it. Terms at or above the threshold, seen with the entity in min_support documents
-or more, are spans of kind "term" where they stand beside it; sanitised() generalises fixed
-finds to their kind and removes such terms. Built-in expressions only.
+or more, are spans of kind "term" wherever they stand in documents that hold it; sanitised()
+generalises fixed finds to their kind and removes such terms. Built-in expressions only.
 
 Defined results: a null text counts as empty and has no spans; rows with the same doc_id
 count as one document; an empty table gives an empty table; other columns pass through
@@ -31,8 +31,6 @@ TERM = r"[\p{L}][\p{L}'’-]{2,}"
 #: Share of an entity's information that a term may disclose, and documents to see it in.
 DISCLOSURE = 0.9
 MIN_SUPPORT = 2
-#: A term further than this from the entity, in code points of the same line, is not beside it.
-REACH = 60
 
 
 def _luhn(digits: Column) -> Column:
@@ -77,23 +75,27 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def _beside(text: Column, span: Column, spans: Column, reach: int) -> Column:
-    """array<struct<entity,term,start,end>>: whole terms within reach of the span, outside all spans."""
-    low = F.greatest(span["start"] - reach, F.lit(0))
-    context = F.substring(text, low + 1, span["end"] + reach - low)
-
-    def whole(t, size):
-        cut_left = (t["start"] == 0) & (low > 0)
-        cut_right = (t["end"] == size) & (size == span["end"] + reach - low)
-        return ~cut_left & ~cut_right & ~F.exists(spans, lambda s: (s["start"] < t["end"] + low) & (s["end"] > t["start"] + low))
-
-    return let(
-        context,
-        lambda c: F.transform(
-            F.filter(match_spans(c, TERM, "term"), lambda t: whole(t, F.length(c))),
-            lambda t: F.struct(_entity(span).alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + low).alias("start"), (t["end"] + low).alias("end")),
+def _outside(text: Column, spans: Column) -> Column:
+    """text with blanks in the place of its spans, which leaves all else where it was."""
+    blanked = F.aggregate(
+        F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(
+                acc["out"],
+                F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
+                F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0))),
+            ).alias("out"),
         ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
+    return blanked
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
 def scan(
@@ -102,60 +104,54 @@ def scan(
     keep: list[str] | None = None,
     disclosure: float = DISCLOSURE,
     min_support: int = MIN_SUPPORT,
-    reach: int = REACH,
 ) -> DataFrame:
     """The columns keep of df (all but the text by default) and spans, by start and then kind."""
     keep = [c for c in df.columns if c != text_column] if keep is None else keep
     keep = [c for c in keep if c != "spans"]
     text = text_of(df, text_column)
     base = df.select(*keep, text.alias("_text"), base_spans(text).alias("_base"))
-    base = base.select(
-        *keep,
-        F.monotonically_increasing_id().alias("_row"),
-        "_base",
-        F.flatten(F.transform("_base", lambda s: _beside(F.col("_text"), s, F.col("_base"), reach))).alias("_near"),
-    )
-    base = stored(base, "pii")
+    held = F.size("_base") > 0
+    base = base.select(*keep, F.monotonically_increasing_id().alias("_row"), "_base", "_text", F.when(held, _outside(F.col("_text"), F.col("_base"))).alias("_words"))
+    # terms that a document has in fixed finds alone are none of its terms
+    only_inside = F.when(held, F.array_except(_terms(F.col("_text")), _terms(F.col("_words"))))
+    base = stored(base.select(*keep, "_row", "_base", "_words", only_inside.alias("_inside")), "pii")
     total = base.count()
+    n = float(max(total, 1))
     entities = (
-        base.where(F.size("_base") > 0)
+        base.where(held)
         .select(F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity"))
         .groupBy("entity")
         .agg(F.count("*").alias("in_entity"))
+        .where(F.col("in_entity") >= min_support)
     )
-    pairs = (
-        base.where(F.size("_near") > 0)
-        .select(F.explode(F.array_distinct(F.transform("_near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-        .groupBy("p.entity", "p.term")
-        .agg(F.count("*").alias("in_both"))
-        .where(F.col("in_both") >= min_support)
-    )
+    # ln(n both / (entity term)) >= d ln(n / entity) and both <= entity give term <= n^(1-d) entity^d: no telling pair has a term above
+    most = lambda in_entity: n ** (1 - disclosure) * F.pow(in_entity, F.lit(disclosure)) * (1 + 1e-9)
+    entities = stored(entities, "pii-entities")
+    common = entities.agg(F.max("in_entity")).first()[0] or 0
     terms = (
-        df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
+        df.select(F.explode(_terms(text)).alias("term"), F.lit(1).alias("n"))
+        .unionByName(base.where(held).select(F.explode("_inside").alias("term"), F.lit(-1).alias("n")))
         .groupBy("term")
-        .agg(F.count("*").alias("in_term"))
-        .where(F.col("in_term") >= min_support)
+        .agg(F.sum("n").alias("in_term"))
+        .where((F.col("in_term") >= min_support) & (F.col("in_term") <= most(F.lit(float(common)))))
     )
-    n = F.lit(float(max(total, 1)))
-    information = F.ln(n / F.col("in_entity"))
-    shared = F.ln(n * F.col("in_both") / (F.col("in_entity") * F.col("in_term")))
+    holders = base.where(held).select("_row", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity")).join(entities, "entity")
+    words = base.where(held).select("_row", F.explode(_terms(F.col("_words"))).alias("term")).join(terms, "term")
+    pairs = stored(holders.join(words, "_row").where(F.col("in_term") <= most(F.col("in_entity"))).select("_row", "entity", "term", "in_entity", "in_term"), "pii-pairs")
+    information = F.ln(F.lit(n) / F.col("in_entity"))
+    shared = F.ln(F.lit(n) * F.col("in_both") / (F.col("in_entity") * F.col("in_term")))
     telling = (
-        pairs.join(entities, "entity")
-        .join(terms, "term")
-        .where((information > 0) & (shared >= disclosure * information))
+        pairs.groupBy("entity", "term")
+        .agg(F.count("*").alias("in_both"), F.first("in_entity").alias("in_entity"), F.first("in_term").alias("in_term"))
+        .where((F.col("in_both") >= min_support) & (information > 0) & (shared >= disclosure * information))
         .select("entity", "term")
     )
-    found = (
-        base.where(F.size("_near") > 0)
-        .select("_row", F.explode("_near").alias("m"))
-        .select("_row", "m.*")
-        .join(telling, ["entity", "term"])
-        .groupBy("_row")
-        .agg(F.collect_set(F.struct(F.col("start"), F.col("end"), F.lit("term").alias("kind"), F.col("term").alias("value"))).alias("_terms"))
-    )
+    found = pairs.join(telling, ["entity", "term"]).groupBy("_row").agg(F.collect_set("term").alias("_telling"))
+    marked = match_spans(F.col("_words"), TERM, "term", lambda value: F.array_contains("_telling", F.lower(value)))
+    marked = F.transform(marked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
     return base.join(found, "_row", "left").select(
-        *keep, ordered_spans(F.concat("_base", F.coalesce("_terms", none)), KINDS).alias("spans")
+        *keep, ordered_spans(F.concat("_base", F.when(F.col("_telling").isNotNull(), marked).otherwise(none)), KINDS).alias("spans")
     )
 
 

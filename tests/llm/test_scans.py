@@ -61,6 +61,17 @@ def test_pii_terms_that_tell(spark):
     assert joined == "Write to  [EMAIL] today about this 0"
 
 
+def test_pii_terms_anywhere_in_the_document(spark):
+    far = "\n" + "so it goes on and on " * 20
+    rows = [(i, f"Zyxomorph wrote this {i}.{far}\nMail 😀 anna@example.org today.{far}Regards, ZYXOMORPH") for i in range(4)]
+    rows += [(9 + i, f"He wrote this.{far}Regards, mail today") for i in range(30)] + [(50, "example by anna, and no address")]
+    out = {r["doc_id"]: r["spans"] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:4]:
+        found = [(s["value"], text[s["start"] : s["end"]]) for s in out[i] if s["kind"] == "term"]
+        assert found == [("zyxomorph", "Zyxomorph"), ("zyxomorph", "ZYXOMORPH")]
+    assert not out[9] and not out[50]
+
+
 def test_rules_match_brute_force(docs):
     out = quality_rules.measure(docs)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
