@@ -15,7 +15,8 @@ such buckets are compared with each other in blocks, so every pair of a bucket i
 checked or already in one class. Checks compute the exact multiset similarity from the texts. Classes are the connected components of the links.
 
 Defined results: null or empty texts (no words) are each a class of their own; repeated
-rows and rows with one id are in one class; an empty table gives an empty table; other
+rows and rows with one id are in one class; a row with a null id is a class of its own, without
+a name (null), and no node; an empty table gives an empty table; other
 columns pass through (columns named like results are replaced).
 """
 
@@ -295,7 +296,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """(doc_id, class_id, shingles): one row for each row of df; the class is its least document."""
     sketched = stored(sketch(df, id_column, text_column), "sketches")
     nodes = stored(
-        sketched.where(F.size("bands") > 0)
+        sketched.where((F.size("bands") > 0) & F.col("doc_id").isNotNull())
         .groupBy("text_key")
         .agg(F.min(F.struct("doc_id", "shingles", "bands")).alias("x"))
         .select("text_key", F.col("x.doc_id").alias("node"), F.col("x.shingles").alias("shingles"), F.col("x.bands").alias("bands")),
@@ -328,7 +329,8 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         if not more.isEmpty():
             found = components(links.unionByName(more))
     named = nodes.select("text_key", "node").join(found, "node", "left").select("text_key", F.coalesce("class", "node").alias("class_id"))
-    return sketched.join(named, "text_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "shingles")
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return sketched.join(named, "text_key", "left").select("doc_id", class_id.alias("class_id"), "shingles")
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", at_least: float = SIMILARITY) -> DataFrame:

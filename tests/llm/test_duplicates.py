@@ -69,6 +69,17 @@ def test_near_duplicate_classes(spark):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_null_ids_take_no_links(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.choice(WORDS) for _ in range(60))
+    near = [" ".join([*text.split(" ")[:-1], w]) for w in ("one", "two")]
+    rows = [(None, text), (4, text), (6, text), (None, text), (8, near[0]), (9, near[1]), (None, "only here, without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["class_id"] or -1) for r in near_dedup.classes(df).collect())
+    assert got == [(-1, -1)] * 3 + [(4, 4), (6, 4), (8, 4), (9, 4)]
+    assert sorted(r["doc_id"] or -1 for r in near_dedup.deduplicate(df).collect()) == [-1, -1, -1, 4]
+
+
 def test_repeats_match_brute_force(spark):
     shared = [prose(12), "é" * 60, "\x00" * 70, "ab" * 40]
     texts = [prose(25) for _ in range(6)]
