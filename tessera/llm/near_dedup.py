@@ -15,7 +15,8 @@ such buckets are compared with each other in blocks, so every pair of a bucket i
 checked or already in one class. Checks compute the exact multiset similarity from the texts. Classes are the connected components of the links.
 
 Defined results: null or empty texts (no words) are each a class of their own; repeated
-rows and rows with one id are in one class; a row with a null id is a class of its own, without
+rows are in one class, and different texts with one id are judged each by itself (classes that
+have the same least id then share its name); a row with a null id is a class of its own, without
 a name (null), and no node; an empty table gives an empty table; other
 columns pass through (columns named like results are replaced).
 """
@@ -28,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stored
@@ -164,6 +165,10 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def text_key(column: str) -> Column:
+    return F.md5(F.coalesce(F.col(column), F.lit("")))
+
+
 def sketch(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, text_key, shingles, bands)."""
 
@@ -184,7 +189,7 @@ def sketch(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 )
 
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.md5(text).alias("text_key"), text.alias("text")).mapInArrow(
+    return df.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text_column).alias("text_key"), text.alias("text")).mapInArrow(
         run, "doc_id long, text_key string, shingles long, bands array<long>"
     )
 
@@ -292,14 +297,14 @@ def across(clusters: DataFrame, found: DataFrame, texts: DataFrame, at_least: fl
     return paired.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long")
 
 
-def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", at_least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, shingles): one row for each row of df; the class is its least document."""
+def led(df: DataFrame, id_column: str, text_column: str, at_least: float) -> DataFrame:
+    """(doc_id, text_key, shingles, lead_id, lead_key): the least document of each row's class; null for a row without a node."""
     sketched = stored(sketch(df, id_column, text_column), "sketches")
     nodes = stored(
         sketched.where((F.size("bands") > 0) & F.col("doc_id").isNotNull())
         .groupBy("text_key")
         .agg(F.min(F.struct("doc_id", "shingles", "bands")).alias("x"))
-        .select("text_key", F.col("x.doc_id").alias("node"), F.col("x.shingles").alias("shingles"), F.col("x.bands").alias("bands")),
+        .select(F.monotonically_increasing_id().alias("node"), "text_key", "x.doc_id", F.col("x.shingles").alias("shingles"), F.col("x.bands").alias("bands")),
         "nodes",
     )
     in_bands = nodes.select("node", "shingles", F.explode("bands").alias("band"))
@@ -316,7 +321,8 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         .distinct(),
         "pairs",
     )
-    texts = df.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text")).join(nodes.select("node"), "node", "left_semi")
+    texts = df.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text_column).alias("text_key"), F.col(text_column).alias("text"))
+    texts = texts.join(nodes.select("node", "text_key", "doc_id"), ["text_key", "doc_id"]).select("node", "text")
     links = stored(verified(pairs, texts, at_least), "links")
     found = components(links)
     # buckets that still hold several classes: their nodes are compared in blocks, whole bags at a time
@@ -328,12 +334,21 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         more = stored(across(components(ties), found, texts, at_least), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
-    named = nodes.select("text_key", "node").join(found, "node", "left").select("text_key", F.coalesce("class", "node").alias("class_id"))
-    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return sketched.join(named, "text_key", "left").select("doc_id", class_id.alias("class_id"), "shingles")
+    named = nodes.join(found, "node", "left").select("text_key", "doc_id", F.coalesce("class", "node").alias("class"))
+    leads = named.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("lead"))
+    named = named.join(leads, "class").select("text_key", F.col("lead.doc_id").alias("lead_id"), F.col("lead.text_key").alias("lead_key"))
+    return sketched.join(named, "text_key", "left").select("doc_id", "text_key", "shingles", "lead_id", "lead_key")
+
+
+def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", at_least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, shingles): one row for each row of df; the class is its least document."""
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("lead_id", "doc_id"))
+    return led(df, id_column, text_column, at_least).select("doc_id", class_id.alias("class_id"), "shingles")
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", at_least: float = SIMILARITY) -> DataFrame:
     """df with one document of each class: the one with the least id (a null id is kept)."""
-    keep = classes(df, id_column, text_column, at_least).where("doc_id = class_id").select(F.col("doc_id").alias(id_column)).distinct()
-    return df.join(keep, id_column, "left_semi").dropDuplicates([id_column]).unionByName(df.where(F.col(id_column).isNull()))
+    first = F.col("lead_key").isNull() | ((F.col("doc_id") == F.col("lead_id")) & (F.col("text_key") == F.col("lead_key")))
+    keep = led(df, id_column, text_column, at_least).where(first).select(F.col("doc_id").alias(id_column), F.col("text_key").alias("_text_key")).distinct()
+    one = df.withColumn("_text_key", text_key(text_column)).join(keep, [id_column, "_text_key"], "left_semi").dropDuplicates([id_column, "_text_key"])
+    return one.drop("_text_key").unionByName(df.where(F.col(id_column).isNull()))

@@ -80,6 +80,16 @@ def test_null_ids_take_no_links(spark):
     assert sorted(r["doc_id"] or -1 for r in near_dedup.deduplicate(df).collect()) == [-1, -1, -1, 4]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(2))
+    rows = [(5, a), (5, b), (5, b), (7, a + " more"), (9, b + " more"), (3, b + " less")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["class_id"]) for r in near_dedup.classes(df).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (5, 5), (7, 5), (9, 3)]
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.deduplicate(df).collect()) == [(3, b + " less"), (5, a)]
+
+
 def test_repeats_match_brute_force(spark):
     shared = [prose(12), "é" * 60, "\x00" * 70, "ab" * 40]
     texts = [prose(25) for _ in range(6)]
