@@ -34,7 +34,6 @@ OTHER = len(ALPHABET)
 SIDE = OTHER + 1
 #: Labelled rows the models are fitted on.
 RANDOM_STRINGS = 4096
-IDENTIFIER_DOCUMENTS = 2000
 #: Nats by which the random model must win, in all and for each character.
 MIN_RATIO = 12.0
 MIN_RATIO_PER_CHARACTER = 0.45
@@ -76,13 +75,12 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
     )
 
 
-def identifiers(df: DataFrame, text_column: str = "text", n: int = IDENTIFIER_DOCUMENTS) -> DataFrame:
-    """token: words of the n documents with the least hashes, and pairs of them joined as names are.
+def identifiers(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """token: words of all documents, and pairs of them joined as names are.
 
     What the fixed patterns find is cut out first, so that no labelled secret counts as a name.
     """
-    text = text_of(df, text_column)
-    sample = df.select(F.xxhash64(text).alias("h"), text.alias("t")).orderBy("h").limit(n)
+    sample = df.select(text_of(df, text_column).alias("t"))
     clean = F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     words = F.regexp_extract_all(clean, F.lit("[A-Za-z0-9]{2,15}"), F.lit(0))
     joined = lambda w: F.transform(

@@ -44,6 +44,11 @@ def test_markov_tells_random_from_names(spark):
     assert redacted == "key [SECRET] and the_quick_brown_fox_jumps_over_1 stay"
 
 
+def test_identifiers_come_from_every_document(spark):
+    rows = spark.createDataFrame([(i, f"only{i} here") for i in range(2500)], "doc_id long, text string")
+    assert secrets.identifiers(rows).distinct().count() == 2500
+
+
 def test_pii_matches_brute_force(docs):
     out = pii.scan(docs)
     for r in digest(out, pii.KINDS[:4], ["a", "b", "c", "d"]).collect():
