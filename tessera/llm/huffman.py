@@ -1,12 +1,14 @@
 """Token ids in files: canonical length-limited Huffman codes from global counts.
 
 A file holds whole documents in ascending id order and stands alone: code lengths, document
-ids and sizes, a bit offset for every BLOCK ids, and the code bits. Blocks are decoded by
-table, many blocks in step. Files are rows of a table, so any store that Spark can write
-holds them and a lost task's files are written again.
-
-Defined results: a null text has only the end id; an empty table has no files; documents
-with one id keep their order of content; other columns are not written.
+ids, which of them are null, and sizes, a bit offset for every BLOCK ids, and the code bits.
+Blocks are decoded by table, many blocks in step. Files are rows of a table, so any store that
+Spark can write holds them and a lost task's files are written again.
+
+Defined results: a null text has only the end id; a null document id comes first and is null
+when read back; an empty table has no files; documents with one id are ordered by a hash of
+their content; other columns are not written. Texts are encoded, packed and unpacked a bounded
+stretch at a time, so a very long one costs its ids in memory and little more.
 """
 
 from __future__ import annotations
@@ -16,20 +18,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .tokens import encoded
+from .common import discard, stored
+from .tokens import encoded, forget
 
 MAGIC = b"TSRH"
+VERSION = 2
 HEADER = struct.Struct("<4sHHIIQQQ")  # magic, version, longest code, documents, blocks, ids, bits, bytes of code lengths
 LONGEST = 18
 BLOCK = 512
 FILE_IDS = 1 << 20
+#: Ids packed or unpacked at a time; a multiple of BLOCK.
+STRETCH = 1 << 19
 END_ID = 2
 
 
@@ -77,16 +81,25 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, int]:
     """(code bits, bit offset of every BLOCK-th id, bits)."""
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    bits = int(ends[-1]) if len(ends) else 0
-    starts = ends - size
-    word, room = starts >> 5, 64 - (starts & 31) - size
-    wide = codes[ids] << room.astype(np.uint64)  # in the 64 bits from its 32-bit word on
-    n = bits // 32 + 3
-    total = np.bincount(word, weights=(wide >> np.uint64(32)).astype(np.float64), minlength=n)
-    total += np.bincount(word + 1, weights=(wide & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)
-    return total.astype(">u4").tobytes(), starts[::BLOCK], bits
+    out, offsets, bits, carry = [], [], 0, 0
+    for k in range(0, len(ids), STRETCH):
+        part = ids[k : k + STRETCH]
+        size = lengths[part].astype(np.int64)
+        ends = np.cumsum(size) + (bits & 31)
+        starts = ends - size
+        offsets.append(starts[::BLOCK] + (bits & ~31))
+        word, room = starts >> 5, 64 - (starts & 31) - size
+        wide = codes[part] << room.astype(np.uint64)  # in the 64 bits from its 32-bit word on
+        n = (int(ends[-1]) >> 5) + 2
+        total = np.bincount(word, weights=(wide >> np.uint64(32)).astype(np.float64), minlength=n)
+        total += np.bincount(word + 1, weights=(wide & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)
+        total[0] += carry  # what the stretch before left in its last word
+        bits = (bits & ~31) + int(ends[-1])
+        whole = int(ends[-1]) >> 5
+        carry = total[whole]
+        out.append(total[:whole].astype(">u4").tobytes())
+    out.append(np.array([carry, 0, 0]).astype(">u4").tobytes())
+    return b"".join(out), np.concatenate(offsets) if offsets else np.zeros(0, dtype=np.int64), bits
 
 
 def decode_table(lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,41 +115,56 @@ def decode_table(lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndar
     return symbols, widths
 
 
-def unpack_bits(payload: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray], longest: int) -> np.ndarray:
+def unpack_bits(payload: memoryview | bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray], longest: int) -> np.ndarray:
     """n ids; the blocks are decoded in step, each from its own offset."""
     symbols, widths = table
-    raw = np.frombuffer(payload, dtype=np.uint8).astype(np.uint32)
-    window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-    at = offsets.astype(np.int64).copy()
-    out = np.zeros((len(at), BLOCK), dtype=np.uint32)
-    for k in range(min(BLOCK, n)):
-        live = len(at) if (len(at) - 1) * BLOCK + k < n else len(at) - 1
-        here = at[:live]
-        key = (window[here >> 3] << (here & 7).astype(np.uint32)) >> np.uint32(32 - longest)
-        out[:live, k] = symbols[key]
-        at[:live] = here + widths[key]
-    return out.reshape(-1)[:n]
-
-
-def write_file(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, longest: int = LONGEST) -> bytes:
+    out = np.zeros(n, dtype=np.uint16 if len(symbols) and symbols.max() < 1 << 16 else np.uint32)
+    step = STRETCH // BLOCK
+    for first in range(0, len(offsets), step):
+        at = offsets[first : first + step].astype(np.int64)
+        byte = int(at[0]) >> 3
+        stop = (int(offsets[first + step]) >> 3) + 8 if first + step < len(offsets) else len(payload)
+        raw = np.frombuffer(payload[byte:stop], dtype=np.uint8).astype(np.uint32)
+        window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+        at -= 8 * byte
+        here = min(n - first * BLOCK, len(at) * BLOCK)  # ids of this stretch
+        got = np.zeros((len(at), BLOCK), dtype=out.dtype)
+        for k in range(min(BLOCK, here)):
+            live = len(at) if (len(at) - 1) * BLOCK + k < here else len(at) - 1
+            place = at[:live]
+            key = (window[place >> 3] << (place & 7).astype(np.uint32)) >> np.uint32(32 - longest)
+            got[:live, k] = symbols[key]
+            at[:live] = place + widths[key]
+        out[first * BLOCK : first * BLOCK + here] = got.reshape(-1)[:here]
+    return out
+
+
+def write_file(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, longest: int = LONGEST) -> bytes:
+    """doc_ids may hold None."""
     payload, offsets, bits = pack_bits(ids, codes, lengths)
     book = zlib.compress(lengths.tobytes(), 6)
-    head = HEADER.pack(MAGIC, 1, longest, len(doc_ids), len(offsets), len(ids), bits, len(book))
-    return b"".join([head, book, doc_ids.astype("<i8").tobytes(), sizes.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), payload])
+    missing = np.packbits([d is None for d in doc_ids]).tobytes()
+    docs = np.asarray([0 if d is None else d for d in doc_ids], dtype="<i8")
+    head = HEADER.pack(MAGIC, VERSION, longest, len(docs), len(offsets), len(ids), bits, len(book))
+    return b"".join([head, book, docs.tobytes(), missing, sizes.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), payload])
 
 
-def read_file(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_file(image: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(document ids, their numbers of ids, all ids)."""
     magic, version, longest, docs, blocks, n, _bits, book = HEADER.unpack_from(image)
-    if (magic, version) != (MAGIC, 1):
+    if (magic, version) != (MAGIC, VERSION):
         raise ValueError("not a token file")
     at = HEADER.size
     lengths = np.frombuffer(zlib.decompress(image[at : at + book]), dtype=np.uint8)
     at += book
     doc_ids = np.frombuffer(image, "<i8", docs, at)
-    sizes = np.frombuffer(image, "<u8", docs, at + 8 * docs).astype(np.int64)
-    offsets = np.frombuffer(image, "<u8", blocks, at + 16 * docs)
-    return doc_ids, sizes, unpack_bits(image[at + 16 * docs + 8 * blocks :], offsets, n, decode_table(lengths, longest), longest)
+    at += 8 * docs
+    missing = np.unpackbits(np.frombuffer(image, np.uint8, -(-docs // 8), at))[:docs].astype(bool)
+    at += -(-docs // 8)
+    sizes = np.frombuffer(image, "<u8", docs, at).astype(np.int64)
+    offsets = np.frombuffer(image, "<u8", blocks, at + 8 * docs)
+    payload = memoryview(image)[at + 8 * docs + 8 * blocks :]
+    return pa.array(doc_ids, mask=missing), sizes, unpack_bits(payload, offsets, n, decode_table(lengths, longest), longest)
 
 
 def tokenized(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -148,12 +176,9 @@ def tokenized(df: DataFrame, path: str, id_column: str = "doc_id", text_column:
                 n = len(before) - 1
                 ids = np.insert(ids, before[1:], end_id)
                 before = before + np.arange(n + 1)
-                width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-                raw = ids.astype(f"<u{width}").tobytes()
-                rows = [raw[width * a : width * b] for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(rows, pa.binary()), pa.array([width] * n, pa.int32())], names=["doc_id", "ids", "width"]
-                )
+                width = 2 if ids.dtype == np.uint16 else 4
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((width * before).astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), raw.cast(pa.binary()), pa.array(np.full(n, width, dtype=np.int32))], names=["doc_id", "ids", "width"])
 
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, ids binary, width int")
 
@@ -188,13 +213,13 @@ def written(tokens: DataFrame, longest: int = LONGEST, file_ids: int = FILE_IDS)
     parts = max(1, tokens.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part = TaskContext.get().partitionId()
         held, docs, n, file, before = [], [], 0, 0, 0
 
         def flush():
             nonlocal held, docs, n, file, before
-            ids = np.concatenate(held)
-            image = write_file(np.asarray(docs, dtype=np.int64), np.asarray([len(x) for x in held]), ids, codes, lengths, longest)
+            image = write_file(docs, np.asarray([len(x) for x in held], dtype=np.int64), np.concatenate(held), codes, lengths, longest)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([file], pa.int64()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([image], pa.binary())],
                 names=["part", "file", "before", "n_ids", "image"],
@@ -203,16 +228,21 @@ def written(tokens: DataFrame, longest: int = LONGEST, file_ids: int = FILE_IDS)
             return row
 
         for batch in batches:
-            for doc, raw, width in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                held.append(np.frombuffer(raw, f"<u{width}").astype(np.int64))
-                docs.append(doc if doc is not None else -1)
+            rows = batch.column(1)
+            for i, (doc, width) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                held.append(np.frombuffer(rows[i].as_buffer(), f"<u{width}"))
+                docs.append(doc)
                 n += len(held[-1])
                 if n >= file_ids:
                     yield flush()
+            held = [x.copy() for x in held]  # else a file in the making keeps whole batches
         if held:
             yield flush()
 
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows alike in id and content are told apart by their place, so that no id is too large for a task
+    order = ["doc_id", "_content", "_row"]
+    placed = tokens.withColumns({"_content": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "width")
     return ordered.mapInArrow(run, "part int, file long, before long, n_ids long, image binary")
 
 
@@ -224,25 +254,24 @@ def read_back(files: DataFrame) -> DataFrame:
         starts.append(at)
         at += totals.get(part, 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for part, before, image in zip(batch["part"], batch["before"], batch["image"], strict=True):
-                docs, sizes, ids = read_file(image)
+            for i in range(batch.num_rows):
+                docs, sizes, ids = read_file(batch.column(2)[i].as_buffer().to_pybytes())
                 ends = np.cumsum(sizes)
-                raw = ids.astype("<u4").tobytes()
-                yield pd.DataFrame(
-                    {
-                        "doc_id": docs,
-                        "start": starts[part] + before + ends - sizes,
-                        "n_tokens": sizes,
-                        "ids_crc32": [zlib.crc32(raw[4 * (b - s) : 4 * b]) for b, s in zip(ends.tolist(), sizes.tolist(), strict=True)],
-                    }
+                crc = [zlib.crc32(ids[a:b].astype("<u4").data) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                start = starts[batch.column(0)[i].as_py()] + batch.column(1)[i].as_py() + ends - sizes
+                yield pa.RecordBatch.from_arrays(
+                    [docs, pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    return files.select("part", "before", "image").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "before", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_corpus(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID) -> DataFrame:
     """Tokenise once, write the files to the shared folder, and return them."""
     tokens = stored(tokenized(df, path, id_column, text_column, end_id), "tokens")
-    return stored(written(tokens), "token-files")
+    files = stored(written(tokens), "token-files")
+    discard(tokens)
+    return files
