@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import huffman, packing, sharding
+from tessera.llm import huffman, packing, sharding, tokens
 from tessera.llm.tokens import WordEncoder, tokenizer_path
 
 TEXTS = [None, "", "  ", "Hello, world!", "It's naïve café ΣΟΦΟΣ İstanbul 123 ab12 <|endoftext|> x", "the the\tthe\nthe", "word%%% ab### !?", "long " * 9000, "Hello, world!"]
@@ -53,6 +53,36 @@ def test_lengths_are_optimal_where_the_limit_allows():
     assert max(huffman.code_lengths(np.array([1, 1, 2, 4, 8, 16, 32]), 4)) == 4
 
 
+def test_stretches_join(monkeypatch):
+    monkeypatch.setattr(huffman, "STRETCH", 1024)
+    ids = np.random.default_rng(3).zipf(1.3, 5000) % 300
+    lengths = huffman.code_lengths(np.bincount(ids), 11)
+    codes = huffman.canonical_codes(lengths)
+    payload, offsets, bits = huffman.pack_bits(ids, codes, lengths)
+    text = "".join(format(int(codes[i]), f"0{lengths[i]}b") for i in ids)
+    assert bits == len(text) and format(int.from_bytes(payload, "big"), f"0{8 * len(payload)}b").startswith(text)
+    assert huffman.unpack_bits(payload, offsets, len(ids), huffman.decode_table(lengths, 11), 11).tolist() == ids.tolist()
+
+
+def test_long_texts_are_cut_and_whole(encoder, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 100)
+    texts = ["Some words, né à côté " * 40, "x" * 500, None, "ends with space " + " " * 300, "short"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = []
+    for part, ids, before in tokens.encoded(batch, "text", tokenizer_path()):
+        got += [ids[a:b].tolist() for a, b in zip(before[:-1], before[1:])]
+    assert got == [plain(encoder, t) for t in texts]
+
+
+def test_memo_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 50)
+    own = WordEncoder(tokenizer_path())
+    for k in range(5):
+        texts = [" ".join(f"Wort{chr(97 + i % 26) * (1 + i % 7)}{k}. mehr{chr(97 + i % 23)}" for i in range(40))]
+        ids, _ = own.column(pa.array(texts))
+        assert ids.tolist() == plain(own, texts[0])
+
+
 def documents(spark):
     return spark.createDataFrame([(i * 3, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, length int").repartition(3)
 
@@ -67,6 +97,18 @@ def test_token_files(spark, encoder):
     assert huffman.read_back(huffman.encode_corpus(documents(spark).limit(0), tokenizer_path())).count() == 0
 
 
+def test_token_files_with_null_and_repeated_ids(spark, encoder):
+    rows = [(None, "no id"), (-1, "minus one"), (3, "three"), (3, "three more"), (3, "three"), (None, None), (9007199254740993, "large")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = huffman.read_back(huffman.encode_corpus(df, tokenizer_path())).collect()
+    crc = lambda t: zlib.crc32(np.array(plain(encoder, t) + [2], "<u4").tobytes())
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in got) == sorted((str(d), crc(t)) for d, t in rows)
+    at, last = 0, None
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at and (last is None or r["doc_id"] >= last)
+        at, last = at + r["n_tokens"], r["doc_id"]
+
+
 def test_packing(spark, encoder):
     rows = packing.pack(packing.pieces(documents(spark), tokenizer_path())).collect()
     total = sum(len(plain(encoder, t)) + 1 for t in TEXTS)
@@ -97,6 +139,27 @@ def test_genetic_packing_keeps_every_piece_and_improves():
     assert len(best[0]) <= len(first[0])
 
 
+def test_generations_run_and_beat_best_fit_decreasing(monkeypatch):
+    crossed = []
+    real = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: crossed.append(1) or real(*a))
+    rng = np.random.default_rng(11)
+    # triples that fill a sequence, which best fit decreasing does not find
+    lengths = []
+    for _ in range(40):
+        a, b = rng.integers(1000, 1700, 2).tolist()
+        lengths += [a, b, 4096 - a - b]
+    decreasing = packing.seed_packing(lengths, 4096, rng, 0.0)
+    best = packing.evolve(lengths, 4096, [1], [], generations=60)
+    assert len(decreasing[0]) > 40 and crossed
+    assert len(best[0]) < len(decreasing[0]) or packing.fitness(best[1], 4096) > packing.fitness(decreasing[1], 4096)
+    # where the least number is met at once, generations still gather the room left
+    easy = rng.integers(20, 900, 400).tolist()
+    crossed.clear()
+    met = packing.evolve(easy, 4096, [2], [])
+    assert crossed and len(met[0]) == -(-sum(easy) // 4096)
+
+
 @pytest.mark.parametrize("ids", [list(range(500)), [7] * 300 + list(range(200)), [-(1 << 63), (1 << 63) - 1, None, 5], []])
 def test_shards(spark, ids):
     from pyspark.sql import functions as F
