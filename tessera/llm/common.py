@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Word separators of every contract: space and the controls 0x09 to 0x0D.
 SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
+#: Rows go to Python in batches of at most so many bytes (or one row), however long the texts are.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch sent to a Python worker, where the session sets no bound itself."""
+    if not spark.conf.get(BATCH_SETTING, None):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -65,43 +73,74 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
+SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
+
+
+def no_spans() -> Column:
+    return F.array().cast(SPANS)
+
+
+def running(values: Column, combine) -> Column:
+    """values, each combined with all before it; n log n steps, whatever the length."""
+    widths = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(values) - 1, F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    double = lambda own, w: F.transform(own, lambda x, i: F.when(i >= w, combine(F.get(own, i - w), x)).otherwise(x))
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(widths, values, double))
+
+
 def match_spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """array<struct<start,end,kind,value>> of the leftmost non-overlapping matches of pattern.
 
     Code points, end exclusive. keep: a predicate on the matched string; failing matches
-    are dropped after matching. Texts without a match cost one regex scan.
+    are dropped after matching. Texts without a match cost one regex scan; many matches cost
+    n log n.
     """
-    kept = keep or (lambda value: F.lit(True))
-
-    def fold(parts):
-        # parts: the gaps between matches and the matches, in text order
-        step = F.aggregate(
-            F.transform(parts["found"], lambda hit, i: F.struct(F.get(parts["gaps"], i).alias("gap"), hit.alias("hit"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>").alias("out")),
-            lambda acc, x: let(
-                acc["at"] + F.length(x["gap"]),
-                lambda start: F.struct(
-                    (start + F.length(x["hit"])).alias("at"),
-                    F.when(
-                        kept(x["hit"]),
-                        F.concat(
-                            acc["out"],
-                            F.array(F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value"))),
-                        ),
-                    ).otherwise(acc["out"]).alias("out"),
-                ),
-            ),
-            lambda acc: acc["out"],
+
+    def spans(parts):
+        # the gaps between matches and the matches, in text order
+        steps = F.transform(parts["found"], lambda hit, i: F.length(F.get(parts["gaps"], i)) + F.length(hit))
+        placed = lambda ends: F.transform(
+            parts["found"],
+            lambda hit, i: F.struct((F.get(ends, i) - F.length(hit)).alias("start"), F.get(ends, i).alias("end"), F.lit(kind).alias("kind"), hit.alias("value")),
         )
-        return step
+        every = let(running(steps, lambda a, b: a + b), placed)
+        return every if keep is None else F.filter(every, lambda s: keep(s["value"]))
 
     found = F.struct(
         F.split(text, pattern, -1).alias("gaps"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
     )
-    return F.when(text.rlike(pattern), let(found, fold)).otherwise(
-        F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    )
+    return F.when(text.rlike(pattern), let(found, spans)).otherwise(no_spans())
+
+
+BLOCK = 4096
+
+
+def replaced(text: Column, spans: Column, mark) -> Column:
+    """text with every stretch that spans (sorted by start) cover replaced by mark(its first span).
+
+    The text is cut into blocks once, so that a cut anywhere costs no scan from its start.
+    """
+
+    def rebuilt(blocks, ends):
+        def cut(a, b):  # text[a:b]
+            first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+            within = F.substring(F.get(blocks, first), a % BLOCK + 1, b - a)
+            over = F.concat(
+                F.substring(F.get(blocks, first), a % BLOCK + 1, F.lit(BLOCK)),
+                F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                F.coalesce(F.substring(F.get(blocks, last), F.lit(1), b % BLOCK), F.lit("")),
+            )
+            return F.when(b <= a, F.lit("")).when(first == last, within).otherwise(over)
+
+        piece = lambda s, i: let(
+            F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)),
+            lambda at: F.when(s["start"] >= at, F.concat(cut(at, s["start"]), mark(s))).otherwise(F.lit("")),
+        )
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(F.get(ends, F.size(ends) - 1), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(let(F.struct(blocks.alias("blocks"), ends.alias("ends")), lambda x: rebuilt(x["blocks"], x["ends"])))
 
 
 def ordered_spans(spans: Column, kinds: list[str]) -> Column:

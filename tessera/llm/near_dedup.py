@@ -10,9 +10,10 @@ shingle costs about one point. Two registers agree with the probability of the w
 Jaccard similarity.
 
 Documents with the same text are one node. Nodes that agree in a band are compared, first
-each with its bucket's pivot. Where a bucket still holds several classes, the nodes tied by
-such buckets are compared with each other in blocks, so every pair of a bucket is either
-checked or already in one class. Checks compute the exact multiset similarity from the texts. Classes are the connected components of the links.
+each with its bucket's pivot. Where a bucket still holds several classes, its nodes outside
+the largest class are compared with all others, in blocks; so every pair of a bucket is either
+checked or already in one class. Checks compute the exact multiset similarity from the texts,
+and each task returns a forest of links. Classes are the connected components of the links.
 
 Defined results: null or empty texts (no words) are each a class of their own; repeated
 rows are in one class, and different texts with one id are judged each by itself (classes that
@@ -26,50 +27,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, small_batches, stored
+from .hashing import ODD, mix, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
 REGISTERS = BANDS * ROWS
-SLICE_BYTES = 4_000_000
-#: Nodes of a block; a task compares two blocks.
+SLICE_BYTES = 2_000_000
+#: Shingles, or products of shingles, worked on at a time.
+STRETCH = 1 << 20
+#: Nodes of a bucket that a task holds, and their shingles; larger buckets are in several units.
 BLOCK = 256
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit hash."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_powers = np.ones(1, dtype=np.uint64)
-
-
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word (none empty)."""
-    global _powers
-    if not len(words):
-        return np.zeros(0, dtype=np.uint64)
-    words = words.cast(pa.large_string())
-    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    starts = (offsets[:-1] - offsets[0]).astype(np.int64)
-    sizes = np.diff(offsets)
-    longest = int(sizes.max())
-    if len(_powers) < longest:
-        _powers = np.cumprod(np.full(longest, 0x100000001B3, dtype=np.uint64), dtype=np.uint64)
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, sizes)
-    return mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _powers[place], starts) + sizes.astype(np.uint64) * _ODD[0])
+BLOCK_SHINGLES = 1 << 18
+#: Nodes compared with a pivot in one unit.
+UNIT = 4096
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +68,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     short = counts[doc] < WORDS
     for k in range(WORDS):
         inside = ~short | (k < counts[doc])
-        out[inside] += h[at[inside] + k] * _ODD[k]
+        out[inside] += h[at[inside] + k] * ODD[k]
     return mix(out), before
 
 
@@ -107,34 +85,43 @@ def multiset(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
     """n x registers points: the earliest of each register; infinite for documents without shingles."""
+    least = np.full((n, registers), np.inf)
+    for k in range(0, len(doc), STRETCH):
+        part = slice(k, k + STRETCH)
+        _lower(least, doc[part], element[part], weight[part])
+    return least
+
+
+def _lower(points: np.ndarray, doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> None:
+    """Take more shingles into the points."""
+    n, registers = points.shape
     parts = [(doc, element, np.zeros(len(doc), dtype=np.int64), np.ones(len(doc), dtype=np.int64), weight)]
     low = 1
-    while len(parts[-1][0]) and (more := np.flatnonzero(weight > low)).size:
+    while (more := np.flatnonzero(weight > low)).size:
         k = len(more)
         parts.append((doc[more], element[more], np.full(k, low), np.full(k, low), weight[more]))
         low *= 2
     doc, element, base, width, weight = (np.concatenate(x) for x in zip(*parts))
-    seed = mix(element + (base.astype(np.uint64) + np.uint64(1)) * _ODD[1])
+    seed = mix(element + (base.astype(np.uint64) + np.uint64(1)) * ODD[1])
     time = np.zeros(len(doc))
-    least = np.full(n * registers, np.inf)
-    last = np.full(n, np.inf)
+    least = points.reshape(-1)
+    last = points.max(axis=1)
     step = np.uint64(0)
     while len(doc):
         step += np.uint64(1)
-        draw = mix(seed + np.uint64((int(step) * int(_ODD[2])) & 0xFFFFFFFFFFFFFFFF))
+        draw = mix(seed + np.uint64((int(step) * int(ODD[2])) & 0xFFFFFFFFFFFFFFFF))
         uniform = ((draw >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
         time = time - np.log(uniform) / width
         early = time < last[doc]
         doc, seed, time, base, width, weight = doc[early], seed[early], time[early], base[early], width[early], weight[early]
-        draw = mix(draw[early] + _ODD[3])
+        draw = mix(draw[early] + ODD[3])
         register = (draw % np.uint64(registers)).astype(np.int64)
         level = base + 1 + ((draw >> np.uint64(32)).astype(np.int64) * width >> 32)
         seen = level <= weight
         np.minimum.at(least, doc[seen] * registers + register[seen], time[seen])
-        last = least.reshape(n, registers).max(axis=1) if n else last
+        last = points.max(axis=1)
         more = time < last[doc]
         doc, seed, time, base, width, weight = doc[more], seed[more], time[more], base[more], width[more], weight[more]
-    return least.reshape(n, registers)
 
 
 def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -142,19 +129,11 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     bits = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), -1, rows)
     out = np.zeros(bits.shape[:2], dtype=np.uint64)
     for k in range(rows):
-        out = mix(out * _ODD[4] + bits[:, :, k])
-    out = mix(out + np.arange(bits.shape[1], dtype=np.uint64) * _ODD[0])
+        out = mix(out * ODD[4] + bits[:, :, k])
+    out = mix(out + np.arange(bits.shape[1], dtype=np.uint64) * ODD[0])
     return out.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Multiset Jaccard of (sorted shingles, times)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    every = int(a[1].sum() + b[1].sum()) - both
-    return both / every if every else 0.0
-
-
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
     at = 0
@@ -194,26 +173,109 @@ def sketch(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     )
 
 
-def _exact(left: pd.Series, right: pd.Series) -> pd.Series:
-    known: dict[str, tuple] = {}
+class Forest:
+    """Classes joined so far, in this task."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+class Bags:
+    """Shingles of some nodes, in order of shingle, and what else is known of the nodes."""
 
-    def bag(text):
-        if text not in known:
-            if len(known) > 64:
-                known.clear()
-            h, before = shingles(pa.array([text]))
-            known[text] = multiset(h, before)[1:]
-        return known[text]
+    def __init__(self, node: list[int], kind: list[int], doc: np.ndarray, element: np.ndarray, times: np.ndarray):
+        order = np.argsort(element, kind="stable")
+        self.node, self.kind = node, kind
+        self.element, self.owner, self.times = element[order], doc[order], times[order]
+        self.total = np.bincount(doc, weights=times, minlength=len(node)).astype(np.int64)
 
-    return pd.Series([similarity(bag(a), bag(b)) for a, b in zip(left, right)], dtype=float)
+    def close(self, doc: np.ndarray, element: np.ndarray, times: np.ndarray, n: int, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(other, own) pairs whose multiset similarity is at_least or more; others are n bags."""
+        first, after = np.searchsorted(self.element, element, side="left"), np.searchsorted(self.element, element, side="right")
+        hits = after - first
+        at = np.repeat(first - (np.cumsum(hits) - hits), hits) + np.arange(int(hits.sum()))
+        pair = np.repeat(doc, hits) * len(self.node) + self.owner[at]
+        both = np.bincount(pair, weights=np.minimum(np.repeat(times, hits), self.times[at]), minlength=n * len(self.node)).reshape(n, -1)
+        total = np.bincount(doc, weights=times, minlength=n)
+        return np.nonzero((both > 0) & (both >= at_least * (total[:, None] + self.total[None, :] - both)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(F.pandas_udf(_exact, "double")("text_a", "text_b") >= at_least).select("a", "b")
+UNITS = "u0 long, u1 int, u2 int, held boolean, node long, class long, text string"
+
+
+def linked(units: DataFrame, at_least: float) -> DataFrame:
+    """Links (a, b) between classes whose nodes are similar enough, of nodes that meet in a unit.
+
+    units: UNITS. Every node of a unit that is not held is compared with the held ones of
+    another class. Held nodes come first and are kept while the others pass by, so memory is
+    bounded by what is held. Links that others in the task already imply are left out: what a
+    task returns is a forest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, unit, waiting, held = Forest(), None, [], None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            key = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            fixed, node, kind = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            ends = [i for i in range(1, len(key)) if key[i] != key[i - 1] or fixed[i] != fixed[i - 1]] + [len(key)]
+            begin = 0
+            for a, b in _slices(batch.column(6)):
+                hashes, before = shingles(batch.column(6).slice(a, b - a))
+                doc, element, times = multiset(hashes, before)
+                doc = doc + a
+                while begin < b:
+                    end = min(b, next(e for e in ends if e > begin))
+                    low, high = np.searchsorted(doc, [begin, end])
+                    own = (doc[low:high] - begin, element[low:high], times[low:high])
+                    if key[begin] != unit:
+                        unit, waiting, held = key[begin], [], None
+                    if fixed[begin]:
+                        waiting.append((node[begin:end], kind[begin:end], *own))
+                    elif waiting or held:
+                        if held is None:
+                            held, waiting = _held(waiting), []
+                        _compare(held, node[begin:end], kind[begin:end], own, at_least, forest, out)
+                    begin = end
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    order = ["u0", "u1", "u2"]
+    dealt = units.select(*[x.split()[0] for x in UNITS.split(", ")]).repartition(*order).sortWithinPartitions(*order, F.desc("held"))
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _held(parts: list[tuple]) -> Bags:
+    node = [x for p in parts for x in p[0]]
+    kind = [x for p in parts for x in p[1]]
+    base = np.cumsum([0, *[len(p[0]) for p in parts]])
+    return Bags(node, kind, np.concatenate([p[2] + k for p, k in zip(parts, base)]), *(np.concatenate([p[i] for p in parts]) for i in (3, 4)))
+
+
+def _compare(held: Bags, node: list[int], kind: list[int], own: tuple, at_least: float, forest: Forest, out: list) -> None:
+    doc, element, times = own
+    # a stretch of rows whose products with the held bags fit in memory
+    step = max(1, STRETCH // max(1, len(held.node) * max(1, -(-len(doc) // max(1, len(node))))))
+    for a in range(0, len(node), step):
+        b = min(len(node), a + step)
+        roots = {forest.root(k) for k in held.kind}
+        if len(roots) == 1 and all(forest.root(k) in roots for k in kind[a:b]):
+            continue
+        low, high = np.searchsorted(doc, [a, b])
+        for i, j in zip(*(x.tolist() for x in held.close(doc[low:high] - a, element[low:high], times[low:high], b - a, at_least))):
+            x, y = kind[a + i], held.kind[j]
+            if node[a + i] != held.node[j] and forest.join(x, y):
+                out.append((min(x, y), max(x, y)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,74 +293,49 @@ def components(links: DataFrame) -> DataFrame:
         again = not after.where("moved").isEmpty()
         labels = after
         if not again:
+            discard(edges)
             return labels.select("node", "class")
 
 
-def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        h, before = shingles(pa.array(batch["text"], pa.string()))
-        doc, element, times = multiset(h, before)
-        cuts = np.searchsorted(doc, np.arange(len(batch) + 1))
-        out = batch[["cluster", "node", "class", "blocks"]].copy()
-        out["elements"] = [element[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        out["times"] = [times[a:b].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        yield out
-
-
-def cross_links(left: pd.DataFrame, right: pd.DataFrame | None, at_least: float) -> pd.DataFrame:
-    """Links between rows of left and of right (or among left's own) that are in different classes."""
-    other = left if right is None else right
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in other["elements"]]
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    times = np.concatenate([np.frombuffer(x, dtype="<i8") for x in other["times"]])
-    total = np.bincount(owner, weights=times, minlength=len(sets))
-    order = np.argsort(flat, kind="stable")
-    flat, owner, times = flat[order], owner[order], times[order]
-    kinds, nodes = other["class"].to_numpy(), other["node"].to_numpy()
-    found = []
-    for i, (node, kind, e, t) in enumerate(zip(left["node"], left["class"], left["elements"], left["times"])):
-        e, t = np.frombuffer(e, dtype=np.uint64), np.frombuffer(t, dtype="<i8")
-        a, b = np.searchsorted(flat, e, side="left"), np.searchsorted(flat, e, side="right")
-        n = b - a
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        both = np.bincount(owner[at], weights=np.minimum(np.repeat(t, n), times[at]), minlength=len(sets))
-        close = (both >= at_least * (total + t.sum() - both)) & (kinds != kind)
-        if right is None:
-            close[: i + 1] = False
-        found += [(min(node, x), max(node, x)) for x in nodes[close].tolist()]
-    return pd.DataFrame(found, columns=["a", "b"])
-
-
-def across(clusters: DataFrame, found: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
-    """Links between nodes of one cluster (node, class) that are in different classes so far (found).
-
-    A cluster is cut into blocks of about BLOCK nodes; a task holds two blocks, so a large
-    cluster is spread over tasks and only links come out.
-    """
-    sized = clusters.select("node", F.col("class").alias("cluster"))
-    sizes = sized.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = sized.join(sizes, "cluster").join(found, "node", "left").select("cluster", "node", F.coalesce("class", "node").alias("class"), "blocks")
-    bags = stored(
-        rows.join(texts, "node").dropDuplicates(["node"]).select("cluster", "node", "class", "blocks", "text").mapInPandas(_bags, "cluster long, node long, class long, blocks int, elements binary, times binary"),
-        "bags",
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    paired = bags.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+def around_pivots(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Units of a pivot (a) and nodes to compare with it (b); pivots of many are in several units."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("parts"))
+    rows = pairs.join(sizes, "a").select(F.col("a").alias("u0"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("u1"), F.col("b").alias("node"))
+    pivots = sizes.select(F.col("a").alias("u0"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("u1"), F.col("a").alias("node"))
+    both = rows.withColumn("held", F.lit(False)).unionByName(pivots.withColumn("held", F.lit(True)))
+    return both.join(texts.select("node", "text"), "node").withColumns({"u2": F.lit(0), "class": F.col("node")})
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-        left, right = rows[rows["own"] == low], rows[rows["own"] == high]
-        if rows["class"].nunique() < 2 or not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        return cross_links(left, None if low == high else right, at_least)
 
-    return paired.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long")
+def across_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Units of buckets (band) whose members (node, class) are in several classes.
+
+    All nodes but those of the bucket's largest class are held, in blocks of bounded size, and
+    every member passes by every block; so a bucket of one large class and a few others takes
+    rows in proportion to its members.
+    """
+    by_class = members.groupBy("band", "class").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
+    sizes = (
+        by_class.groupBy("band")
+        .agg(F.max(F.struct("n", "class", "shingles")).alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("classes"))
+        .where("classes > 1 AND n > 2")  # of two, one is the pivot: they are compared
+    )
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select(
+        "band", F.col("top.class").alias("largest"), blocks(F.col("n"), F.col("shingles")).alias("parts"),
+        blocks(F.col("n") - F.col("top.n"), F.col("shingles") - F.col("top.shingles")).alias("blocks"),
+    )
+    own = members.join(sizes, "band").join(texts.select("node", "text"), "node")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    facts = [F.col("band").alias("u0"), "node", "class", "text"]
+    passing = own.select(*facts, part("parts").alias("u1"), every("blocks").alias("u2"), F.lit(False).alias("held"))
+    held = own.where(F.col("class") != F.col("largest")).select(*facts, every("parts").alias("u1"), part("blocks").alias("u2"), F.lit(True).alias("held"))
+    return passing.unionByName(held)
 
 
 def led(df: DataFrame, id_column: str, text_column: str, at_least: float) -> DataFrame:
     """(doc_id, text_key, shingles, lead_id, lead_key): the least document of each row's class; null for a row without a node."""
+    small_batches(df.sparkSession)
     sketched = stored(sketch(df, id_column, text_column), "sketches")
     nodes = stored(
         sketched.where((F.size("bands") > 0) & F.col("doc_id").isNotNull())
@@ -308,32 +345,21 @@ def led(df: DataFrame, id_column: str, text_column: str, at_least: float) -> Dat
         "nodes",
     )
     in_bands = nodes.select("node", "shingles", F.explode("bands").alias("band"))
-    draw = F.struct("node", "shingles")
-    shared = stored(
-        in_bands.groupBy("band").agg(F.min(draw).alias("p"), F.count("*").alias("n")).where("n > 1").select("band", F.col("p.node").alias("pivot"), F.col("p.shingles").alias("pivot_shingles")),
-        "buckets",
-    )
-    members = stored(in_bands.join(shared, "band"), "members")
-    close = lambda x, y: F.least(x, y) >= at_least * F.greatest(x, y)  # noqa: E731  else the sizes alone rule it out
-    pairs = stored(
-        members.where((F.col("node") != F.col("pivot")) & close(F.col("shingles"), F.col("pivot_shingles")))
-        .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-        .distinct(),
-        "pairs",
-    )
+    buckets = in_bands.groupBy("band").agg(F.min(F.struct("node", "shingles")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    members = stored(in_bands.join(buckets.select("band", F.col("p.node").alias("pivot"), F.col("p.shingles").alias("pivot_shingles")), "band"), "members")
+    named = nodes.select("node", "text_key", "doc_id").join(members.select("node").distinct(), "node", "left_semi")
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text_column).alias("text_key"), F.col(text_column).alias("text"))
-    texts = texts.join(nodes.select("node", "text_key", "doc_id"), ["text_key", "doc_id"]).select("node", "text")
-    links = stored(verified(pairs, texts, at_least), "links")
-    found = components(links)
-    # buckets that still hold several classes: their nodes are compared in blocks, whole bags at a time
-    own = stored(members.join(found, "node", "left").select("band", "node", "pivot", F.coalesce("class", "node").alias("class")), "members")
-    split = own.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most AND n > 2").select("band")
-    apart = own.join(split, "band")
-    ties = apart.where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    if not ties.isEmpty():
-        more = stored(across(components(ties), found, texts, at_least), "links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    texts = stored(texts.join(named, ["text_key", "doc_id"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    close = F.least("shingles", "pivot_shingles") >= at_least * F.greatest("shingles", "pivot_shingles")  # else the sizes alone rule it out
+    pairs = stored(members.where((F.col("node") != F.col("pivot")) & close).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    found = components(stored(linked(around_pivots(pairs, texts), at_least), "links"))
+    own = members.join(found, "node", "left").select("band", "node", "shingles", F.coalesce("class", "node").alias("class"))
+    more = stored(linked(across_classes(stored(own, "members"), texts), at_least), "links")
+    if not more.isEmpty():
+        again = components(more).select(F.col("node").alias("class"), F.col("class").alias("final"))
+        # classes of one node have no row in found yet
+        alone = again.select(F.col("class").alias("node"), "class").join(found.select("node"), "node", "left_anti")
+        found = found.unionByName(alone).join(again, "class", "left").select("node", F.coalesce("final", "class").alias("class"))
     named = nodes.join(found, "node", "left").select("text_key", "doc_id", F.coalesce("class", "node").alias("class"))
     leads = named.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("lead"))
     named = named.join(leads, "class").select("text_key", F.col("lead.doc_id").alias("lead_id"), F.col("lead.text_key").alias("lead_key"))

@@ -1,5 +1,6 @@
 """Plain Python versions of what the queries return."""
 
+import numpy as np
 import hashlib
 import re
 from collections import Counter
@@ -78,3 +79,11 @@ def substring_cover(docs, length):
                 cover[i : i + length] = b"\1" * length
         out.append((d, bytes(cover)))
     return out
+
+
+def similarity(a, b):
+    """Multiset Jaccard of (sorted shingles, times)."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    every = int(a[1].sum() + b[1].sum()) - both
+    return both / every if every else 0.0

@@ -53,7 +53,7 @@ def expected_classes(rows):
 
     for i, _ in rows:
         for j in range(i):
-            if len(bags[i][0]) and near_dedup.similarity(bags[i], bags[j]) >= 0.8:
+            if len(bags[i][0]) and brute.similarity(bags[i], bags[j]) >= 0.8:
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     return {i: root(i) for i, _ in rows}
@@ -69,6 +69,42 @@ def test_near_duplicate_classes(spark):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_signatures_do_not_depend_on_the_stretch(monkeypatch):
+    doc, element = np.repeat([0, 1, 2], [300, 5, 700]), near_dedup.mix(np.arange(1005, dtype=np.uint64))
+    weight = 1 + np.arange(1005) % 9
+    whole = near_dedup.signatures(doc, element, weight, 4)
+    monkeypatch.setattr(near_dedup, "STRETCH", 64)
+    assert np.array_equal(whole, near_dedup.signatures(doc, element, weight, 4)) and np.isinf(whole[3]).all()
+
+
+def test_a_family_of_near_copies(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(90)]
+    rows = []
+    for i in range(700):  # similar to some of the family only: many classes meet in its buckets
+        words = list(base)
+        for k in rng.sample(range(90), rng.choice([1, 2, 3, 4])):
+            words[k] = rng.choice(WORDS)
+        rows.append((i, " ".join(words)))
+    rows += [(i, rows[i % 700][1]) for i in range(700, 900)]
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "UNIT", 64)
+    seen = []
+    real = near_dedup.linked
+    monkeypatch.setattr(near_dedup, "linked", lambda units, least: seen.append(real(units, least)) or seen[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(df).collect()}
+    assert got == expected_classes(rows)
+    assert [links.count() <= 4 * 900 for links in seen] == [True, True]  # a forest from each task
+
+
+def test_a_very_long_text_and_hot_words(spark):
+    long = " ".join(RNG.choice(WORDS) for _ in range(150_000))
+    rows = [(1, long), (2, long + " more"), (3, "the " * 60_000), (4, "the " * 60_000 + "end"), (5, prose(40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_null_ids_take_no_links(spark):
     rng = random.Random(3)
     text = " ".join(rng.choice(WORDS) for _ in range(60))
@@ -141,6 +177,48 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_match_brute_force(spark):
+    def table(item, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    rng = random.Random(21)
+    items = [(i, prose(rng.randint(1, 14))) for i in range(12)] + [(None, "an item without an id, and some words"), (5, "second item of one id, long enough")]
+    rows = []
+    for i in range(60):
+        part = list(rng.choice(items)[1])
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
+            k = rng.randrange(len(part))
+            part[k : k + rng.choice([0, 1])] = rng.choice(["", "z", "é"])
+        rows.append((rng.choice([i, i, None, 9007199254740993 + 2 * i]), prose(3) + rng.choice(["\n", " "]) + "".join(part).title() + " " + prose(4)))
+    rows += [rows[0], rows[0], (70, "x" * 200_000 + items[3][1])]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, item_id string").repartition(3)
+    got = sorted((str(r["doc_id"]), str(r["item_id"]), r["item_length"], r["distance"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = []
+    for d, t in rows:
+        for i, item in items:
+            a, b = decontaminate.plain(item), decontaminate.plain(t[-400:])
+            if (n := table(a, b)) <= decontaminate.budget(a):
+                want.append((str(d), str(i), len(a), n))
+    assert got == sorted(want) and len(want) > 40
+
+
+def test_labels_with_nulls_and_repeats(spark):
+    rows = [(i, f"good prose number {i} about rivers and mills") if i % 2 else (i, f"%%% buy {i} now %%% buy") for i in range(60)] + [(7, "another text of one id")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 2, 0) for i in range(40)] + [(41, None, None), (43, None, 0), (None, 1, 0), (999, 0, 0), (7, 1, 0)]
+    model = quality_model.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = quality_model.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), model=model)
+    kept = {r["doc_id"]: r["kept"] for r in out.collect()}
+    assert all(kept[i] == (i % 2 == 1) for i in range(40, 60)) and out.count() == 63
+    assert quality_model.classify(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
 def test_classifier_on_held_out_rows(spark):
     bad = ["vile", "rotten"]
     rows, labels = [], []
