@@ -171,7 +171,11 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def vcf_header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """(header lines, sample names): the head of a file, read on the driver."""
-    head = [r["value"] for r in spark.read.text(path).where(F.col("value").startswith("#")).limit(100_000).toLocalIterator()]
+    head = []
+    for r in spark.read.text(path).where(F.col("value").startswith("#")).toLocalIterator():  # a partition at a time
+        head.append(r["value"])
+        if r["value"].startswith("#CHROM"):
+            break
     columns = next((h.rstrip("\n").split("\t") for h in head if h.startswith("#CHROM")), [])
     return head, columns[9:]
 
@@ -186,7 +190,7 @@ def choose_samples(head: list[str], samples: list[str], sample_id: str | int | N
     pairs: list[tuple[str, str]] = []
     for h in head:
         if h.startswith("##PEDIGREE"):
-            tag = dict(re.findall(r"(\w+)=([^,>]+)", h))
+            tag = dict(re.findall(r"(\w+)=([^,<>]+)", h.partition("=")[2]))
             if "Derived" in tag:
                 pairs.append((tag["Derived"], tag.get("Original")))
         elif h.startswith(("##GATKCommandLine", "##MuTect")):

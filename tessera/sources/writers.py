@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import genome as g
+from ..operators.order import numbered
 from ..operators.ranges import range_join, with_row_id
 
 
@@ -24,7 +25,8 @@ def short_float(c: Column) -> Column:
 
 
 def as_text(df: DataFrame) -> DataFrame:
-    return df.select(*[short_float(F.col(c).cast("double")).alias(c) if t in ("double", "float") else F.col(c).cast("string").alias(c) for c, t in df.dtypes])
+    own = lambda c: F.col(f"`{c}`")
+    return df.select(*[short_float(own(c).cast("double")).alias(c) if t in ("double", "float") else own(c).cast("string").alias(c) for c, t in df.dtypes])
 
 
 def tab_table(df: DataFrame) -> DataFrame:
@@ -113,6 +115,7 @@ def export_bed(segments: DataFrame, ploidy: int = 2, male_reference: bool = Fals
 
 def vcf_header(version: str = "4.2", sample: str = "sample") -> str:
     """SNK-10: the head of a file of structural variants."""
+    # fixed values of the format
     info = [
         ("CIEND", 2, "Integer", "Confidence interval around END for imprecise variants"), ("CIPOS", 2, "Integer", "Confidence interval around POS for imprecise variants"),
         ("END", 1, "Integer", "End position of the variant described in this record"), ("IMPRECISE", 0, "Flag", "Imprecise structural variation"),
@@ -216,7 +219,8 @@ def export_nexus_ogt(bins: DataFrame, variants: DataFrame, min_weight: float = 0
 
 def merge_samples(bins: DataFrame, samples: list[str]) -> DataFrame:
     """SNK-15: one log2 column for each sample; samples must have the same bins, each once."""
-    wide = bins.withColumn("label", g.label()).groupBy("chromosome", "start", "end", "gene", "label").pivot("sample_id", samples).agg(F.struct(F.first("log2").alias("v"), F.count("*").alias("n")))
+    name = F.concat_ws(":", "chromosome", F.concat_ws("-", "start", "end"), "gene")
+    wide = bins.withColumn("label", name).groupBy("chromosome", "start", "end", "gene", "label").pivot("sample_id", samples).agg(F.struct(F.first("log2").alias("v"), F.count(F.lit(1)).alias("n")))
     wrong = F.lit(False)
     for s in samples:
         wrong = wrong | F.col(f"`{s}`.n").isNull() | (F.col(f"`{s}`.n") != 1)
@@ -225,16 +229,19 @@ def merge_samples(bins: DataFrame, samples: list[str]) -> DataFrame:
 
 
 def export_cdt(bins: DataFrame, samples: list[str]) -> DataFrame:
-    """SNK-15: a clustering table with its row of weights."""
-    wide = merge_samples(bins, samples)
-    rows = wide.select(F.concat(F.lit("GENE"), F.xxhash64("label").cast("string"), F.lit("X")).alias("GID"), F.concat_ws(":", "chromosome", "start").alias("CLID"), "label", F.lit(1).alias("GWEIGHT"), *samples)
-    return rows.withColumnRenamed("label", "NAME")
+    """SNK-15: a clustering table: two rows of its own, then one for each bin, numbered in order."""
+    wide = numbered(merge_samples(bins, samples).withColumn("_key", g.chrom_key()), ["_key", "start", "end", "gene"], "_i")
+    text = lambda c: F.col(f"`{c}`").cast("string").alias(c)
+    number = F.col("_i").cast("string")
+    rows = wide.select(F.concat(F.lit("GENE"), number, F.lit("X")).alias("GID"), F.concat(F.lit("IMAGE:"), number).alias("CLID"), F.col("label").alias("NAME"), F.lit("1").alias("GWEIGHT"), *map(text, samples))
+    head = [["AID", "", "", "", *(f"ARRY{i:03d}X" for i in range(len(samples)))], ["EWEIGHT", "", "", "", *["1"] * len(samples)]]
+    return bins.sparkSession.createDataFrame(head, rows.schema).unionByName(rows)
 
 
 def export_jtv(bins: DataFrame, samples: list[str]) -> DataFrame:
     """SNK-15."""
     wide = merge_samples(bins, samples)
-    return wide.select(F.col("label").alias("CloneID"), F.col("label").alias("Name"), *samples)
+    return wide.select(F.lit("IMAGE:").alias("CloneID"), F.col("label").alias("Name"), *samples)
 
 
 EXPORTS: dict[str, Callable[..., DataFrame]] = {
