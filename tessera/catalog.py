@@ -227,31 +227,6 @@ def agg_by_chromosome(spark, sf):
     return bins(spark, sf).groupBy("chromosome").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-@query()
-def agg_by_gene(spark, sf):
-    return runs.by_gene(bins(spark, sf)).groupBy("chromosome", "gene_name").agg(F.count("*").alias("n"))
-
-
-@query()
-def agg_squash_genes(spark, sf):
-    return runs.squash_genes(bins(spark, sf).drop("row_id"))
-
-
-@query()
-def agg_transfer_fields(spark, sf):
-    return runs.transfer_fields(segment.segment_none(bins(spark, sf)), bins(spark, sf)).drop("row_id")
-
-
-@query()
-def agg_targets(spark, sf):
-    return intervals.targets(regions(spark, sf).drop("row_id"), bins(spark, sf), split=True)
-
-
-@query()
-def agg_off_targets(spark, sf):
-    return intervals.off_targets(intervals.merge(regions(spark, sf)).select("chromosome", "start", "end"), None, 20000)
-
-
 # -- sorts, sets --------------------------------------------------------------------------------
 
 
@@ -284,12 +259,6 @@ def win_residuals(spark, sf):
     return signal.residuals(bins(spark, sf)).select("row_id", r6("residual", "residual"))
 
 
-@query(f'SELECT s.row_id, q.row_id AS seg, round(s.log2-q.log2,6) AS residual FROM iv_bins s JOIN seg q ON s.chromosome=q.chromosome AND s.start>=q.start AND s."end"<=q."end"'.replace("SELECT s.row_id", CALLS + " SELECT s.row_id", 1))
-def win_residuals_segments(spark, sf):
-    pairs = ranges.range_join(calls(spark, sf), bins(spark, sf), "inner")
-    return pairs.select("s.row_id", F.col("q.row_id").alias("seg"), r6(F.col("s.log2") - F.col("q.log2"), "residual"))
-
-
 @query(""", z AS (SELECT row_id, 1/(1+depth) AS p FROM iv_bins), r AS (SELECT *, row_number() OVER (ORDER BY p,row_id) AS rk, count(*) OVER () AS n FROM z)
  SELECT row_id, round(least(1,min(p*n/rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)),6) AS q FROM r""")
 def win_bh_adjust(spark, sf):
@@ -332,26 +301,6 @@ def win_rolling_median(spark, sf):
     return signal.rolling_median(bins(spark, sf), 0.1)
 
 
-@query()
-def win_rolling_quantile(spark, sf):
-    return signal.rolling_quantile(bins(spark, sf), 21, 0.9)
-
-
-@query()
-def win_rolling_std(spark, sf):
-    return signal.rolling_std(bins(spark, sf), 21)
-
-
-@query()
-def win_savgol(spark, sf):
-    return signal.savgol(bins(spark, sf), 21)
-
-
-@query()
-def win_kaiser(spark, sf):
-    return signal.kaiser(bins(spark, sf), 21)
-
-
 @query()
 def win_smooth_log2(spark, sf):
     return signal.smooth_log2(bins(spark, sf))
@@ -367,11 +316,6 @@ def win_center_by_window(spark, sf):
     return signal.center_by_window(bins(spark, sf), 0.1, F.col("depth"), ["chromosome"])
 
 
-@query()
-def win_ewm(spark, sf):
-    return signal.ewm(bins(spark, sf).withColumn("sample_id", F.col("chromosome")))
-
-
 @query()
 def win_shorten_labels(spark, sf):
     return signal.shorten_labels(bins(spark, sf))
@@ -385,15 +329,6 @@ def sta_segment_mean(spark, sf):
     return copynum.segment_mean(bins(spark, sf), regions(spark, sf)).select("row_id", r6("mean", "mean"))
 
 
-@query(""", d AS (SELECT *, abs(log2-median(log2) OVER (PARTITION BY chromosome)) AS gp FROM iv_bins)
- SELECT chromosome, round(median(gp)*1.4826,6) AS mad, round(quantile_cont(log2,0.75::DOUBLE)-quantile_cont(log2,0.25::DOUBLE),6) AS iqr, round(var_pop(log2),6) AS mse FROM d GROUP BY 1""")
-def sta_mad_iqr(spark, sf):
-    from pyspark.sql.window import Window
-
-    rows = bins(spark, sf).withColumn("gp", F.abs(F.col("log2") - F.median("log2").over(Window.partitionBy("chromosome"))))
-    return rows.groupBy("chromosome").agg(r6(F.median("gp") * stats.MAD_SCALE, "mad"), r6(stats.iqr("log2"), "iqr"), r6(F.var_pop("log2"), "mse"))
-
-
 @query(CALLS + f""", p AS (SELECT q.row_id, s.log2 AS x, s.weight AS w, s.log2-q.log2 AS d FROM iv_bins s JOIN seg q ON s.chromosome=q.chromosome AND {OUTER}),
  h AS (SELECT row_id, sum(x*w)/sum(w) AS mean, median(x) AS median, stddev_pop(d) AS stdev, var_pop(d) AS mse, quantile_cont(d,0.75::DOUBLE)-quantile_cont(d,0.25::DOUBLE) AS iqr, quantile_cont(x,0.025::DOUBLE) AS pi_lo, quantile_cont(x,0.975::DOUBLE) AS pi_hi FROM p GROUP BY 1)
  SELECT s.row_id, round(mean,6) AS mean, round(median,6) AS median, round(stdev,6) AS stdev, round(mse,6) AS mse, round(iqr,6) AS iqr, round(pi_lo,6) AS pi_lo, round(pi_hi,6) AS pi_hi FROM seg s LEFT JOIN h USING (row_id)""")
@@ -408,24 +343,6 @@ def sta_segment_metrics_arrow(spark, sf):
     return out.drop("row_id")
 
 
-@query()
-def sta_biweight(spark, sf):
-    loc, mid = stats.udaf(stats.biweight_location), stats.udaf(stats.biweight_midvariance)
-    return bins(spark, sf).groupBy("chromosome").agg(loc("log2").alias("location"), mid("log2").alias("spread"))
-
-
-@query()
-def sta_weighted_median(spark, sf):
-    return bins(spark, sf).groupBy("chromosome").agg(stats.udaf(stats.weighted_median, weighted=True)("log2", "weight").alias("weighted_median"))
-
-
-@query()
-def sta_scales(spark, sf):
-    rows = bins(spark, sf).groupBy("chromosome")
-    two = lambda k: stats.udaf(k, weighted=True)("log2", "weight")
-    return rows.agg(stats.udaf(stats.gapper_scale)("log2").alias("gapper"), stats.udaf(stats.q_n)("log2").alias("q_n"), two(stats.weighted_mad).alias("weighted_mad"), two(stats.weighted_std).alias("weighted_std"))
-
-
 @query(""", a AS (SELECT chromosome, avg(log2) AS m FROM iv_bins WHERE regexp_full_match(chromosome,'(chr)?[0-9]+') GROUP BY 1) SELECT row_id, round(log2-(SELECT avg(m) FROM a),6) AS log2 FROM iv_bins""")
 def sta_center_all(spark, sf):
     return copynum.center_all(bins(spark, sf)).select("row_id", r6("log2", "log2"))
@@ -441,22 +358,11 @@ def sta_sex(spark, sf):
     return copynum.sex_table(bins(spark, sf))
 
 
-@query()
-def sta_sample_metrics(spark, sf):
-    return copynum.sample_metrics(bins(spark, sf))
-
-
 @query()
 def sta_bin_test(spark, sf):
     return copynum.bin_test(bins(spark, sf), alpha=0.5)
 
 
-@query()
-def sta_apply_weights(spark, sf):
-    rows = bins(spark, sf).drop("weight").withColumns({"ref_log2": F.lit(0.25), "ref_spread": F.lit(0.1)})
-    return copynum.apply_weights(rows)
-
-
 # -- columns ------------------------------------------------------------------------------------
 
 
@@ -527,35 +433,9 @@ def fun_depth_to_bin(spark, sf):
     return bins(spark, sf).where("depth > 0").select("row_id", g.depth_to_bin(F.col("depth")).alias("bin_size"))
 
 
-@query("SELECT p_partkey, length(p_name) - length(regexp_replace(p_name,'[GCgc]','','g')) AS gc FROM part")
-def fun_gc_count(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
-    return part.select("p_partkey", F.regexp_count("p_name", F.lit("[GCgc]")).cast("long").alias("gc"))
-
-
-@query()
-def fun_final_call(spark, sf):
-    return copynum.call(calls(spark, sf), variants(spark, sf).drop("n_alt_freq"), filters=("cn",)).drop("row_id")
-
-
 # -- genes, segments, coverage, exports ---------------------------------------------------------
 
 
-@query()
-def gen_breaks(spark, sf):
-    return copynum.gene_breaks(bins(spark, sf), segment.segment_none(bins(spark, sf).withColumn("sample_id", F.lit("s"))).drop("sample_id"))
-
-
-@query()
-def gen_metrics(spark, sf):
-    return copynum.gene_metrics(bins(spark, sf))
-
-
-@query()
-def gen_metrics_by_segment(spark, sf):
-    return copynum.gene_metrics(bins(spark, sf), segment.segment_none(bins(spark, sf)))
-
-
 @query("SELECT chromosome, min(start) AS start, max(\"end\") AS \"end\", round(sum(log2*weight)/sum(weight),6) AS log2, count(*) AS probes FROM arms GROUP BY chromosome, arm".join([ARMS.replace("5000", "100000") + " ", ""]))
 def seg_none(spark, sf):
     return segment.segment_none(bins(spark, sf)).select("chromosome", "start", "end", r6("log2", "log2"), "probes")
@@ -601,11 +481,6 @@ def fix_correct(spark, sf):
     return copynum.correct(one, ref)
 
 
-@query()
-def clu_samples(spark, sf):
-    return copynum.cluster_samples(cohort(spark, sf, 6))
-
-
 @query(CALLS + " SELECT 'sample' AS \"ID\", chromosome AS chrom, start+1 AS \"loc.start\", \"end\" AS \"loc.end\", probes AS \"num.mark\", round(log2,6) AS \"seg.mean\" FROM seg")
 def snk_seg(spark, sf):
     return writers.seg_table(calls(spark, sf)).withColumn("seg.mean", F.round("`seg.mean`", 6))
@@ -621,11 +496,6 @@ def snk_bed(spark, sf):
     return writers.export_bed(calls(spark, sf))
 
 
-@query()
-def snk_vcf(spark, sf):
-    return writers.export_vcf(calls(spark, sf), bins=bins(spark, sf))
-
-
 @query(CALLS + """, n AS (SELECT *, dense_rank() OVER (ORDER BY CAST(substr(chromosome,4) AS INT)) AS chrm FROM seg WHERE chromosome NOT IN ('chrX','chrY'))
  SELECT 'start_' || chrm || '_' || start || ':end_' || chrm || '_' || "end" AS "#ID", CAST(chrm AS INTEGER) AS chrm, start, "end", CAST(round_even(probes*200*(pow(2,log2)*500)/100,0) AS BIGINT) AS "tumorCount", CAST(round_even(probes*200*500/100,0) AS BIGINT) AS "normalCount" FROM n""")
 def snk_theta(spark, sf):
@@ -637,11 +507,3 @@ def snk_interval(spark, sf):
     return writers.interval_table(regions(spark, sf))
 
 
-@query()
-def snk_jtv(spark, sf):
-    return writers.export_jtv(cohort(spark, sf), ["s0", "s1", "s2"])
-
-
-@query()
-def snk_nexus_ogt(spark, sf):
-    return writers.export_nexus_ogt(bins(spark, sf), variants(spark, sf))

@@ -30,7 +30,10 @@ def tabbed(*parts) -> Column:
     return F.concat_ws("\t", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
 
 
-STRAND = F.when(F.col("row_id") % 2 == 0, "+").otherwise("-")
+def strand() -> Column:
+    return F.when(F.col("row_id") % 2 == 0, "+").otherwise("-")
+
+
 STRAND_SQL = "CASE WHEN row_id%2=0 THEN '+' ELSE '-' END"
 SIX = "CAST(printf('%.6g', {}) AS DOUBLE)"
 
@@ -50,7 +53,7 @@ def src_tab(spark, sf):
 
 
 def _bed(spark, sf) -> str:
-    rows = regions(spark, sf).select(F.col("row_id").alias("i"), tabbed("chromosome", "start", "end", "gene", F.lit("0"), STRAND).alias("value"))
+    rows = regions(spark, sf).select(F.col("row_id").alias("i"), tabbed("chromosome", "start", "end", "gene", F.lit("0"), strand()).alias("value"))
     return text_file(spark, rows, "browser position chr1:1-1000", "# a comment")
 
 
@@ -90,7 +93,7 @@ def _gff(spark, sf) -> str:
     kind = F.when(F.col("row_id") % 3 == 0, "exon").otherwise("gene")
     note = F.concat(F.lit("ID=x"), F.col("row_id").cast("string"), F.when(F.col("row_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(";Name="), F.col("gene"))), F.lit(";note=n"))
     score = F.when(F.col("row_id") % 2 == 0, ".").otherwise((F.col("row_id") % 100).cast("string"))
-    line = tabbed("chromosome", F.lit("made"), kind, F.col("start") + 1, "end", score, STRAND, F.lit("."), note)
+    line = tabbed("chromosome", F.lit("made"), kind, F.col("start") + 1, "end", score, strand(), F.lit("."), note)
     return text_file(spark, regions(spark, sf).select(F.col("row_id").alias("i"), line.alias("value")), "##gff-version 3")
 
 
@@ -124,7 +127,7 @@ def src_import_picard(spark, sf):
 def _refflat(spark, sf) -> str:
     text = lambda *c: F.concat_ws(",", *[x.cast("string") for x in c], F.lit(""))
     s, e = F.col("start"), F.col("end")
-    line = tabbed("gene", F.concat(F.lit("NM_"), F.col("row_id").cast("string")), "chromosome", STRAND, s + 1, e, s + 11, e - 10, F.lit("2"), text(s + 1, s + 31), text(s + 20, e))
+    line = tabbed("gene", F.concat(F.lit("NM_"), F.col("row_id").cast("string")), "chromosome", strand(), s + 1, e, s + 11, e - 10, F.lit("2"), text(s + 1, s + 31), text(s + 20, e))
     return text_file(spark, regions(spark, sf).select(F.col("row_id").alias("i"), line.alias("value")))
 
 

@@ -175,6 +175,11 @@ def shift_xx(df: DataFrame, male_reference: bool = False, is_xx: bool | None = N
     return df.withColumn("log2", F.col("log2") + F.when(is_x(), shift).otherwise(0.0))
 
 
+def shuffle(df: DataFrame, seed: int = SEED) -> DataFrame:
+    """PRJ-19: rows in an order that a seed fixes."""
+    return df.orderBy(F.xxhash64(*df.columns, F.lit(seed)), *df.columns)
+
+
 def expect_flat_log2(male_reference: bool = False) -> Column:
     """PRJ-17: the log-ratio of an even genome."""
     low = is_y() | is_x() if male_reference else is_y()

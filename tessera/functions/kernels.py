@@ -143,9 +143,9 @@ def kaiser(x: np.ndarray, width: float, weights: np.ndarray | None = None, fit_e
     y = convolve(window, y) if weights is None else convolve_weighted(window, y, mirrored(np.asarray(weights, dtype=float), wing))[0]
     y = y[wing:-wing].copy()
     if fit_edges and len(x) > 2 * wing > 3:
-        at = np.arange(wing)
-        y[:wing] = np.polyval(np.polyfit(at, x[:wing], 3), at)
-        y[-wing:] = np.polyval(np.polyfit(at, x[-wing:], 3), at)
+        at = np.arange(2 * wing + 1)  # fitted to a whole window, of which the outer half is taken
+        y[:wing] = np.polyval(np.polyfit(at, x[: 2 * wing + 1], 3), at)[:wing]
+        y[-wing:] = np.polyval(np.polyfit(at, x[-2 * wing - 1 :], 3), at)[-wing:]
     return y
 
 

@@ -141,15 +141,37 @@ def gapper_scale(a) -> float:
     return float((np.diff(a) * i * (n - i)).sum()) * math.sqrt(math.pi) / (n * (n - 1))
 
 
+def _gaps_upto(a: np.ndarray, x: float) -> int:
+    """How many pairs of sorted values differ by x or less."""
+    return int((np.searchsorted(a, a + x, side="right") - np.arange(1, len(a) + 1)).sum())
+
+
+def _nth_gap(a: np.ndarray, nth: int) -> float:
+    """The nth smallest (from 0) difference of two sorted values, by bisection over the bits of a double."""
+    low, high = 0, int(np.float64(a[-1] - a[0]).view(np.int64))
+    while low < high:
+        mid = (low + high) // 2
+        if _gaps_upto(a, float(np.int64(mid).view(np.float64))) > nth:
+            high = mid
+        else:
+            low = mid + 1
+    return float(np.int64(low).view(np.float64))
+
+
 def q_n(a) -> float:
-    """STA-07: the first quartile of pairwise differences over a factor for the sample's size."""
-    a = _clean(a)
+    """STA-07: the first quartile of pairwise differences over a factor for the sample's size.
+
+    The quartile is searched for by counting, so memory stays in proportion to the values.
+    """
+    a = np.sort(_clean(a))
     n = len(a)
     if n < 2:
         return 0.0 if n else math.nan
-    gaps = np.abs(a[:, None] - a[None, :])[np.triu_indices(n, 1)]
+    place = 0.25 * (n * (n - 1) // 2 - 1)
+    below = _nth_gap(a, math.floor(place))
+    gap = below + (place - math.floor(place)) * (_nth_gap(a, math.ceil(place)) - below)
     factor = 1.392 if n <= 10 else 1 + 4 / n if n < 400 else 1.0
-    return float(np.percentile(gaps, 25)) / factor
+    return gap / factor
 
 
 def bootstrap_interval(values, weights, alpha: float = 0.05, bootstraps: int = 100, smoothed: bool = False, seed: int = 0xA5EED) -> tuple[float, float]:
@@ -159,13 +181,16 @@ def bootstrap_interval(values, weights, alpha: float = 0.05, bootstraps: int = 1
     if k < 2:
         return (float(values[0]),) * 2 if k else (math.nan, math.nan)
     bootstraps = max(bootstraps, int(math.ceil(2 / alpha)))
-    rng = np.random.RandomState(seed)
-    chosen = rng.randint(0, k, size=(bootstraps, k))
+    rng, noise = np.random.RandomState(seed), np.random.RandomState(seed)
+    if smoothed:  # the noise is drawn after all choices, which are made again below, one resample at a time
+        for _ in range(bootstraps):
+            noise.randint(0, k, size=k)
     means = np.empty(bootstraps)
     for b in range(bootstraps):
-        v, w = values[chosen[b]], weights[chosen[b]]
+        chosen = rng.randint(0, k, size=k)
+        v, w = values[chosen], weights[chosen]
         if smoothed:
-            v = v + k**-0.25 * np.sqrt(np.maximum(1 - w, 0)) * rng.randn(k)
+            v = v + k**-0.25 * np.sqrt(np.maximum(1 - w, 0)) * noise.randn(k)
         means[b] = np.average(v, weights=w) if w.sum() else v.mean()
     low, high = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
     return float(low), float(high)

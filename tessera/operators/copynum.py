@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.window import Window
 
 from ..functions import genome as g
@@ -368,25 +370,69 @@ def gene_metrics(bins: DataFrame, segments: DataFrame | None = None, threshold:
 # -- clusters -----------------------------------------------------------------------------------
 
 
-def cluster_samples(samples: DataFrame, k: int | None = None, seed: int = g.SEED) -> DataFrame:
-    """CLU-01/03: (sample_id, cluster): k-means on whitened principal components of the samples' log-ratios.
+def sample_components(samples: DataFrame, parts: int) -> tuple[list, np.ndarray]:
+    """CLU-03: (sample ids, their places on the first principal components of the log-ratios).
 
-    A sample is one vector; there are as many rows as samples, as in the pool itself.
+    Bins are many and samples few, so the products of samples are summed over bins (the
+    samples x samples matrix is all that reaches the driver) and its eigenvectors taken.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = samples.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("chromosome", "start", "end", "log2"))).alias("x"))
-    vectors = vectors.select("sample_id", array_to_vector(F.transform("x", lambda v: v["log2"])).alias("features"))
-    n = vectors.count()
-    k = k or max(1, round(math.log(max(n, 1), 3)))
-    if n < 2 or k < 2:
-        return vectors.select("sample_id", F.lit(0).alias("cluster"))
-    parts = min(3, n)
-    reduced = PCA(k=parts, inputCol="features", outputCol="pca").fit(vectors).transform(vectors)
-    white = StandardScaler(inputCol="pca", outputCol="white", withMean=True).fit(reduced).transform(reduced)
-    return KMeans(k=k, seed=seed, featuresCol="white", predictionCol="cluster").fit(white).transform(white).select("sample_id", "cluster")
+    ids = sorted(r["sample_id"] for r in samples.select("sample_id").distinct().collect())  # as many as there are samples
+    n = len(ids)
+    by_bin = samples.groupBy("chromosome", "start", "end").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "log2"))).alias("m"))
+    rows = by_bin.select(F.transform(F.array(*[F.lit(i) for i in ids]), lambda i: F.element_at("m", i)).alias("x"))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            x = np.array(batch["x"].tolist(), dtype=float).reshape(-1, n)
+            x = x - x.mean(axis=1, keepdims=True)
+            total += x.T @ x
+        i, j = np.indices((n, n))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    gram = np.zeros((n, n))
+    for r in rows.mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        gram[r["i"], r["j"]] = r["v"]
+    value, vector = np.linalg.eigh(gram)
+    first = np.argsort(-value, kind="stable")[:parts]
+    real = value[first] > 1e-10 * value.max(initial=0)  # what is smaller is rounding
+    places = vector[:, first] * np.sqrt(np.where(real, value[first], 0))
+    lead = np.sign(places[np.abs(places).argmax(axis=0), np.arange(places.shape[1])]) if n else 1
+    return ids, places * np.where(lead == 0, 1, lead)
+
+
+def k_means(points: np.ndarray, k: int, seed: int = g.SEED, starts: int = 20, rounds: int = 100) -> np.ndarray:
+    """Labels in order of first use: the best of several seeded starts by k-means++."""
+    rng = np.random.default_rng(seed)
+    best, labels = math.inf, np.zeros(len(points), dtype=int)
+    for _ in range(starts):
+        centers = points[rng.integers(len(points))][None]
+        while len(centers) < k:
+            gap = ((points[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1)
+            share = gap / gap.sum() if gap.sum() > 0 else np.full(len(points), 1 / len(points))
+            centers = np.vstack([centers, points[rng.choice(len(points), p=share)]])
+        for _ in range(rounds):
+            own = ((points[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+            moved = np.array([points[own == c].mean(axis=0) if (own == c).any() else centers[c] for c in range(k)])
+            if np.allclose(moved, centers):
+                break
+            centers = moved
+        cost = float(((points - centers[own]) ** 2).sum())
+        if cost < best - 1e-12:
+            best, labels = cost, own
+    _, first, which = np.unique(labels, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[which]
+
+
+def cluster_samples(samples: DataFrame, k: int | None = None, seed: int = g.SEED) -> DataFrame:
+    """CLU-01: (sample_id, cluster): k-means on three principal components of the samples, each scaled to unit spread."""
+    ids, places = sample_components(samples, 3)
+    spread = places.std(axis=0)
+    points = places / np.where(spread > 0, spread, 1)
+    k = k or max(1, round(math.log(max(len(ids), 1), 3)))
+    labels = k_means(points, k, seed) if len(ids) >= k > 1 else np.zeros(len(ids), dtype=int)
+    schema = StructType([samples.schema["sample_id"]]).add("cluster", IntegerType())
+    return samples.sparkSession.createDataFrame(list(zip(ids, labels.tolist())), schema)
 
 
 def clustered_reference(samples: DataFrame, min_size: int = 4) -> DataFrame:
@@ -398,15 +444,28 @@ def clustered_reference(samples: DataFrame, min_size: int = 4) -> DataFrame:
     return rows.groupBy("chromosome", "start", "end", "cluster").agg(center("log2").alias("log2"), wide("log2").alias("spread"))
 
 
-def markov_clusters(matrix: np.ndarray, inflation: float = 2.0, rounds: int = 100) -> list[tuple[int, ...]]:
-    """CLU-02: Markov clustering of a correlation matrix of samples, on the driver."""
-    flow = np.clip(np.asarray(matrix, dtype=float), 0, None) + np.eye(len(matrix))
-    flow /= flow.sum(axis=0)
+def markov_clusters(matrix: np.ndarray, inflation: float = 5.0, rounds: int = 100, least: float = 1e-3) -> list[tuple[int, ...]]:
+    """CLU-02: Markov clustering of a similarity matrix of samples, on the driver."""
+    if inflation <= 1:
+        raise ValueError("inflation must be above 1")
+    flow = np.asarray(matrix, dtype=float)
+    flow = flow / flow.sum(axis=0)
     for _ in range(rounds):
-        before = flow
-        flow = np.linalg.matrix_power(flow, 2) ** inflation
-        flow[flow < 1e-6] = 0
-        flow /= flow.sum(axis=0)
-        if np.allclose(flow, before, atol=1e-8):
+        grown = (flow @ flow) ** inflation
+        grown /= grown.sum(axis=0)
+        if np.allclose(grown, flow):
+            flow = grown
             break
-    return sorted({tuple(np.flatnonzero(row > 1e-6).tolist()) for row in flow if row.any()})
+        flow = np.where(grown < least, 0, grown)
+    return [tuple(np.flatnonzero(flow[i]).tolist()) for i in np.flatnonzero(flow.diagonal())]
+
+
+def markov_samples(samples: DataFrame, inflation: float = 5.0, by_components: bool = True) -> list[list]:
+    """CLU-02: groups of samples: by nearness on two principal components, or by correlation."""
+    ids, places = sample_components(samples, 2 if by_components else len(samples.select("sample_id").distinct().collect()))
+    if by_components:
+        gap = np.sqrt(((places[:, None] - places[None]) ** 2).sum(axis=2))
+        near = 1 - gap / gap.max() if gap.max() > 0 else np.ones_like(gap)
+    else:
+        near = np.corrcoef(places)
+    return [[ids[i] for i in group] for group in markov_clusters(near, inflation)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.genome import INSERT_SIZE, OFF_TARGET, drop_noncanonical, sample_keys
-from .ranges import into_ranges, subtract, with_row_id
+from .ranges import into_ranges, range_join, subtract, with_row_id
 
 
 def join_strings(column: str, order: list[str]) -> Column:
@@ -59,13 +59,17 @@ def merge(df: DataFrame, bp: int = 0, stranded: bool = False, combine: dict[str,
 
 
 def flatten(df: DataFrame, combine: dict[str, Column] | None = None) -> DataFrame:
-    """AGG-02: cut overlapping rows at each other's bounds; each piece combines the rows over it."""
+    """AGG-02: cut overlapping rows at each other's bounds; each piece combines the rows over it.
+
+    Pieces meet the rows over them in tiles, so an island of many rows costs the pairs that
+    it really has.
+    """
     keys = [*sample_keys(df), "chromosome"]
     rows = islands(df)
-    points = rows.select(*keys, "_island", F.explode(F.array("start", "end")).alias("_a")).distinct()
-    w = Window.partitionBy(*keys, "_island").orderBy("_a")
-    pieces = points.withColumn("_b", F.lead("_a").over(w)).where("_b IS NOT NULL")
-    over = rows.join(pieces, [*keys, "_island"]).where((F.col("start") <= F.col("_a")) & (F.col("end") >= F.col("_b")))
+    points = rows.select(*keys, "_island", F.explode(F.array("start", "end")).alias("start")).distinct()
+    w = Window.partitionBy(*keys, "_island").orderBy("start")
+    pieces = points.withColumn("end", F.lead("start").over(w)).where("end IS NOT NULL").drop("_island")
+    over = range_join(pieces, df).select(F.col("q.start").alias("_a"), F.col("q.end").alias("_b"), "s.*")
     rules = {c: e for c, e in combiners(df, combine).items() if c not in (*keys, "start", "end")}
     out = over.groupBy(*keys, "_a", "_b").agg(F.count("*").alias("_n"), *[e.alias(c) for c, e in rules.items()])
     return out.withColumnsRenamed({"_a": "start", "_b": "end"}).select(*df.columns)

@@ -115,21 +115,23 @@ def values_in_ranges(source: DataFrame, dest: DataFrame, column: str, mode: str
 
 
 def subtract(df: DataFrame, other: DataFrame) -> DataFrame:
-    """RNG-08: what of each row of df no row of other covers."""
+    """RNG-08: what of each row of df no row of other covers.
+
+    Each cut gives the piece before it, and the last one also the piece after it; the cuts of
+    a row are put in order by a window, which spills, so a row may hold any number of them.
+    """
     from .intervals import merge
 
     keepers = with_row_id(df)
-    cuts = range_join(keepers, merge(other.select(*sample_keys(df, other), "chromosome", "start", "end"))).select(
-        F.col("q.row_id").alias("row_id"), F.col("s.start").alias("_a"), F.col("s.end").alias("_b")
-    )
-    held = keepers.join(cuts.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("_a", "_b"))).alias("_cuts")), "row_id", "left")
-    none = F.array().cast("array<struct<_a:bigint,_b:bigint>>")
-    cut = F.coalesce("_cuts", none)
-    starts = F.concat(F.array(F.struct(F.col("start").alias("p"))), F.transform(cut, lambda c: F.struct(c["_b"].alias("p"))))
-    ends = F.concat(F.transform(cut, lambda c: F.struct(c["_a"].alias("p"))), F.array(F.struct(F.col("end").alias("p"))))
-    pieces = F.zip_with(starts, ends, lambda a, b: F.struct(a["p"].alias("a"), b["p"].alias("b")))
+    cuts = range_join(keepers.select(*sample_keys(df, other), "chromosome", "start", "end", "row_id"), merge(other.select(*sample_keys(df, other), "chromosome", "start", "end")))
+    cuts = cuts.select(F.col("q.row_id").alias("row_id"), F.col("s.start").alias("_a"), F.col("s.end").alias("_b"))
+    w = Window.partitionBy("row_id").orderBy("_a")
+    held = keepers.join(cuts.withColumns({"_before": F.lag("_b").over(w), "_last": F.lead("_a").over(w).isNull()}), "row_id", "left")
+    piece = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    before = piece(F.coalesce("_before", "start"), F.coalesce("_a", "end"))
+    after = piece(F.when(F.col("_last"), F.col("_b")), F.col("end"))
     names = [c for c in df.columns if c not in ("start", "end")]
-    out = held.select(*names, F.explode(pieces).alias("_p")).where("_p.b > _p.a")
+    out = held.select(*names, F.explode(F.array(before, after)).alias("_p")).where("_p.b > _p.a")
     return out.select(*[F.col("_p.a").alias("start") if c == "start" else F.col("_p.b").alias("end") if c == "end" else F.col(c) for c in df.columns])
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions import kernels, stats
 from ..functions.genome import drop_low_coverage, sample_keys
@@ -39,8 +39,7 @@ def _segments(rows: pd.DataFrame, breaks: np.ndarray) -> pd.DataFrame:
 
 def _by_arm(bins: DataFrame, breaks) -> DataFrame:
     keys = [*sample_keys(bins), "chromosome", "arm"]
-    fields = [StructField(k, StringType()) for k in keys[:-1]]
-    schema = StructType(fields).add("start", "long").add("end", "long").add("log2", "double").add("probes", "long")
+    schema = StructType([bins.schema[k] for k in keys[:-1]]).add("start", "long").add("end", "long").add("log2", "double").add("probes", "long")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start", "end"], kind="stable").reset_index(drop=True)
@@ -55,7 +54,7 @@ def _by_arm(bins: DataFrame, breaks) -> DataFrame:
 def _hmm(bins: DataFrame, method: str) -> DataFrame:
     """SEG-05: one model for each sample, fitted over all arms; runs of one state are segments."""
     keys = sample_keys(bins)
-    schema = StructType([StructField(k, StringType()) for k in (*keys, "chromosome")]).add("start", "long").add("end", "long").add("log2", "double").add("probes", "long")
+    schema = StructType([bins.schema[k] for k in (*keys, "chromosome")]).add("start", "long").add("end", "long").add("log2", "double").add("probes", "long")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         arms = [g.sort_values(["start", "end"], kind="stable").reset_index(drop=True) for _, g in rows.groupby(["chromosome", "arm"], sort=True)]

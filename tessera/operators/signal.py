@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..functions.genome import SEED, sample_keys
+from .order import lookup, ordered_parts
 from .ranges import range_join, with_row_id
 from .runs import by_arm
 
@@ -150,15 +151,33 @@ def edge_bias(df: DataFrame, margin: int = 250) -> DataFrame:
 
 
 def adjust_bh(df: DataFrame, p: str = "p", out: str = "q", group: list[str] | None = None) -> DataFrame:
-    """WIN-16: Benjamini-Hochberg, by sample where there are several."""
+    """WIN-16: Benjamini-Hochberg, by sample where there are several.
+
+    Without samples the rows are put in ranges of p; a range needs only its first rank and the
+    least value of the ranges after it, so no task holds all rows.
+    """
     keys = sample_keys(df) if group is None else group
-    part = keys or [F.lit(0)]
     tail = [c for c in ("chromosome", "start", "end", "row_id") if c in df.columns]
-    n = F.count("*").over(Window.partitionBy(*part))
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy(p, *tail))
-    ranked = df.withColumns({"_n": n, "_r": rank})
-    w = Window.partitionBy(*part).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(w))).drop("_n", "_r")
+    back = Window.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    if keys:
+        part = Window.partitionBy(*keys)
+        ranked = df.withColumns({"_n": F.count("*").over(part), "_r": F.row_number().over(part.orderBy(p, *tail))})
+        least = F.min(F.col(p) * F.col("_n") / F.col("_r")).over(back.partitionBy(*keys))
+        return ranked.withColumn(out, F.least(F.lit(1.0), least)).drop("_n", "_r")
+    held = ordered_parts(df, [p, *tail])
+    sizes = {r["_part"]: r["count"] for r in held.groupBy("_part").count().collect()}  # a row for each range
+    starts, n = {}, 0
+    for k in sorted(sizes):
+        starts[k], n = n, n + sizes[k]
+    ranked = held.withColumn("_r", lookup(starts, "long") + F.col("_at") + 1)
+    value = F.col(p) * n / F.col("_r")
+    lows = {r["_part"]: r["low"] for r in ranked.groupBy("_part").agg(F.min(value).alias("low")).collect()}  # likewise
+    after, least = {}, None
+    for k in sorted(lows, reverse=True):
+        after[k] = least
+        least = lows[k] if least is None or (lows[k] is not None and lows[k] < least) else least
+    own = F.min(value).over(back.partitionBy("_part"))
+    return ranked.withColumn(out, F.least(F.lit(1.0), own, lookup(after, "double"))).drop("_r", "_part", "_at")
 
 
 def ewm(df: DataFrame, span: float = 3.0, column: str = "log2", out: str = "smoothed") -> DataFrame:
