@@ -126,6 +126,11 @@ def gen_breaks(spark, sf):
 
 # -- region sets --------------------------------------------------------------------------------
 
+OFF = """ac AS (SELECT chromosome, 150000+500 AS a, max("end")-500 AS z FROM m GROUP BY 1 HAVING max("end")-500>150500),
+ tg AS (SELECT chromosome, greatest(start-500,0) AS start, "end"+500 AS "end" FROM m),
+ to1 AS (SELECT *, max("end") OVER (PARTITION BY chromosome ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM tg),
+ gp AS (SELECT chromosome, reach AS start, start AS "end" FROM to1 WHERE start>reach UNION ALL SELECT chromosome, CAST(0 AS BIGINT), min(start) FROM tg GROUP BY 1),
+ lf AS (SELECT chromosome, greatest(start,a) AS start, least("end",z) AS "end" FROM gp JOIN ac USING (chromosome) WHERE greatest(start,a)<least("end",z))"""
 PARTS = """{name}n AS (SELECT *, greatest(CAST(round_even(("end"-start)/({size}),0) AS BIGINT),1) AS n FROM {source} WHERE "end"-start>={least}),
  {name}e AS (SELECT *, unnest(range(n)) AS i FROM {name}n),
  {name} AS (SELECT chromosome, start+CAST(floor(i*(CAST("end"-start AS DOUBLE)/n)) AS BIGINT) AS start, CASE WHEN i=n-1 THEN "end" ELSE start+CAST(floor((i+1)*(CAST("end"-start AS DOUBLE)/n)) AS BIGINT) END AS "end" FROM {name}e)"""
@@ -139,11 +144,7 @@ def agg_targets(spark, sf):
     return intervals.targets(regions(spark, sf).drop("row_id"), bins(spark, sf), split=True).select("chromosome", "start", "end", "gene")
 
 
-@query(MERGED.format(bp=0) + """, ac AS (SELECT chromosome, 150000+500 AS a, max("end")-500 AS z FROM m GROUP BY 1 HAVING max("end")-500>150500),
- tg AS (SELECT chromosome, greatest(start-500,0) AS start, "end"+500 AS "end" FROM m),
- to1 AS (SELECT *, max("end") OVER (PARTITION BY chromosome ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM tg),
- gp AS (SELECT chromosome, reach AS start, start AS "end" FROM to1 WHERE start>reach UNION ALL SELECT chromosome, CAST(0 AS BIGINT), min(start) FROM tg GROUP BY 1),
- lf AS (SELECT chromosome, greatest(start,a) AS start, least("end",z) AS "end" FROM gp JOIN ac USING (chromosome) WHERE greatest(start,a)<least("end",z)), """ + PARTS.format(name="t", source="lf", size="20000::DOUBLE", least=100) + """
+@query(MERGED.format(bp=0) + """, """ + OFF + ", " + PARTS.format(name="t", source="lf", size="20000::DOUBLE", least=100) + """
  SELECT chromosome, start, "end", 'offTarget' AS gene FROM t""")
 def agg_off_targets(spark, sf):
     return intervals.off_targets(intervals.merge(regions(spark, sf)).select("chromosome", "start", "end"), None, 20000, 100)
@@ -499,3 +500,16 @@ def snk_nexus_ogt(spark, sf):
 @query("""SELECT chromosome, start, "end", gene, round(log2,6) AS log2, chromosome || ':' || (start+1) || '-' || "end" AS probe FROM iv_bins""")
 def snk_nexus_basic(spark, sf):
     return writers.export_nexus_basic(bins(spark, sf)).withColumn("log2", F.round("log2", 6))
+
+
+# -- whole analyses -----------------------------------------------------------------------------
+
+
+@query(MERGED.format(bp=0) + ", " + PARTS.format(name="t", source="m", size="300::DOUBLE", least=0) + ", " + OFF + ", " + PARTS.format(name="pz", source="lf", size="3200::DOUBLE", least=200) + """,
+ b AS (SELECT chromosome, start, "end", '-' AS gene FROM t UNION ALL SELECT chromosome, start, "end", 'offTarget' FROM pz)
+ SELECT *, CASE WHEN chromosome='chrY' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS log2, CASE WHEN chromosome='chrY' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS depth FROM b""")
+def plan_flat_reference(spark, sf):
+    from .plans.workflow import make_reference
+
+    out = make_reference(regions(spark, sf).select("chromosome", "start", "end"), {}, target_size=300, off_target_size=3200)
+    return out.select("chromosome", "start", "end", "gene", "log2", "depth")

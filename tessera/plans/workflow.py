@@ -1,4 +1,4 @@
-"""Whole analyses as one lineage over all samples, keyed by sample_id."""
+"""Whole analyses over all samples, keyed by sample_id; each step's table is kept, as later steps read it more than once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..operators.copynum import bin_test, call, center_all, correct, flat_refere
 from ..operators.coverage import coverage
 from ..operators.intervals import off_targets, targets
 from ..operators.segment import segment
+from ..sources.scratch import kept
 
 
 def make_reference(
@@ -31,13 +32,14 @@ def make_reference(
     regions = regions.select(*at)
     if method == "hybrid":
         regions = regions.unionByName(off_targets(regions, access, off_target_size).select(*at))
+    regions = kept(regions, "regions")
     if not normals:
         return flat_reference(regions, male_reference)
     pool = None
     for name, reads in normals.items():
         one = coverage(reads, regions).withColumn("sample_id", F.lit(name))
         pool = one if pool is None else pool.unionByName(one)
-    return pooled_reference(pool, male_reference)
+    return kept(pooled_reference(kept(pool, "coverage"), male_reference), "reference")
 
 
 def run_sample(reads: DataFrame, reference: DataFrame, sample_id: str, method: str = "cbs", wgs: bool = False, male_reference: bool = False) -> dict[str, DataFrame]:
@@ -45,11 +47,11 @@ def run_sample(reads: DataFrame, reference: DataFrame, sample_id: str, method: s
     from pyspark.sql import functions as F
 
     on, off = split_reference(reference)
-    cover = lambda regions: coverage(reads, regions.select("chromosome", "start", "end", "gene")).withColumn("sample_id", F.lit(sample_id))
-    bins = correct(cover(on), reference, None if wgs else cover(off))
-    segments = segment(bins, method, threshold=1e-6 if wgs else None)
+    cover = lambda regions: kept(coverage(reads, regions.select("chromosome", "start", "end", "gene")).withColumn("sample_id", F.lit(sample_id)), "coverage")
+    bins = kept(correct(cover(on), reference, None if wgs else cover(off)), "bins")
+    segments = kept(segment(bins, method, threshold=1e-6 if wgs else None), "segments")
     rated = segment_metrics(bins, segments, interval=("ci",), alpha=0.5, smoothed=True)
-    squashed = call(rated, method="none", filters=("ci",))
+    squashed = kept(call(rated, method="none", filters=("ci",)), "squashed")
     tested = segment_metrics(bins, squashed, location=("p_ttest",))
     calls = call(center_all(tested.drop("row_id"), "median"), method="threshold", male_reference=male_reference)
     return {"bins": bins, "segments": segments, "calls": calls, "bintest": bin_test(bins, squashed)}

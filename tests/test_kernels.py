@@ -77,3 +77,37 @@ def test_bootstrap_is_the_same_every_time():
     v, w = np.arange(20.0), np.ones(20)
     assert stats.bootstrap_interval(v, w) == stats.bootstrap_interval(v, w)
     assert stats.bootstrap_interval([3.0], [1.0]) == (3.0, 3.0)
+
+
+def test_best_arc_over_all_arcs():
+    rng = np.random.default_rng(2)
+    for n in (5, 40, 200):
+        x, w = rng.normal(size=n), rng.uniform(0.2, 2, n)
+        found = kernels.best_arc(x, w, 2, block=8)
+        mean = np.average(x, weights=w)
+        brute = 0.0
+        for a in range(n):
+            for b in range(a + 2, n + 1):
+                if n - (b - a) >= 2:
+                    m, total = w[a:b].sum(), w.sum()
+                    brute = max(brute, (w[a:b] * (x[a:b] - mean)).sum() ** 2 * total / (m * (total - m)))
+        assert abs(found[0] - brute) < 1e-9 * max(1, brute)
+
+
+def test_binary_segmentation_keeps_its_level():
+    rng = np.random.default_rng(4)
+    false = sum(len(kernels.cbs_breaks(rng.normal(size=150), alpha=0.05)) > 0 for _ in range(200))
+    assert false <= 22  # 0.05 and sampling error
+    x = rng.normal(0, 0.2, 600)
+    x[200:260] += 0.6
+    breaks = kernels.cbs_breaks(x, 1e-4)
+    assert any(abs(b - 200) <= 3 for b in breaks) and any(abs(b - 260) <= 3 for b in breaks) and len(breaks) <= 4
+
+
+def test_pairwise_quartile_by_counting():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 11, 400, 501):
+        a = np.round(rng.normal(size=n), 1)
+        gaps = np.abs(a[:, None] - a[None, :])[np.triu_indices(n, 1)]
+        factor = 1.392 if n <= 10 else 1 + 4 / n if n < 400 else 1.0
+        assert abs(stats.q_n(a) - np.percentile(gaps, 25) / factor) < 1e-12
