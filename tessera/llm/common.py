@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 #: Word separators of every contract: space and the controls 0x09 to 0x0D.
 SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
@@ -20,18 +20,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir()
-        if not folder:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-            folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of a batch sent to a Python worker, where the session sets no bound itself."""
     if not spark.conf.get(BATCH_SETTING, None):
@@ -41,7 +29,7 @@ def small_batches(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -69,6 +57,11 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def numbers(values: list, kind: str) -> Column:
+    """An array literal: one folded expression, however many values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 

@@ -2,10 +2,11 @@
 
 Two character models of order one, over the same alphabet, are trained from labelled
 samples: random strings (made from digests in the alphabets that keys are written in) and
-ordinary identifiers (words of a bounded sample of the documents). A candidate token is a
-secret when the log-likelihood ratio of the models is above a threshold. The models are
-tables of 65 x 65 numbers, which is all that reaches the driver and goes back in the plan.
-Built-in expressions only; no shuffle but the training counts.
+ordinary identifiers (the words of all documents, and neighbours joined as in names). A
+candidate token is a secret when the log-likelihood ratio of the models is above a threshold.
+The models are tables of 65 x 65 numbers, which is all that reaches the driver and goes back
+in the plan. Built-in expressions only; no shuffle but the training counts: of each different
+word, and of each pair of characters that neighbours meet with.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get the same
 spans; an empty table gives an empty table; other columns pass through (columns named like
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, match_spans, ordered_spans, text_of
+from .common import let, match_spans, numbers, ordered_spans, replaced, text_of
 
 # Fixed values of the contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,18 +49,13 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def numbers(values: list, kind: str) -> Column:
-    """An array literal: one folded expression, however many values."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 def _bigrams(token: Column) -> Column:
     """array<int>: SIDE * code of a character + code of the next."""
-    place = lambda i: (F.ascii(F.substring(token, i, F.lit(1)))).cast("int")
     # array literals are folded, so nothing here is evaluated again for each character
     code = numbers([ALPHABET.find(chr(b)) if chr(b) in ALPHABET else OTHER for b in range(128)], "int")
-    at = lambda i: F.coalesce(F.get(code, place(i)), F.lit(OTHER))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1))), lambda i: at(i) * SIDE + at(i + 1))
+    codes = F.transform(F.split(token, ""), lambda c: F.coalesce(F.get(code, F.ascii(c)), F.lit(OTHER)))
+    pairs = lambda own: F.transform(F.sequence(F.lit(0), F.greatest(F.size(own) - 2, F.lit(0))), lambda i: F.get(own, i) * SIDE + F.coalesce(F.get(own, i + 1), F.lit(OTHER)))
+    return let(codes, pairs)
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
@@ -75,34 +71,45 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
     )
 
 
+#: How names join their words.
+JOINTS = ["_", "-", "/", ""]
+_EDGE = "\t"
+
+
 def identifiers(df: DataFrame, text_column: str = "text") -> DataFrame:
-    """token: words of all documents, and pairs of them joined as names are.
+    """(token, n): words of all documents and how often they occur; and the ends of neighbours, joined in each way names are.
 
     What the fixed patterns find is cut out first, so that no labelled secret counts as a name.
     """
     sample = df.select(text_of(df, text_column).alias("t"))
     clean = F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     words = F.regexp_extract_all(clean, F.lit("[A-Za-z0-9]{2,15}"), F.lit(0))
-    joined = lambda w: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0)), F.lit(2)),
-        lambda i: F.concat(F.get(w, i), F.get(F.array(F.lit("_"), F.lit("-"), F.lit("/"), F.lit("")), F.floor(i / 2).cast("int") % 4), F.get(w, i + 1)),
-    )
-    return sample.select(F.explode(let(words, joined)).alias("token")).where(F.length("token") > 1)
+    edges = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.lit(_EDGE), F.right(F.get(w, i), F.lit(1)), F.left(x, F.lit(1))))
+    both = sample.select(F.explode(let(words, lambda w: F.concat(w, edges(w)))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    is_edge = F.startswith("token", F.lit(_EDGE))
+    a, b = F.substring("token", 2, 1), F.substring("token", 3, 1)
+    joined = F.transform(F.array(*[F.lit(j) for j in JOINTS]), lambda j: F.concat(a, j, b))
+    token = F.when(is_edge, joined).otherwise(F.array("token"))
+    return both.select(F.explode(token).alias("token"), F.when(is_edge, F.col("n") / len(JOINTS)).otherwise(F.col("n").cast("double")).alias("n"))
 
 
 def train(positive: DataFrame, negative: DataFrame) -> list[float]:
-    """The log-likelihood ratio of each bigram as SIDE * SIDE numbers; rare ones lean on the frequency of their second character."""
+    """The log-likelihood ratio of each bigram as SIDE * SIDE numbers; rare ones lean on the frequency of their second character.
+
+    positive, negative: token and n, the weight of the token (1 without that column).
+    """
+    weight = lambda df: F.col("n") if "n" in df.columns else F.lit(1.0)
     counted = (
-        positive.select("token", F.lit(1).alias("label"))
-        .unionByName(negative.select("token", F.lit(0).alias("label")))
-        .select("label", F.explode(_bigrams(F.col("token"))).alias("bigram"))
+        positive.select("token", weight(positive).alias("n"), F.lit(1).alias("label"))
+        .unionByName(negative.select("token", weight(negative).alias("n"), F.lit(0).alias("label")))
+        .select("label", "n", F.explode(_bigrams(F.col("token"))).alias("bigram"))
         .groupBy("label", "bigram")
-        .count()
+        .agg(F.sum("n").alias("n"))
         .collect()  # at most 2 * SIDE * SIDE rows
     )
     counts = {0: [0.0] * (SIDE * SIDE), 1: [0.0] * (SIDE * SIDE)}
     for r in counted:
-        counts[r["label"]][r["bigram"]] += r["count"]
+        counts[r["label"]][r["bigram"]] += r["n"]
     logs = []
     for label in (1, 0):
         n = counts[label]
@@ -125,7 +132,7 @@ def log_ratio(token: Column, model: list[float]) -> Column:
 
 def markov_spans(text: Column, model: list[float], min_ratio: float = MIN_RATIO, per_character: float = MIN_RATIO_PER_CHARACTER) -> Column:
     def random(token):
-        return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (log_ratio(token, model) >= F.greatest(F.lit(min_ratio), per_character * F.length(token)))
+        return log_ratio(token, model) >= F.greatest(F.lit(min_ratio), per_character * F.length(token))
 
     return match_spans(text, CANDIDATE, "markov", random)
 
@@ -140,17 +147,4 @@ def scan(df: DataFrame, text_column: str = "text", model: list[float] | None = N
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with every stretch that spans cover replaced by mark; spans are sorted by start."""
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        .otherwise(acc["out"])
-        .alias("out"),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(
-            spans,
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-            step,
-            lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-        )
-    )
+    return replaced(text, spans, lambda s: F.lit(mark))
