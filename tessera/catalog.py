@@ -353,19 +353,6 @@ def sta_center_median(spark, sf):
     return copynum.center_all(bins(spark, sf), "median").select("row_id", r6("log2", "log2"))
 
 
-@query()
-def sta_sex(spark, sf):
-    return copynum.sex_table(bins(spark, sf))
-
-
-@query()
-def sta_bin_test(spark, sf):
-    return copynum.bin_test(bins(spark, sf), alpha=0.5)
-
-
-# -- columns ------------------------------------------------------------------------------------
-
-
 @query("SELECT row_id, chromosome || ':' || CAST(start+1 AS VARCHAR) || '-' || CAST(\"end\" AS VARCHAR) AS label FROM iv_bins")
 def prj_labels(spark, sf):
     return bins(spark, sf).select("row_id", g.label().alias("label"))

@@ -334,6 +334,39 @@ def sta_mad_iqr(spark, sf):
     return out.select("chromosome", *[r6(c, c) for c in ("mad", "iqr", "mse")])
 
 
+#: The complementary error function: a series below 2, a continued fraction above.
+ERFC = """CASE WHEN x<2 THEN 1-2/sqrt(pi())*list_sum(list_transform(range(0,60), lambda k: CASE WHEN k%2=0 THEN 1 ELSE -1 END*pow(x,2*k+1)/(gamma(k+1)*(2*k+1))))
+ ELSE exp(-x*x)/sqrt(pi())/list_reduce(list_transform(range(120,0,-1), lambda k: CAST(k AS DOUBLE)), lambda acc, k: x+k/2/acc, x) END"""
+
+
+@query(f""", rs AS (SELECT row_id, log2-median(log2) OVER (PARTITION BY chromosome) AS residual, weight, chromosome, start, "end" FROM iv_bins),
+ z AS (SELECT *, abs(residual)/sqrt(1-weight)/sqrt(2.0::DOUBLE) AS x FROM rs WHERE weight<1), p AS (SELECT *, {ERFC} AS p FROM z),
+ r AS (SELECT *, row_number() OVER (ORDER BY p, chromosome, start, "end", row_id) AS rk, count(*) OVER () AS n FROM p),
+ q AS (SELECT *, least(1,min(p*n/rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r) SELECT row_id, round(q,5) AS p_bintest, round(residual,6) AS log2 FROM q WHERE q<0.3""")
+def sta_bin_test(spark, sf):
+    out = copynum.bin_test(bins(spark, sf), alpha=0.3)
+    return out.select("row_id", F.round("p_bintest", 5).alias("p_bintest"), r6("log2", "log2"))
+
+
+def _mood_sql(name: str, on: str, shift: float) -> str:
+    """CTEs up to {name}: g, the statistic of Mood's median test of one sex chromosome against the autosomes."""
+    gap = "({r}*{c}/n-{o})"
+    cells = [("a", "(a+b)", "(a+c)"), ("b", "(a+b)", "(b+d)"), ("c", "(c+d)", "(a+c)"), ("d", "(c+d)", "(b+d)")]
+    observed = lambda o, r, c: f"({o}+sign{gap.format(r=r, c=c, o=o)}*least(0.5,abs{gap.format(r=r, c=c, o=o)}))"
+    terms = "+".join(f"CASE WHEN {observed(o, r, c)}>0 THEN {observed(o, r, c)}*ln({observed(o, r, c)}/({r}*{c}/n)) ELSE 0 END" for o, r, c in cells)
+    return f""", {name}_r AS (SELECT chromosome='{on}' AS own, log2+CASE WHEN chromosome='{on}' THEN {shift} ELSE 0 END AS x FROM iv_bins WHERE chromosome='{on}' OR chromosome NOT IN ('chrX','chrY')),
+ {name}_m AS (SELECT *, median(x) OVER () AS m FROM {name}_r),
+ {name}_t AS (SELECT CAST(count(*) FILTER (x>m AND own) AS DOUBLE) AS a, CAST(count(*) FILTER (x>m AND NOT own) AS DOUBLE) AS b, CAST(count(*) FILTER (x<m AND own) AS DOUBLE) AS c, CAST(count(*) FILTER (x<m AND NOT own) AS DOUBLE) AS d FROM {name}_m),
+ {name} AS (SELECT greatest(2*({terms}),0) AS g FROM (SELECT *, a+b+c+d AS n FROM {name}_t))"""
+
+
+@query(_mood_sql("xf", "chrX", 0.0) + _mood_sql("xm", "chrX", 1.0) + _mood_sql("yf", "chrY", 3.0) + _mood_sql("ym", "chrY", 0.0) + """,
+ rt AS (SELECT xf.g/greatest(xm.g,0.01::DOUBLE) AS x, yf.g/greatest(ym.g,0.01::DOUBLE) AS y FROM xf, xm, yf, ym)
+ SELECT x*y<=1 AS is_xx, round(x,5) AS x_ratio, round(y,5) AS y_ratio, round((SELECT avg(log2) FROM iv_bins WHERE chromosome='chrX'),6) AS x_log2, round((SELECT avg(log2) FROM iv_bins WHERE chromosome='chrY'),6) AS y_log2, CASE WHEN x*y<=1 THEN 'Female' ELSE 'Male' END AS sex FROM rt""")
+def sta_sex(spark, sf):
+    return copynum.sex_table(bins(spark, sf)).select("is_xx", F.round("x_ratio", 5).alias("x_ratio"), F.round("y_ratio", 5).alias("y_ratio"), r6("x_log2", "x_log2"), r6("y_log2", "y_log2"), "sex")
+
+
 # -- columns ------------------------------------------------------------------------------------
 
 

@@ -178,12 +178,12 @@ def baf_by_ranges(variants: DataFrame, ranges: DataFrame, above_half: bool | Non
         v = v.withColumn("alt_freq", boost(F.col("alt_freq"), F.col("n_alt_freq")))
     ranges = with_row_id(ranges)
     pairs = range_join(ranges, v).select(F.col("q.row_id").alias("row_id"), F.col("s.alt_freq").alias("f")).where("f IS NOT NULL")
-    side = F.median("f").over(Window.partitionBy("row_id")) > 0.5 if above_half is None else F.lit(above_half)
-    found = (
-        pairs.withColumn("m", mirrored_baf(F.col("f"), side))
-        .groupBy("row_id")
-        .agg(F.when(F.count("*") == 1, F.first("f")).otherwise(F.median("m")).alias("baf"))
-    )
+    # frequencies are few, so they are counted first: a range of very many sites is no large group then
+    counted = pairs.groupBy("row_id", "f").agg(F.count("*").alias("n"))
+    median = lambda x: F.percentile(x, F.lit(0.5), F.col("n"))
+    side = median(F.col("f")) > 0.5 if above_half is None else F.lit(above_half)
+    mirrored = F.when(side, median(mirrored_baf(F.col("f"), F.lit(True)))).otherwise(median(mirrored_baf(F.col("f"), F.lit(False))))
+    found = counted.groupBy("row_id").agg(F.when(F.sum("n") == 1, F.first("f")).otherwise(mirrored).alias("baf"))
     return ranges.drop("baf").join(found, "row_id", "left")
 
 
