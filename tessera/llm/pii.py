@@ -1,16 +1,18 @@
 """Personal data in texts: fixed patterns, and terms that give protected entities away.
 
 A protected entity is a value that a fixed pattern finds. Over all documents, the operator
-counts in how many each entity occurs, each term (outside of all fixed finds), and each pair
-of an entity with a term anywhere in the same document. The pointwise mutual information of the pair, divided by the entity's information
-content, is the share of the entity that the term discloses: 1 when the term is never seen
-without it. Terms at or above the threshold, seen with the entity in min_support documents
-or more, are spans of kind "term" wherever they stand in documents that hold it; sanitised()
-generalises fixed finds to their kind and removes such terms. Built-in expressions only.
-
-Defined results: a null text counts as empty and has no spans; rows with the same doc_id
-count as one document; an empty table gives an empty table; other columns pass through
-(columns named like results are replaced).
+counts in how many each entity occurs, each term (anywhere in a document, but touching no
+fixed find), and each pair of the two. The pointwise mutual information of a pair, divided by
+the entity's information content, is the share of the entity that the term discloses: 1 when
+the term is never seen without it. Terms at or above the threshold, seen with the entity in
+min_support documents or more, are spans of kind "term" wherever they stand in documents that
+hold it (touching no fixed find); sanitised() generalises fixed finds to their kind and removes
+such terms. Built-in expressions only.
+
+Defined results: a null text counts as empty and has no spans; rows with the same id count as
+one document (a row with a null id is one by itself) and each has its own spans; an empty table
+gives an empty table; other columns pass through (columns named like results are replaced). Many finds in one
+text, and long unbroken runs, cost little more than in proportion.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, match_spans, ordered_spans, stored, text_of
+from .common import SPANS, let, match_spans, no_spans, ordered_spans, replaced, running, stored, text_of
 
-# Fixed values of the contract; possessive repeats match the same strings without recursion.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+# Fixed values of the contract. Possessive repeats match the same strings without recursion; a
+# run that failed from its start is not tried again from within (\G: where a match has ended).
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -59,7 +62,7 @@ def _phone(value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
+    none = no_spans()
     return F.concat(
         F.when(F.contains(text, F.lit("@")), match_spans(text, EMAIL, "email")).otherwise(none),
         match_spans(text, IP, "ip", _ip),
@@ -75,22 +78,19 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """text with blanks in the place of its spans, which leaves all else where it was."""
-    blanked = F.aggregate(
-        F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
-                F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0))),
-            ).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return blanked
+def _free(terms: Column, spans: Column) -> Column:
+    """The terms that touch none of the spans, by a merge of both in order of place."""
+    event = lambda x, is_term: F.transform(x, lambda s: F.struct(s["start"].alias("start"), F.lit(is_term).alias("term"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+    far = F.lit((1 << 31) - 1)
+
+    def judged(events):
+        reached = running(F.transform(events, lambda e: F.when(e["term"], F.lit(-1)).otherwise(e["end"])), F.greatest)
+        # from the other side: the start of the next span
+        ahead = F.reverse(running(F.transform(F.reverse(events), lambda e: F.when(e["term"], far).otherwise(e["start"])), F.least))
+        free = lambda sides: F.filter(events, lambda e, i: e["term"] & (F.get(sides["reached"], i) <= e["start"]) & (F.get(sides["ahead"], i) >= e["end"]))
+        return F.transform(let(F.struct(reached.alias("reached"), ahead.alias("ahead")), free), lambda e: F.struct(e["start"], e["end"], e["kind"], e["value"]))
+
+    return let(F.sort_array(F.concat(event(spans, False), event(terms, True))), judged).cast(SPANS)
 
 
 def _terms(text: Column) -> Column:
@@ -98,77 +98,69 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
+def _named(spans: Column) -> Column:
+    """The distinct values of spans, in lower case."""
+    return F.array_distinct(F.transform(spans, lambda s: F.lower(s["value"])))
+
+
 def scan(
     df: DataFrame,
     text_column: str = "text",
     keep: list[str] | None = None,
     disclosure: float = DISCLOSURE,
     min_support: int = MIN_SUPPORT,
+    id_column: str = "doc_id",
 ) -> DataFrame:
     """The columns keep of df (all but the text by default) and spans, by start and then kind."""
     keep = [c for c in df.columns if c != text_column] if keep is None else keep
-    keep = [c for c in keep if c != "spans"]
+    keep = [c for c in keep if c not in ("spans", "_row", "_doc", "_base", "_text", "_inside")]
     text = text_of(df, text_column)
-    base = df.select(*keep, text.alias("_text"), base_spans(text).alias("_base"))
+    has_id = id_column in df.columns
+    repeats = has_id and not df.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").isEmpty()
+    document = lambda row: F.coalesce(F.concat(F.lit("id "), F.col(id_column).cast("string")) if has_id else F.lit(None), F.concat(F.lit("row "), row.cast("string")))
+    row = F.monotonically_increasing_id()
+    base = df.select(*keep, row.alias("_row"), document(row).alias("_doc"), text.alias("_text"), base_spans(text).alias("_base"))
     held = F.size("_base") > 0
-    base = base.select(*keep, F.monotonically_increasing_id().alias("_row"), "_base", "_text", F.when(held, _outside(F.col("_text"), F.col("_base"))).alias("_words"))
+    outside = _named(_free(match_spans(F.col("_text"), TERM, "term"), F.col("_base")))
     # terms that a document has in fixed finds alone are none of its terms
-    only_inside = F.when(held, F.array_except(_terms(F.col("_text")), _terms(F.col("_words"))))
-    base = stored(base.select(*keep, "_row", "_base", "_words", only_inside.alias("_inside")), "pii")
-    total = base.count()
+    only_inside = F.when(held, F.array_except(_terms(F.col("_text")), outside))
+    base = stored(base.select(*keep, "_row", "_doc", "_base", F.when(held, F.col("_text")).alias("_text"), only_inside.alias("_inside")), "pii")
+    total = base.agg(F.countDistinct("_doc")).first()[0] if repeats else base.count()
     n = float(max(total, 1))
-    entities = (
-        base.where(held)
-        .select(F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count("*").alias("in_entity"))
-        .where(F.col("in_entity") >= min_support)
-    )
+    own = base.where(held).select("_row", "_doc", F.array_except(_terms(F.col("_text")), F.col("_inside")).alias("_terms"), F.array_distinct(F.transform("_base", _entity)).alias("_entities"))
+    holders = own.select("_row", "_doc", F.explode("_entities").alias("entity"))
+    documents = F.countDistinct("_doc") if repeats else F.count("*")  # without repeated ids a row is a document
+    entities = stored(holders.groupBy("entity").agg(documents.alias("in_entity")).where(F.col("in_entity") >= min_support), "pii-entities")
     # ln(n both / (entity term)) >= d ln(n / entity) and both <= entity give term <= n^(1-d) entity^d: no telling pair has a term above
     most = lambda in_entity: n ** (1 - disclosure) * F.pow(in_entity, F.lit(disclosure)) * (1 + 1e-9)
-    entities = stored(entities, "pii-entities")
     common = entities.agg(F.max("in_entity")).first()[0] or 0
-    terms = (
-        df.select(F.explode(_terms(text)).alias("term"), F.lit(1).alias("n"))
-        .unionByName(base.where(held).select(F.explode("_inside").alias("term"), F.lit(-1).alias("n")))
-        .groupBy("term")
-        .agg(F.sum("n").alias("in_term"))
-        .where((F.col("in_term") >= min_support) & (F.col("in_term") <= most(F.lit(float(common)))))
+    if repeats:
+        whole = df.select(document(row).alias("_doc"), text.alias("_text"), base_spans(text).alias("_base")).where(~held).select("_doc", F.explode(_terms(F.col("_text"))).alias("term"))
+        counted = whole.unionByName(own.select("_doc", F.explode("_terms").alias("term"))).distinct().select("term", F.lit(1).alias("n"))
+    else:
+        counted = df.select(F.explode(_terms(text)).alias("term"), F.lit(1).alias("n")).unionByName(base.where(held).select(F.explode("_inside").alias("term"), F.lit(-1).alias("n")))
+    terms = counted.groupBy("term").agg(F.sum("n").alias("in_term")).where((F.col("in_term") >= min_support) & (F.col("in_term") <= most(F.lit(float(common)))))
+    words = own.select("_row", F.explode("_terms").alias("term")).join(terms, "term")
+    pairs = stored(
+        holders.join(entities, "entity").join(words, "_row").where(F.col("in_term") <= most(F.col("in_entity"))).select("_row", "_doc", "entity", "term", "in_entity", "in_term"),
+        "pii-pairs",
     )
-    holders = base.where(held).select("_row", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity")).join(entities, "entity")
-    words = base.where(held).select("_row", F.explode(_terms(F.col("_words"))).alias("term")).join(terms, "term")
-    pairs = stored(holders.join(words, "_row").where(F.col("in_term") <= most(F.col("in_entity"))).select("_row", "entity", "term", "in_entity", "in_term"), "pii-pairs")
     information = F.ln(F.lit(n) / F.col("in_entity"))
     shared = F.ln(F.lit(n) * F.col("in_both") / (F.col("in_entity") * F.col("in_term")))
     telling = (
         pairs.groupBy("entity", "term")
-        .agg(F.count("*").alias("in_both"), F.first("in_entity").alias("in_entity"), F.first("in_term").alias("in_term"))
+        .agg(documents.alias("in_both"), F.first("in_entity").alias("in_entity"), F.first("in_term").alias("in_term"))
         .where((F.col("in_both") >= min_support) & (information > 0) & (shared >= disclosure * information))
         .select("entity", "term")
     )
     found = pairs.join(telling, ["entity", "term"]).groupBy("_row").agg(F.collect_set("term").alias("_telling"))
-    marked = match_spans(F.col("_words"), TERM, "term", lambda value: F.array_contains("_telling", F.lower(value)))
+    marked = _free(match_spans(F.col("_text"), TERM, "term", lambda value: F.array_contains("_telling", F.lower(value))), F.col("_base"))
     marked = F.transform(marked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
     return base.join(found, "_row", "left").select(
-        *keep, ordered_spans(F.concat("_base", F.when(F.col("_telling").isNotNull(), marked).otherwise(none)), KINDS).alias("spans")
+        *keep, ordered_spans(F.concat("_base", F.when(F.col("_telling").isNotNull(), marked).otherwise(no_spans())), KINDS).alias("spans")
     )
 
 
 def sanitised(text: Column, spans: Column) -> Column:
     """text with fixed finds generalised to their kind and disclosing terms removed."""
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(
-            s["start"] >= acc["at"],
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))),
-        )
-        .otherwise(acc["out"])
-        .alias("out"),
-    )
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    return replaced(text, spans, lambda s: F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
