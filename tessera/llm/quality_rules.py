@@ -17,12 +17,11 @@ from .common import SEPARATOR_CLASS, let, text_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: A line of prose ends like this; closing quotes, brackets and space may follow.
-LINE_END = "[.!?:;…。！？][\"'”’»)\\]\\x20\\x09-\\x0D]*$"
+LINE_END = "[.!?:;…。！？][\"'”’»)\\]\\x20\\x09-\\x0D]*\\z"
 WORDED = r"[^\x20\x09-\x0D]"
-#: Three of these make a line navigation; so does a short line of nothing but a site's own words.
+#: Three of these make a line navigation; so does a line of nothing but a site's own words.
 NAVIGATION_MARKS = "^(?:[^|»›]*+[|»›]){3}"
-NAVIGATION_LINE = r"^\W*(?:home|menu|next|previous|back|log ?in|log ?out|sign ?(?:in|up)|search|share|read more|click here|contact(?: us)?|about(?: us)?|skip to content)\W*$"
-NAVIGATION_LENGTH = 40
+NAVIGATION_LINE = r"^\W*(?:home|menu|next|previous|back|log ?in|log ?out|sign ?(?:in|up)|search|share|read more|click here|contact(?: us)?|about(?: us)?|skip to content)\W*\z"
 BOILERPLATE = (
     "all rights reserved", "copyright", "licensed under", "licenced under", "terms of use", "terms of service", "privacy policy",
     "cookie", "javascript", "lorem ipsum", "subscribe to", "newsletter", "powered by",
@@ -37,8 +36,7 @@ def line_verdicts(text: Column, symbol_share: float = 0.1) -> Column:
             ~line.rlike(LINE_END)
             | line.rlike(NAVIGATION_MARKS)
             | (F.regexp_count(line, F.lit(SYMBOLS)) > symbol_share * F.length(line))
-            | F.when(F.length(line) <= NAVIGATION_LENGTH, F.lower(line).rlike(NAVIGATION_LINE)).otherwise(F.lit(False))
-            | let(F.lower(line), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE]))
+            | let(F.lower(line), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE], low.rlike(NAVIGATION_LINE)))
         )
         return let(
             failed,

@@ -22,6 +22,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count_kind(out["spans"], k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
         base_digest(out["spans"], secrets.KINDS[:3]).alias("base_sha256"),
         span_text(out["spans"]).alias("spans"),
+        F.size(out["spans"]).cast("long").alias("n_spans"),
     )
 
 
@@ -66,6 +67,7 @@ def op9_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count_kind(out["spans"], k).alias(f"n_{k}") for k in pii.KINDS[:4]],
         base_digest(out["spans"], pii.KINDS[:4]).alias("base_sha256"),
         span_text(out["spans"]).alias("spans"),
+        F.size(out["spans"]).cast("long").alias("n_spans"),
     )
 
 
@@ -89,4 +91,39 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def quality_rules_sql() -> str:
+    """The rules of op10, from the same patterns."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    holds = lambda line, pattern: f"regexp_matches({line}, {quoted(pattern)})"
+    no_possessive = quality_rules.NAVIGATION_MARKS.replace("*+", "*")
+    boilerplate = " OR ".join(f"contains(lower(line), {quoted(x)})" for x in quality_rules.BOILERPLATE)
+    symbols = lambda x: f"length(regexp_replace({x}, {quoted('[^' + quality_rules.SYMBOLS[1:])}, '', 'g'))"
+    word = quoted(quality_rules.WORDED + "+")
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT r, doc_id, t, regexp_extract_all(t, {word}) AS w FROM texts),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM texts),
+judged AS (
+  SELECT r, line, len(regexp_extract_all(line, {word})) AS n,
+    NOT {holds("line", quality_rules.LINE_END)} OR {holds("line", no_possessive)} OR {symbols("line")} > CAST(0.1 AS DOUBLE) * length(line)
+      OR {holds("lower(line)", quality_rules.NAVIGATION_LINE)} OR {boilerplate} AS failed
+  FROM lines WHERE {holds("line", quality_rules.WORDED)}),
+by_line AS (
+  SELECT r, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines, CAST(count(*) FILTER (failed) AS BIGINT) AS n_lines_removed,
+    CAST(coalesce(sum(n) FILTER (failed), 0) AS BIGINT) AS n_words_removed
+  FROM judged GROUP BY r),
+windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS triple FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) >= 3)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, triple) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS ks(k) GROUP BY r),
+facts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({symbols("t")} AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_removed, 0) AS n_words_removed
+  FROM worded LEFT JOIN by_line USING (r) LEFT JOIN repeated USING (r)),
+verdicts AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts)
+SELECT *, NOT base_failed AND n_words_removed <= CAST(0.5 AS DOUBLE) * n_words AS kept FROM verdicts"""
+
+
+ORACLE_SQL = {"op10_quality_rules": quality_rules_sql()}
