@@ -10,9 +10,11 @@ counted once for each document they occur in, so that a few words in a long text
 much as in a short one; and how much of the text repeats itself.
 
 Defined results: a null text counts as empty; an empty text scores by the thresholds
-alone; documents labelled twice count twice; without labels every document is kept with a
-null grade; an empty table gives an empty table; other columns pass through (columns named
-like results are replaced).
+alone; documents labelled twice count twice; a label whose document id is null or has no
+document is not used, nor is one that says neither toxic nor what quality; where several
+documents have a label's id, one of them (by the hash of its text) is used; without labels of
+two grades every document is kept with a null grade; an empty table gives an empty table;
+other columns pass through (columns named like results are replaced).
 """
 
 from __future__ import annotations
@@ -26,22 +28,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BUCKETS = 1 << 20
-#: Labelled rows used for fitting: those with the least hashes of their ids.
+#: Labelled rows used for fitting: those with the least hashes of their ids. Scoring reads all rows.
 MAX_LABELLED = 8000
-#: Bytes of each labelled text sent for fitting; scoring reads whole texts.
 GRADES = 3
 MIN_TAIL = 0.5
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
+_SPACE = re.compile(r"\s")
+#: Characters of a text taken apart at once.
+STRETCH = 1 << 20
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted hashed features, each once."""
-    tokens = _TOKEN.findall((text or "").lower())
-    kinds = set(tokens)
+    text = (text or "").lower()
+    kinds, n, same, last = set(), 0, 0, None
+    at = 0
+    while at < len(text):  # a stretch at a time, cut where no token can be
+        space = _SPACE.search(text, at + STRETCH)
+        end = space.end() if space else len(text)
+        tokens = _TOKEN.findall(text, at, end)
+        if tokens:
+            kinds.update(tokens)
+            n += len(tokens)
+            same += (tokens[0] == last) + sum(map(str.__eq__, tokens, tokens[1:]))
+            last = tokens[-1]
+        at = end
     # how many tokens repeat the one before, in steps of a tenth; how many are new
-    same = sum(map(str.__eq__, tokens, tokens[1:])) if len(tokens) > 1 else 0
-    facts = [f"same={10 * same // max(1, len(tokens))}", f"new={10 * len(kinds) // max(1, len(tokens)) if len(tokens) < 200 else 'long'}"]
+    facts = [f"same={10 * same // max(1, n)}", f"new={10 * len(kinds) // max(1, n) if n < 200 else 'long'}"]
     return np.unique(np.fromiter((zlib.crc32(x.encode()) % BUCKETS for x in (*kinds, *facts)), dtype=np.int64))
 
 
@@ -108,15 +124,18 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, step
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> OrdinalModel | None:
     """Fit on at most max_labelled labelled documents, chosen by the hash of their ids."""
-    chosen = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled small rows
+    small_batches(docs.sparkSession)
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality").isNotNull(), 1 + F.col("quality"))
+    graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).where("grade IS NOT NULL AND doc_id IS NOT NULL")
+    chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_labelled).withColumn("label", F.monotonically_increasing_id())
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled small rows
+    one = joined.groupBy("label").agg(F.first("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"grade": b["grade"], "features": [features(t).astype("<i4").tobytes() for t in b["text"]]})
 
-    grade = F.when(F.coalesce("toxic", F.lit(0)) == 1, 0).otherwise(1 + F.coalesce("quality", F.lit(1)))
-    rows = joined.select(grade.cast("int").alias("grade"), "text").mapInPandas(run, "grade int, features binary").limit(2 * max_labelled).collect()
+    rows = one.select("grade", "text").mapInPandas(run, "grade int, features binary").collect()  # at most max_labelled
     if not rows or len({r["grade"] for r in rows}) < 2:
         return None
     return fit([np.frombuffer(r["features"], "<i4").astype(np.int64) for r in rows], np.array([r["grade"] for r in rows]))
@@ -125,6 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 def classify(docs: DataFrame, labels: DataFrame, min_tail: float = MIN_TAIL, model: OrdinalModel | None = None) -> DataFrame:
     """docs with expected_grade, top_probability (of grade 2) and kept."""
     model = model or train(docs, labels)
+    small_batches(docs.sparkSession)
     docs = docs.drop("expected_grade", "top_probability", "kept")
     if model is None:
         return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "top_probability": F.lit(None).cast("double"), "kept": F.lit(True)})
