@@ -7,10 +7,12 @@ hits in one pass of each text; around a hit, Myers' bit-parallel algorithm gives
 edit distance of the item to any substring. Texts are compared in lower case with every
 white-space character as a space.
 
-Items are taken in blocks of at most BLOCK_CHARACTERS, which bounds what is sent to each
-task; every block is held against all documents. Defined results: null or empty texts
-hold nothing; null or empty items are in nothing; repeated rows give repeated results; an
-empty table gives an empty table; other columns of documents are not carried.
+Items are taken in blocks of at most BLOCK_CHARACTERS, which bounds what the driver holds and
+sends to each task; every block is held against all documents, in a pass of its own. Defined
+results: null or empty texts hold nothing; null or empty items are in nothing; an item with a
+null id is reported with a null id; rows with a null id are reported with a null id; repeated
+rows give repeated results; an empty table gives an empty table; other columns of documents are
+not carried.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Characters of a piece at least; shorter items must stand in a text unchanged.
 PIECE = 16
 BLOCK_CHARACTERS = 16_000_000
@@ -99,7 +104,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item id, distance, end) of the best place of each item that text holds."""
+        """(number of the item, distance, end) of the best place of each item that text holds."""
         if not text or not self.items:
             return []
         text = plain(text)
@@ -111,7 +116,7 @@ class Matcher:
                 spans.setdefault(k, []).append([max(0, begin - reach), min(len(text), begin + len(self.items[k][1]) + reach)])
         out = []
         for k, found in spans.items():
-            item_id, item = self.items[k]
+            item = self.items[k][1]
             known = self.masks.setdefault(k, masks(item))
             found.sort()
             joined = [found[0]]
@@ -126,7 +131,7 @@ class Matcher:
                 if hit and (best is None or hit[0] < best[0]):
                     best = (hit[0], a + hit[1])
             if best:
-                out.append((item_id, *best))
+                out.append((k, *best))
         return out
 
 
@@ -146,33 +151,41 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARACTERS) -> Iterator[list[
 _matchers: dict[str, Matcher] = {}
 
 
+def _matcher(key: str, shared, piece: int) -> Matcher:
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(shared.value, piece)
+    return _matchers[key]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", piece: int = PIECE) -> DataFrame:
     """(doc_id, item_id, distance, end_at, item_length): each document with each item that it holds."""
     spark = docs.sparkSession
+    small_batches(spark)
     schema = "doc_id long, item_id long, distance int, end_at long, item_length int"
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     out = spark.createDataFrame([], schema)
     for n, items in enumerate(blocks(benchmark)):
         shared = spark.sparkContext.broadcast(items)  # bounded by BLOCK_CHARACTERS
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             # worker processes are used again, so a block's automaton is built once in each
-            if key not in _matchers:
-                _matchers.clear()
-                _matchers[key] = Matcher(shared.value, piece)
-            own = _matchers[key]
-            size = {i: len(t) for i, t in own.items}
+            own = _matcher(key, shared, piece)
+            ids, sizes = zip(*((i, len(t)) for i, t in own.items)) if own.items else ((), ())
             for b in batches:
-                rows = [(d, i, dist, end, size[i]) for d, t in zip(b["doc_id"], b["text"]) for i, dist, end in own.find(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end_at", "item_length"])
+                hits = [(row, *hit) for row, t in enumerate(b.column(1)) for hit in own.find(t.as_py())]
+                row, item, distance, end = zip(*hits) if hits else ((), (), (), ())
+                columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array([ids[k] for k in item], pa.int64()), pa.array(distance, pa.int32()), pa.array(end, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([sizes[k] for k in item], pa.int32())], names=["doc_id", "item_id", "distance", "end_at", "item_length"])
 
-        found = source.mapInPandas(run, schema)
+        found = source.mapInArrow(run, schema)
         out = found if n == 0 else out.unionByName(found)
     return out
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without the documents that hold an item; documents with a null id stay only if clean too."""
+    small_batches(docs.sparkSession)
     columns = docs.columns
     out = docs
     for items in blocks(benchmark):
@@ -183,10 +196,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
 def _clean(shared, key: str):
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in _matchers:
-            _matchers.clear()
-            _matchers[key] = Matcher(shared.value)
+        own = _matcher(key, shared, PIECE)
         for texts in batches:
-            yield pd.Series([not _matchers[key].find(t) for t in texts], dtype=bool)
+            yield pd.Series([not own.find(t) for t in texts], dtype=bool)
 
     return clean
