@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import numbers, stored
 
-#: Fine ranges a shard is ordered in, so that no task has to sort a whole shard.
-RANGES_PER_SHARD = 8
+#: Rows of the ranges that a shard is ordered in, so that no task has to sort a whole shard; and how many ranges it may have.
+RANGE_ROWS = 1_000_000
+RANGES_PER_SHARD = (8, 128)
 PROBES = 64
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
@@ -63,23 +64,25 @@ def splitters(df: DataFrame, columns: list[str], size: str, targets: list[int],
         if not open_:
             break
         cells = sorted(set(open_.values()))
-        cell = F.lit(None).cast("int")
-        probe = F.lit(None).cast("long")
-        for n, (fixed, lo, hi, _b) in enumerate(cells):
-            c = cols[len(fixed)]
-            step = max(1, -(-(hi - lo + 1) // PROBES))
-            here = (c >= F.lit(lo).cast("long")) & (c <= F.lit(hi).cast("long"))
-            for k, v in zip(cols, fixed, strict=False):
-                here = here & (k == F.lit(v).cast("long"))
-            if hi - lo > LONG_MAX:  # the whole range of a long: its upper six bits, sign turned
-                nth = F.shiftrightunsigned(c.bitwiseXOR(F.lit(LONG_MIN).cast("long")), 58)
-            else:
-                nth = F.call_function("div", c - F.lit(lo).cast("long"), F.lit(step).cast("long"))
-            cell = F.when(here, F.lit(n)).otherwise(cell)
-            probe = F.when(here, nth).otherwise(probe)
+        filled = lambda fixed, v, rest: (*fixed, v, *[rest] * (len(columns) - len(fixed) - 1))
+        nth = _tree([filled(f, lo, LONG_MIN) for f, lo, _, _ in cells], lambda b: _less(cols, b), lambda i: F.lit(i - 1))
+        # what is known of the row's cell, by its number
+        of = lambda values: F.get(numbers(values, "bigint"), F.col("cell"))
+        tops = [filled(f, hi, LONG_MAX) for f, _, hi, _ in cells]
+        past = F.lit(False)
+        for j in reversed(range(len(columns))):
+            top = of([t[j] for t in tops])
+            past = (cols[j] > top) | ((cols[j] == top) & past)
+        own = F.coalesce(*[F.when(of([len(f) for f, _, _, _ in cells]) == j, c) for j, c in enumerate(cols)])
+        step = lambda lo, hi: max(1, -(-(hi - lo + 1) // PROBES))
+        probe = F.when(
+            of([int(hi - lo > LONG_MAX) for _, lo, hi, _ in cells]) == 1,
+            # the whole range of a long: its upper six bits, sign turned
+            F.shiftrightunsigned(own.bitwiseXOR(F.lit(LONG_MIN).cast("long")), 58),
+        ).otherwise(F.call_function("div", own - of([lo if hi - lo <= LONG_MAX else 0 for _, lo, hi, _ in cells]), of([step(lo, hi) if hi - lo <= LONG_MAX else 1 for _, lo, hi, _ in cells])))
+        placed = df.select(*columns, size, nth.alias("cell")).where(F.col("cell") >= 0).where(~past)
         sums = (
-            df.select(cell.alias("cell"), probe.alias("probe"), F.col(size).alias("size"))
-            .where("cell IS NOT NULL")
+            placed.select("cell", probe.alias("probe"), F.col(size).alias("size"))
             .groupBy("cell", "probe")
             .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
             .collect()  # at most intervals x PROBES sums
@@ -132,23 +135,25 @@ def histogram_shard(df: DataFrame, key: str, size: Column, tie: Column, shards:
     )
     placed = stored(placed, "shard-keys")
     order = ["_key", "_tie", "_copy"]
-    total = placed.agg(F.sum("size")).first()[0] or 0
-    n = shards * RANGES_PER_SHARD
+    total, count = placed.agg(F.sum("size"), F.count("*")).first()
+    total = total or 0
+    ranges = min(max(count // (shards * RANGE_ROWS), RANGES_PER_SHARD[0]), RANGES_PER_SHARD[1])
+    n = shards * ranges
     targets = [total * i // n for i in range(1, n)]
     bounds = splitters(placed, order, "size", targets, tolerance if tolerance is not None else total // (n * 1000))
     bounds = sorted(bounds)
     cols = [F.col(c) for c in order]
     placed = placed.withColumn("_range", _tree(bounds, lambda b: _less(cols, b), lambda i: F.lit(i)))
-    rows = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # shards x RANGES_PER_SHARD rows
+    rows = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # shards x ranges rows
     before, starts = 0, []
     for i in range(n):
-        before = 0 if i % RANGES_PER_SHARD == 0 else before
+        before = 0 if i % ranges == 0 else before
         starts.append(before)
         before += rows.get(i, 0)
     in_range = Window.partitionBy("_range").orderBy(*order)
     return placed.withColumns(
         {
-            "shard": F.floor(F.col("_range") / RANGES_PER_SHARD).cast("int"),
-            "slot": (F.row_number().over(in_range) - 1).cast("long") + F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_range")),
+            "shard": F.floor(F.col("_range") / ranges).cast("int"),
+            "slot": (F.row_number().over(in_range) - 1).cast("long") + F.get(numbers(starts, "bigint"), F.col("_range")),
         }
     ).drop("_key", "_tie", "_copy", "_range")
