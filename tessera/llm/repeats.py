@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
-from .near_dedup import mix
+from .common import discard, small_batches, stored
+from .hashing import mix
 
 LENGTH = 50
 GRAM = 20
 CHUNK_BYTES = 4_000_000
+#: Strings whose anchors are sought at a time, in a chunk that one long document makes larger.
+STRETCH = 1 << 23
 #: Anchor hashes and surroundings that a bucket gets on average.
 BUCKET_ANCHORS = 1_000_000
 BUCKET_SURROUNDINGS = 40_000
@@ -83,7 +85,19 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all strings of length bytes inside documents."""
+    """(places, hashes) of the anchors of all strings of length bytes inside documents, a stretch of strings at a time."""
+    parts = []
+    for a in range(0, len(data), STRETCH):
+        part = data[a : a + STRETCH + length - 1]
+        places, hashes = _anchors(part, np.clip(bounds, a, a + len(part)) - a, length, gram)
+        parts.append((places + a, hashes))
+    if len(parts) < 2:
+        return parts[0] if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+    places, first = np.unique(np.concatenate([p for p, _ in parts]), return_index=True)
+    return places, np.concatenate([h for _, h in parts])[first]
+
+
+def _anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     if len(data) < length:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     h = gram_hashes(data, gram)
@@ -310,6 +324,7 @@ def _joined(chunk_rows: DataFrame, replies: DataFrame) -> DataFrame:
 
 def removed_runs(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): one row for each row of df; kept is what is left, as bytes."""
+    small_batches(df.sparkSession)
     total = df.agg(F.sum(F.octet_length(F.col(text_column)))).first()[0] or 0
     buckets = max(1, int(total // 12 // BUCKET_ANCHORS))
     base = stored(chunks(df, id_column, text_column), "chunks")
