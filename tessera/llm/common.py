@@ -36,20 +36,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
-    path = getattr(df, "stored_at", None)
-    if path:
+def discard(*frames: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing reads it any more, and the shuffle files of finished steps.
+
+    Spark deletes a shuffle's files when the driver collects the objects that stand for it. A
+    driver with memory to spare does so rarely, and a chain of large steps would fill the
+    disks meanwhile; so both collectors are asked here. Nothing depends on that they obey.
+    """
+    for df in frames:
         jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
+        target = jvm.org.apache.hadoop.fs.Path(df.stored_at)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-        release(df.sparkSession)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when memory runs short."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, use) -> Column:

@@ -352,14 +352,16 @@ def led(df: DataFrame, id_column: str, text_column: str, at_least: float) -> Dat
     texts = stored(texts.join(named, ["text_key", "doc_id"]).select("node", "text").dropDuplicates(["node"]), "texts")
     close = F.least("shingles", "pivot_shingles") >= at_least * F.greatest("shingles", "pivot_shingles")  # else the sizes alone rule it out
     pairs = stored(members.where((F.col("node") != F.col("pivot")) & close).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    found = components(stored(linked(around_pivots(pairs, texts), at_least), "links"))
-    own = members.join(found, "node", "left").select("band", "node", "shingles", F.coalesce("class", "node").alias("class"))
-    more = stored(linked(across_classes(stored(own, "members"), texts), at_least), "links")
+    links = stored(linked(around_pivots(pairs, texts), at_least), "links")
+    found = components(links)
+    own = stored(members.join(found, "node", "left").select("band", "node", "shingles", F.coalesce("class", "node").alias("class")), "members")
+    more = stored(linked(across_classes(own, texts), at_least), "links")
     if not more.isEmpty():
         again = components(more).select(F.col("node").alias("class"), F.col("class").alias("final"))
         # classes of one node have no row in found yet
         alone = again.select(F.col("class").alias("node"), "class").join(found.select("node"), "node", "left_anti")
         found = found.unionByName(alone).join(again, "class", "left").select("node", F.coalesce("final", "class").alias("class"))
+    discard(members, own, texts, pairs, links, more)
     named = nodes.join(found, "node", "left").select("text_key", "doc_id", F.coalesce("class", "node").alias("class"))
     leads = named.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("lead"))
     named = named.join(leads, "class").select("text_key", F.col("lead.doc_id").alias("lead_id"), F.col("lead.text_key").alias("lead_key"))
