@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Characters of a piece at least; shorter items must stand in a text unchanged.
-PIECE = 16
+PIECE = 12
 BLOCK_CHARACTERS = 16_000_000
 _SPACES = "\t\n\x0b\x0c\r"
 
