@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, near_dedup, packing, pii, quality_model, quality_rules, repeats, secrets, sharding
+from . import decontaminate, huffman, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, repeats, secrets, sharding
 from .common import count_kind, documents, span_text, text_of
 from .tokens import tokenizer_path
 
@@ -78,6 +78,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_common_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -89,10 +94,10 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_pii_scan": op9_pii_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 
-
 def quality_rules_sql() -> str:
     """The rules of op10, from the same patterns."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -126,4 +131,15 @@ verdicts AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS ba
 SELECT *, NOT base_failed AND n_words_removed <= CAST(0.5 AS DOUBLE) * n_words AS kept FROM verdicts"""
 
 
-ORACLE_SQL = {"op10_quality_rules": quality_rules_sql()}
+LINE_DEDUP_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM texts),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM lines),
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+marked AS (SELECT r, i, line, key IN (SELECT key FROM common) AS gone FROM keyed),
+joined AS (SELECT r, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY r)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts JOIN joined USING (r)"""
+
+
+ORACLE_SQL = {"op10_quality_rules": quality_rules_sql(), "op13_line_dedup": LINE_DEDUP_SQL}
