@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, repeats, secrets, sharding
+from . import automaton, decontaminate, huffman, importance, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, repeats, secrets, sharding, source_audit
 from .common import count_kind, documents, span_text, text_of
 from .tokens import tokenizer_path
 
@@ -78,6 +78,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_common_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -94,6 +103,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_pii_scan": op9_pii_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_source_divergence": op12_source_divergence,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -131,6 +142,56 @@ verdicts AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS ba
 SELECT *, NOT base_failed AND n_words_removed <= CAST(0.5 AS DOUBLE) * n_words AS kept FROM verdicts"""
 
 
+IMPORTANCE_SQL = f"""
+WITH texts AS (SELECT 's' AS side, row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS t FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}') FROM benchmark),
+worded AS (SELECT side, r, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+features AS (
+  SELECT side, r, unnest(w) AS feature FROM worded
+  UNION ALL SELECT side, r, w[i] || ' ' || w[i + 1] FROM (SELECT side, r, w, unnest(range(1, len(w))) AS i FROM worded WHERE len(w) > 1)),
+counted AS (SELECT side, r, feature, count(*) AS n FROM features GROUP BY ALL),
+coded AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM counted)),
+hashed AS (
+  SELECT feature, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, ({automaton.TABLE.tolist()}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295) % {importance.BUCKETS} AS bucket FROM coded),
+placed AS (SELECT side, r, bucket, n FROM counted JOIN hashed USING (feature)),
+buckets AS (SELECT bucket, sum(n) FILTER (side = 's') AS s, sum(n) FILTER (side = 't') AS t FROM placed GROUP BY bucket),
+totals AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM buckets),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (s_all + {importance.BUCKETS}) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (t_all + {importance.BUCKETS})))) AS BIGINT) AS gain
+  FROM buckets, totals),
+sums AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 's' GROUP BY r),
+facts AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM worded LEFT JOIN sums USING (r) WHERE side = 's'),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM facts),
+ordered AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= {importance.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {importance.PERCENT} * n // 100 THEN place END AS rank FROM scored LEFT JOIN ordered USING (r)"""
+
+DIVERGENCE_SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+terms AS (SELECT r, lang, source, unnest(w) AS term FROM texts),
+counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS documents FROM terms GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM counted GROUP BY lang, term HAVING sum(documents) >= {source_audit.MIN_DOCUMENTS}),
+langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+totals AS (SELECT g.lang, g.source, CAST(coalesce(sum(c.n), 0) AS HUGEINT) AS n FROM groups g LEFT JOIN (SELECT c.* FROM counted c SEMI JOIN kept USING (lang, term)) c USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST({source_audit.UNIT} AS HUGEINT) * (coalesce(c.n, 0) + {source_audit.ADDED}) // (t.n + 2 * l.v) AS p,
+    1 + CAST({source_audit.UNIT} AS HUGEINT) * (CAST(k.n AS HUGEINT) + {source_audit.ADDED}) // (l.n + 2 * l.v) AS q
+  FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {source_audit.TOP}"""
+
 LINE_DEDUP_SQL = f"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM texts),
@@ -142,4 +203,4 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS
 FROM texts JOIN joined USING (r)"""
 
 
-ORACLE_SQL = {"op10_quality_rules": quality_rules_sql(), "op13_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL = {"op10_quality_rules": quality_rules_sql(), "op11_importance_resampling": IMPORTANCE_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_line_dedup": LINE_DEDUP_SQL}
