@@ -296,11 +296,6 @@ def win_outlier_mad(spark, sf):
     return signal.outliers_mad(bins(spark, sf)).select("row_id", "is_outlier")
 
 
-@query()
-def win_rolling_median(spark, sf):
-    return signal.rolling_median(bins(spark, sf), 0.1)
-
-
 @query()
 def win_smooth_log2(spark, sf):
     return signal.smooth_log2(bins(spark, sf))
@@ -311,11 +306,6 @@ def win_drop_outliers(spark, sf):
     return signal.drop_outliers(bins(spark, sf))
 
 
-@query()
-def win_center_by_window(spark, sf):
-    return signal.center_by_window(bins(spark, sf), 0.1, F.col("depth"), ["chromosome"])
-
-
 @query()
 def win_shorten_labels(spark, sf):
     return signal.shorten_labels(bins(spark, sf))
@@ -456,18 +446,6 @@ def cohort(spark, sf, n: int = 3) -> DataFrame:
     return b.withColumn("sample_id", F.explode(F.array(*[F.lit(f"s{i}") for i in range(n)]))).withColumn("log2", F.col("log2") - 6 + 0.01 * F.substring("sample_id", 2, 2).cast("int"))
 
 
-@query()
-def ref_pooled(spark, sf):
-    return copynum.pooled_reference(cohort(spark, sf))
-
-
-@query()
-def fix_correct(spark, sf):
-    ref = copynum.pooled_reference(cohort(spark, sf), bias=False)
-    one = cohort(spark, sf, 1)
-    return copynum.correct(one, ref)
-
-
 @query(CALLS + " SELECT 'sample' AS \"ID\", chromosome AS chrom, start+1 AS \"loc.start\", \"end\" AS \"loc.end\", probes AS \"num.mark\", round(log2,6) AS \"seg.mean\" FROM seg")
 def snk_seg(spark, sf):
     return writers.seg_table(calls(spark, sf)).withColumn("seg.mean", F.round("`seg.mean`", 6))

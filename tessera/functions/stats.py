@@ -65,6 +65,64 @@ def biweight_midvariance(a, initial: float | None = None, c: float = 9.0, epsilo
     return math.sqrt(n * float((d**2 * (1 - u2) ** 4).sum()) / low**2)
 
 
+def _let(value: Column, use) -> Column:
+    return F.transform(F.array(value), use)[0]
+
+
+def array_median(values: Column) -> Column:
+    """The median of an array without nulls; null of an empty one."""
+    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    return F.when(F.size(values) > 0, _let(F.array_sort(values), middle))
+
+
+def array_biweight_location(values: Column, c: float = 6.0, epsilon: float = 1e-3, max_iter: int = 5) -> Column:
+    """STA-01 of an array without nulls, in built-in expressions: for the few values of a group."""
+
+    def moved(center):
+        gaps = F.transform(values, lambda x: x - center)
+
+        def shifted(gaps):
+            def weighed(reach):
+                pull = lambda g: F.pow(1 - F.pow(g / reach, F.lit(2.0)), F.lit(2.0))
+                start = F.struct(F.lit(0.0).alias("mass"), F.lit(0.0).alias("sum"))
+                add = lambda s, g: _let(pull(g), lambda p: F.when(p < 1, F.struct((s["mass"] + p).alias("mass"), (s["sum"] + g * p).alias("sum"))).otherwise(s))
+                return F.aggregate(gaps, start, add)
+
+            return _let(F.greatest(c * array_median(F.transform(gaps, F.abs)), F.lit(epsilon)), weighed)
+
+        return _let(gaps, shifted)
+
+    state = lambda center, done: F.struct(center.alias("center"), done.alias("done"))
+
+    def step(held, _):
+        def next_state(sums):
+            move = sums["sum"] / sums["mass"]
+            return F.when(sums["mass"] == 0, state(held["center"], F.lit(True))).otherwise(state(held["center"] + move, F.abs(move) <= epsilon))
+
+        return F.when(held["done"], held).otherwise(_let(moved(held["center"]), next_state))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max_iter)), state(array_median(values), F.size(values) < 2), step, lambda s: s["center"])
+
+
+def array_biweight_midvariance(values: Column, center: Column, c: float = 9.0, epsilon: float = 1e-3) -> Column:
+    """STA-02 of an array without nulls around center, in built-in expressions."""
+
+    def spread(f):
+        d = lambda x: x - f["center"]
+        share = lambda x: F.pow(d(x) / F.greatest(c * f["mad"], F.lit(epsilon)), F.lit(2.0))
+        start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("low"), F.lit(0.0).alias("top"))
+
+        def add(s, x):
+            more = lambda u: F.struct((s["n"] + 1).alias("n"), (s["low"] + (1 - u) * (1 - 5 * u)).alias("low"), (s["top"] + d(x) * d(x) * F.pow(1 - u, F.lit(4.0))).alias("top"))
+            return _let(share(x), lambda u: F.when(u < 1, more(u)).otherwise(s))
+
+        rooted = lambda s: F.when((s["n"] == 0) | (s["low"] == 0), f["mad"] * MAD_SCALE).otherwise(F.sqrt(s["n"] * s["top"] / (s["low"] * s["low"])))
+        return F.aggregate(values, start, add, rooted)
+
+    facts = F.struct(center.alias("center"), array_median(F.transform(values, lambda x: F.abs(x - center))).alias("mad"))
+    return F.when(F.size(values) == 1, F.lit(0.0)).when(F.size(values) > 1, _let(facts, spread))
+
+
 def modal_location(a) -> float:
     """STA-03: the value where a Gaussian kernel density (Scott's bandwidth) is highest."""
     a = np.sort(_clean(a))

@@ -185,15 +185,10 @@ def pooled_reference(samples: DataFrame, male_reference: bool = False, sexes: Da
     checked = flat.select(*at, F.when(F.col("_n") != F.col("_total"), F.raise_error(F.lit("samples do not have the same bins")).cast("double")).otherwise(g.expect_flat_log2(male_reference)).alias("log2"))
     stacked = rows.select(*at, "log2", "depth").unionByName(checked.withColumn("depth", F.lit(None).cast("double")))
 
-    def summary(log2: pd.Series) -> float:
-        return stats.biweight_location(log2.to_numpy())
-
-    def spread(log2: pd.Series) -> float:
-        a = log2.to_numpy()
-        return stats.biweight_midvariance(a, stats.biweight_location(a))
-
-    center, wide = F.pandas_udf(summary, "double"), F.pandas_udf(spread, "double")
-    out = stacked.groupBy(*at).agg(center("log2").alias("log2"), center("depth").alias("depth"), wide("log2").alias("spread"))
+    held = stacked.groupBy(*at).agg(F.collect_list("log2").alias("_log2"), F.collect_list("depth").alias("_depth"))  # a value for each sample
+    sorted_ = held.withColumns({"_log2": F.array_sort("_log2"), "_depth": F.array_sort("_depth")})
+    centred = sorted_.withColumns({"log2": stats.array_biweight_location(F.col("_log2")), "depth": stats.array_biweight_location(F.col("_depth"))})
+    out = centred.select(*at, "log2", "depth", stats.array_biweight_midvariance(F.col("_log2"), F.col("log2")).alias("spread"))
     extras = [c for c in ("gc", "rmask") if c in samples.columns]
     if extras:
         out = out.join(samples.groupBy(*at).agg(*[F.first(c).alias(c) for c in extras]), at)

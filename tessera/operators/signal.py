@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..functions.genome import SEED, sample_keys
+from . import halo
 from .order import lookup, ordered_parts
 from .ranges import range_join, with_row_id
 from .runs import by_arm
@@ -121,18 +122,12 @@ def residuals(df: DataFrame, segments: DataFrame | None = None) -> DataFrame:
 
 
 def center_by_window(df: DataFrame, fraction: float, sort_key: Column, block: list[str] | None = None) -> DataFrame:
-    """WIN-14: log2 less its rolling median along sort_key; ties in a seeded order, a block (sample) at a time."""
-    keys = block if block is not None else sample_keys(df)
-    fields = df.schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["chromosome", "start", "end"], kind="stable").reset_index(drop=True)
-        rows = rows.iloc[np.random.RandomState(SEED).permutation(len(rows))]
-        rows = rows.iloc[np.argsort(rows["_key"].to_numpy(), kind="stable")]
-        rows["log2"] = _values(rows) - kernels.rolling_median(_values(rows), fraction)
-        return rows[fields.names]
-
-    return df.withColumn("_key", sort_key.cast("double")).groupBy(*(keys or [F.lit("")])).applyInPandas(run, fields)
+    """WIN-14: log2 less its rolling median along sort_key, a block (sample) at a time; rows with equal keys in an order made by a seeded digest of their place."""
+    tie = F.md5(F.concat_ws(":", F.lit(str(SEED)), "chromosome", "start", "end"))
+    rows = df.withColumns({"_key": sort_key.cast("double"), "_tie": tie})
+    order = [F.col("_key").asc_nulls_last(), F.col("_tie"), F.col("log2")]
+    out = halo.rolling_median(rows, sample_keys(df) if block is None else block, order, fraction, "log2", "_bias")
+    return out.withColumn("log2", F.col("log2") - F.col("_bias")).select(*df.columns)
 
 
 def edge_bias(df: DataFrame, margin: int = 250) -> DataFrame:
@@ -182,7 +177,8 @@ def adjust_bh(df: DataFrame, p: str = "p", out: str = "q", group: list[str] | No
 
 def ewm(df: DataFrame, span: float = 3.0, column: str = "log2", out: str = "smoothed") -> DataFrame:
     """WIN-17 over each sample's whole signal."""
-    return grouped(df, sample_keys(df), out, lambda r: kernels.ewm(_values(r, column), span))
+    order = [c for c in ("chromosome", "start", "end", "row_id") if c in df.columns]
+    return halo.decaying_mean(df, sample_keys(df), order, span, column, out)
 
 
 def shorten_labels(df: DataFrame) -> DataFrame:
