@@ -88,7 +88,7 @@ def words(texts: pa.Array, classes: np.ndarray) -> Iterator[Words]:
         seams = np.unique(offsets[lo:hi]) - at
         seams = seams[(own[seams - 1] != 0) & (own[seams] != 0)]
         if len(seams):
-            starts, ends = np.union1d(starts, seams), np.union1d(ends, seams)
+            starts, ends = (np.insert(at_, np.searchsorted(at_, seams), seams) for at_ in (starts, ends))
         if len(starts):
             yield Words(own, starts, ends, np.searchsorted(offsets, starts + at, side="right") - 1)
         at = stop

@@ -21,7 +21,6 @@ in whole numbers. Texts are read a stretch at a time; a trie is passed on when i
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,63 +37,104 @@ from .common import small_batches, stored
 TERM_BYTES = [(0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)]
 MIN_DOCUMENTS, UNIT, ADDED, TOP = 10, 1_000_000_000, 2, 10
 CLASSES = byte_classes(TERM_BYTES)
-#: A trie is written and begun anew when it has so many leaves, or so many bytes on its edges.
-MOST_LEAVES, MOST_BYTES = 200_000, 64 << 20
+#: A trie is written and begun anew when it has so many leaves, bytes in its terms, or counters.
+MOST_LEAVES, MOST_BYTES, MOST_COUNTERS = 1_000_000, 64 << 20, 4_000_000
+#: Levels of a trie with a byte to an edge.
+DEEP = 32
 #: Numbers in a block of the traversal.
 BLOCK = 1 << 21
 
 
 class Trie:
-    """A radix trie: each node has the bytes on the edge to it, its children by their first byte, and the number of its leaf."""
+    """A byte trie that takes many terms at once, a level in a step.
+
+    The edges of a level are sorted numbers, parent << 8 | byte, with the nodes they lead to.
+    Below DEEP bytes what is left of a term is one edge (the radix step), as few terms go there.
+    """
 
     def __init__(self):
-        self.edge, self.children, self.leaf = [b""], [{}], [-1]
+        none = np.zeros(0, dtype=np.int64)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = [(none, none) for _ in range(DEEP)]
+        self.tails: dict[int, dict[bytes, int]] = {}
+        self.nodes = 1
+        self.leaf_of = np.full(1024, -1, dtype=np.int64)  # the leaf's number, by node
+        self.terms: list[pa.Array] = []
         self.leaves = self.size = 0
 
-    def _node(self, edge: bytes, leaf: int, children: dict | None = None) -> int:
-        self.edge.append(edge)
-        self.children.append(children)
-        self.leaf.append(leaf)
-        return len(self.edge) - 1
-
-    def _new_leaf(self) -> int:
-        self.leaves += 1
-        return self.leaves - 1
-
-    def add(self, term: bytes) -> int:
-        """The number of the term's leaf, a new one where the term is new."""
-        node, at = 0, 0
-        while at < len(term):
-            if self.children[node] is None:
-                self.children[node] = {}
-            child = self.children[node].get(term[at])
-            if child is None:
-                self.size += len(term) - at
-                made = self.children[node][term[at]] = self._node(term[at:], self._new_leaf())
-                return self.leaf[made]
-            edge = self.edge[child]
-            if not term.startswith(edge, at):
-                same = len(os.path.commonprefix([edge, term[at : at + len(edge)]]))
-                upper = self._node(edge[:same], -1, {edge[same]: child})
-                self.edge[child] = edge[same:]
-                self.children[node][term[at]] = upper
-                child, edge = upper, edge[:same]
-            node, at = child, at + len(edge)
-        if self.leaf[node] < 0:
-            self.leaf[node] = self._new_leaf()
-        return self.leaf[node]
-
-    def walk(self) -> Iterator[tuple[bytes, int]]:
-        """(term, leaf) in the order of bytes."""
-        stack = [(0, b"")]
-        while stack:
-            node, before = stack.pop()
-            term = before + self.edge[node]
-            if self.leaf[node] >= 0:
-                yield term, self.leaf[node]
-            below = self.children[node]
-            if below:
-                stack += [(below[b], term) for b in sorted(below, reverse=True)]
+    def _numbered(self, n: int) -> np.ndarray:
+        out = np.arange(self.nodes, self.nodes + n)
+        self.nodes += n
+        while self.nodes > len(self.leaf_of):
+            self.leaf_of = np.concatenate([self.leaf_of, np.full(len(self.leaf_of), -1, dtype=np.int64)])
+        return out
+
+    def _step(self, level: int, edges: np.ndarray) -> np.ndarray:
+        """The nodes at the ends of edges, new ones where the trie has none."""
+        own, at = np.unique(edges, return_inverse=True)
+        keys, ends = self.levels[level]
+        place = np.searchsorted(keys, own)
+        known = np.zeros(len(own), dtype=bool)
+        known[place < len(keys)] = keys[place[place < len(keys)]] == own[place < len(keys)]
+        nodes = np.empty(len(own), dtype=np.int64)
+        nodes[known] = ends[place[known]]
+        nodes[~known] = self._numbered(int((~known).sum()))
+        self.levels[level] = np.insert(keys, place[~known], own[~known]), np.insert(ends, place[~known], nodes[~known])
+        return nodes[at]
+
+    def add(self, terms: pa.Array) -> np.ndarray:
+        """The numbers of the leaves of distinct terms (large_binary, none empty)."""
+        offsets = np.frombuffer(terms.buffers()[1], dtype=np.int64)[terms.offset : terms.offset + len(terms) + 1]
+        data = np.frombuffer(terms.buffers()[2], dtype=np.uint8)
+        sizes = np.diff(offsets)
+        order = np.argsort(-np.minimum(sizes, DEEP + 1), kind="stable")  # those still going down are a prefix
+        starts, sizes = offsets[:-1][order], sizes[order]
+        node = np.zeros(len(order), dtype=np.int64)
+        going = len(sizes)
+        for level in range(DEEP):
+            going = int(np.searchsorted(-sizes[:going], -level, side="left"))  # sizes above level
+            if not going:
+                break
+            node[:going] = self._step(level, node[:going] << 8 | data[starts[:going] + level])
+        for i in np.flatnonzero(sizes > DEEP):
+            rest = data[starts[i] + DEEP : starts[i] + sizes[i]].tobytes()
+            below = self.tails.setdefault(int(node[i]), {})
+            if rest not in below:
+                below[rest] = int(self._numbered(1)[0])
+            node[i] = below[rest]
+        new = np.flatnonzero(self.leaf_of[node] < 0)
+        self.leaf_of[node[new]] = np.arange(self.leaves, self.leaves + len(new))
+        self.terms.append(terms.take(pa.array(order[new])))
+        self.leaves += len(new)
+        self.size += int(sizes[new].sum())
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = self.leaf_of[node]
+        return out
+
+    def walk(self) -> tuple[pa.Array, np.ndarray]:
+        """The terms in the order of bytes, and their leaves: a traversal with each node before those below it."""
+        held = (self.leaf_of[: self.nodes] >= 0).astype(np.int64)
+        below = held.copy()  # leaves at or below each node
+        tails = [(n, sorted(t.items())) for n, t in self.tails.items()]
+        for n, own in tails:
+            below[n] += len(own)
+        for keys, ends in reversed(self.levels):
+            np.add.at(below, keys >> 8, below[ends])
+        first = np.zeros(self.nodes, dtype=np.int64)  # how many leaves come before
+        for keys, ends in self.levels:
+            if not len(keys):
+                break
+            parent = keys >> 8
+            before = np.cumsum(below[ends]) - below[ends]
+            start = np.flatnonzero(np.diff(parent, prepend=-1))
+            before -= np.repeat(before[start], np.diff(start, append=len(parent)))
+            first[ends] = first[parent] + held[parent] + before
+        for n, own in tails:
+            first[[end for _, end in own]] = first[n] + held[n] + np.arange(len(own))
+        nodes = np.flatnonzero(held)
+        leaves = np.empty(self.leaves, dtype=np.int64)
+        leaves[first[nodes]] = self.leaf_of[nodes]
+        terms = pa.concat_arrays(self.terms) if self.terms else pa.array([], pa.large_binary())
+        return terms.take(pa.array(leaves)), leaves
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -120,8 +160,8 @@ class SourceTrie:
             sizes = found.ends - found.starts
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(found.classes[found.classes != 0])]).dictionary_encode()
-            leaves = np.array([self.trie.add(t) for t in terms.dictionary.to_pylist()], dtype=np.int64)
-            one, n = np.unique((found.rows.astype(np.int64) << 32) | leaves[terms.indices.to_numpy()], return_counts=True)
+            leaves = self.trie.add(terms.dictionary)
+            one, n = summed((found.rows.astype(np.int64) << 32) | leaves[terms.indices.to_numpy()], np.ones(len(sizes), dtype=np.int64))
             pairs.append(one)
             times.append(n)
         if not pairs:
@@ -137,7 +177,7 @@ class SourceTrie:
         return summed(*[np.concatenate(c) for c in zip(*self.pending)]) if self.pending else (np.zeros(0, dtype=np.int64),) * 3
 
     def full(self) -> bool:
-        return self.trie.leaves > MOST_LEAVES or self.trie.size > MOST_BYTES
+        return self.trie.leaves > MOST_LEAVES or self.trie.size > MOST_BYTES or sum(len(p[0]) for p in self.pending) > MOST_COUNTERS
 
     def leaves(self) -> Iterator[pa.RecordBatch]:
         """The counters in the order of terms; and a row without a term for each group."""
@@ -146,16 +186,16 @@ class SourceTrie:
         none = pa.array(np.zeros(len(names), dtype=np.int64))
         yield pa.RecordBatch.from_arrays([lang, source, pa.nulls(len(names), pa.string()), none, none], names=LEAF_NAMES)
         key, n, rows = self._merged()
-        walked = list(self.trie.walk())
-        place = np.zeros(len(walked), dtype=np.int64)
-        place[[leaf for _, leaf in walked]] = np.arange(len(walked))
-        terms = pa.array([t for t, _ in walked], pa.binary()).cast(pa.string())
+        walked, leaves = self.trie.walk()
+        place = np.empty(len(leaves), dtype=np.int64)
+        place[leaves] = np.arange(len(leaves))
+        terms = walked.cast(pa.large_string())
         order = np.argsort(place[key >> 31], kind="stable")
         key, n, rows, place = key[order], n[order], rows[order], place[key[order] >> 31]
         for at in range(0, len(key), 50_000):
             part = slice(at, at + 50_000)
             group = pa.array(key[part] & 0x7FFFFFFF)
-            yield pa.RecordBatch.from_arrays([lang.take(group), source.take(group), terms.take(pa.array(place[part])), pa.array(n[part]), pa.array(rows[part])], names=LEAF_NAMES)
+            yield pa.RecordBatch.from_arrays([lang.take(group), source.take(group), terms.take(pa.array(place[part])).cast(pa.string()), pa.array(n[part]), pa.array(rows[part])], names=LEAF_NAMES)
 
 
 LEAF_NAMES = ["lang", "source", "term", "n", "documents"]

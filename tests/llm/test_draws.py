@@ -81,11 +81,18 @@ def test_resampling_without_rows(spark):
     assert sorted((r["doc_id"], r["n_features"], r["rank"]) for r in importance.resample(some, none).collect()) == [(1, 3, None), (2, 0, None)]
 
 
-def test_trie_walks_in_byte_order():
+@pytest.mark.parametrize("deep", [2, 32])
+def test_trie_walks_in_byte_order(monkeypatch, deep):
+    monkeypatch.setattr(source_audit, "DEEP", deep)
     rng = random.Random(4)
-    trie, terms = source_audit.Trie(), [bytes(rng.choice(b"ab\xc3\xff") for _ in range(rng.randint(1, 7))) for _ in range(2000)]
-    leaves = [trie.add(t) for t in terms]
-    assert [t for t, _ in trie.walk()] == sorted(set(terms)) and dict(trie.walk()) == dict(zip(terms, leaves))
+    trie, known = source_audit.Trie(), {}
+    for _ in range(6):
+        terms = sorted({bytes(rng.choice(b"ab\xc3\xff") for _ in range(rng.randint(1, 7))) for _ in range(300)}, key=lambda _: rng.random()) + [b"a" * 40]
+        for term, leaf in zip(terms, trie.add(pa.array([b"cut", *terms], pa.large_binary())[1:]).tolist()):
+            assert known.setdefault(term, leaf) == leaf
+    walked, leaves = trie.walk()
+    assert walked.to_pylist() == sorted(known) and dict(zip(walked.to_pylist(), leaves.tolist())) == known
+    assert sorted(known.values()) == list(range(len(known)))
 
 
 def audited(rows):
