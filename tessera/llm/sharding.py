@@ -28,21 +28,42 @@ PROBES = 64
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
 
-def _tree(bounds: list, below, leaf, lo: int = 0, hi: int | None = None) -> Column:
-    """A balanced tree of comparisons: leaf(i) where i bounds lie at or below the row."""
-    hi = len(bounds) if hi is None else hi
-    if lo == hi:
-        return leaf(lo)
-    mid = (lo + hi) // 2
-    return F.when(below(bounds[mid]), _tree(bounds, below, leaf, lo, mid)).otherwise(_tree(bounds, below, leaf, mid + 1, hi))
+def at_or_below(bounds: list[tuple], columns: list[Column]) -> Column:
+    """How many of the ascending tuples lie at or below the row's columns, by halving steps over their arrays."""
+    held = [numbers([b[j] for b in bounds], "bigint") for j in range(len(columns))] if bounds else []
 
+    def step(found, width):
+        reached = F.lit(True)
+        for own, c in reversed(list(zip(held, columns))):
+            bound = F.get(own, found + width - 1)  # null beyond the last
+            reached = (bound < c) | ((bound == c) & reached)
+        return F.when(reached, found + width).otherwise(found)
 
-def _less(columns: list[Column], bound: tuple) -> Column:
-    """(columns) < bound in the order of tuples."""
-    out = F.lit(False)
-    for c, b in reversed(list(zip(columns, bound, strict=True))):
-        out = (c < F.lit(b).cast("long")) | ((c == F.lit(b).cast("long")) & out)
-    return out
+    widths = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(numbers(widths, "int"), F.lit(0), step) if bounds else F.lit(0)
+
+
+def aims(total: int, shards: int, giants: list[tuple[int, int]]) -> list[int]:
+    """Where shards begin and end, in bytes from the first key: as equal as rows larger than a shard let them be.
+
+    giants: (bytes before it, size) of each such row, in key order. Each fills a shard of its
+    own, and the stretches between them share the others; a stretch too small for one goes
+    with the giant after it (the last with the one before).
+    """
+    starts = [0, *[b + s for b, s in giants]]
+    ends = [*[b for b, _ in giants], total]
+    rest, free = sum(e - s for s, e in zip(starts, ends)), shards - len(giants)
+    share = [(e - s) * free / rest if rest else 0.0 for s, e in zip(starts, ends)]
+    parts = [int(x) for x in share] if rest else [free] + [0] * len(giants)
+    for _ in range(free - sum(parts)):
+        fullest = max(range(len(parts)), key=lambda j: (ends[j] - starts[j]) / max(parts[j], 1))
+        parts[fullest] += 1
+    places = [0]
+    for j, (s, e) in enumerate(zip(starts, ends)):
+        places += [s + (e - s) * i // parts[j] for i in range(1, parts[j] + 1)]
+        if j < len(giants):
+            places.append(starts[j + 1])
+    return [*places[:shards], total]
 
 
 def splitters(df: DataFrame, columns: list[str], size: str, targets: list[int], tolerance: int, rounds: int = 64) -> list[tuple]:
@@ -65,7 +86,7 @@ def splitters(df: DataFrame, columns: list[str], size: str, targets: list[int],
             break
         cells = sorted(set(open_.values()))
         filled = lambda fixed, v, rest: (*fixed, v, *[rest] * (len(columns) - len(fixed) - 1))
-        nth = _tree([filled(f, lo, LONG_MIN) for f, lo, _, _ in cells], lambda b: _less(cols, b), lambda i: F.lit(i - 1))
+        nth = at_or_below([filled(f, lo, LONG_MIN) for f, lo, _, _ in cells], cols) - 1
         # what is known of the row's cell, by its number
         of = lambda values: F.get(numbers(values, "bigint"), F.col("cell"))
         tops = [filled(f, hi, LONG_MAX) for f, _, hi, _ in cells]
@@ -139,11 +160,18 @@ def histogram_shard(df: DataFrame, key: str, size: Column, tie: Column, shards:
     total = total or 0
     ranges = min(max(count // (shards * RANGE_ROWS), RANGES_PER_SHARD[0]), RANGES_PER_SHARD[1])
     n = shards * ranges
-    targets = [total * i // n for i in range(1, n)]
+    cols = [F.col(c) for c in order]
+    large = sorted(tuple(r) for r in placed.where(F.col("size") * shards > total).select(*order, "size").collect())  # fewer than shards
+    giants = []
+    if large:
+        before_each = placed.groupBy((at_or_below([r[:3] for r in large], cols)).alias("nth")).agg(F.sum("size").alias("bytes")).collect()
+        held = {r["nth"]: r["bytes"] for r in before_each}
+        giants = [(sum(held.get(k, 0) for k in range(j + 1)), r[3]) for j, r in enumerate(large)]
+    places = aims(total, shards, giants)
+    targets = [a + (b - a) * i // ranges for a, b in zip(places, places[1:]) for i in range(ranges)][1:]
     bounds = splitters(placed, order, "size", targets, tolerance if tolerance is not None else total // (n * 1000))
     bounds = sorted(bounds)
-    cols = [F.col(c) for c in order]
-    placed = placed.withColumn("_range", _tree(bounds, lambda b: _less(cols, b), lambda i: F.lit(i)))
+    placed = placed.withColumn("_range", at_or_below(bounds, cols))
     rows = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # shards x ranges rows
     before, starts = 0, []
     for i in range(n):

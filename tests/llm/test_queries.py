@@ -84,6 +84,44 @@ def test_shards_of_many_ranges_and_clashing_names(spark, monkeypatch):
     assert sum(keys, []) == sorted(sum(keys, [])) and all(s == list(range(len(s))) for s in slots)
 
 
+@pytest.mark.parametrize(("giants", "want"), [
+    ([], [100] * 8), ([(300, 200)], None), ([(0, 800)], None), ([(10, 400), (410, 300)], None),
+])
+def test_aims_of_shards(giants, want):
+    places = sharding.aims(800, 8, giants)
+    assert len(places) == 9 and places[0] == 0 and places[-1] == 800 and places == sorted(places)
+    if not giants:
+        assert [b - a for a, b in zip(places, places[1:])] == want
+    for before, size in giants:  # a shard of its own, but for a stretch too small for one
+        assert any(abs(a - before) <= 10 and b - a >= size for a, b in zip(places, places[1:]))
+
+
+def test_a_row_larger_than_a_shard(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, 5_000_000 if i == 700 else 4500) for i in range(2000)]
+    out = sharding.histogram_shard(spark.createDataFrame(rows, "doc_id long, n long").repartition(3), "doc_id", F.col("n"), F.xxhash64("n")).collect()
+    sizes = [sum(r["size"] for r in out if r["shard"] == s) for s in range(8)]
+    others = sorted(sizes)[:-1]
+    assert sum(sizes) == 5_000_000 + 1999 * 4500 and max(sizes) < 5_050_000 and max(others) < 1.4 * min(others)  # shards are stretches of keys, so 3 and 4 of them share what is before and after
+
+
+@pytest.mark.parametrize("bounds", [1, 64, 1023])
+def test_bounds_are_found_in_compiled_code(spark, bounds):
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    rng = __import__("random").Random(bounds)
+    edges = sorted((rng.randrange(50), rng.choice([-(1 << 63), 0, rng.randrange(9)]), rng.randrange(-3, 3)) for _ in range(bounds))
+    rows = [(rng.randrange(-1, 51), rng.randrange(-1, 9), rng.randrange(-4, 4)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b long, c long").repartition(2)
+    out = df.withColumn("n", sharding.at_or_below(edges, [F.col(c) for c in "abc"]))
+    assert all(r["n"] == bisect.bisect_right(edges, (r["a"], r["b"], r["c"])) for r in out.collect())
+    code = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "codegen")
+    assert "Generated code" in code and max(map(len, code.split("/* 001 */"))) < 65536
+
+
 @pytest.mark.parametrize("rows", ["table", "nasty"])
 def test_quality_rules_against_sql(spark, rows, tmp_path):
     folder = SF
