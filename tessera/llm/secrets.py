@@ -2,11 +2,14 @@
 
 Two character models of order one, over the same alphabet, are trained from labelled
 samples: random strings (made from digests in the alphabets that keys are written in) and
-ordinary identifiers (the words of all documents, and neighbours joined as in names). A
-candidate token is a secret when the log-likelihood ratio of the models is above a threshold.
-The models are tables of 65 x 65 numbers, which is all that reaches the driver and goes back
-in the plan. Built-in expressions only; no shuffle but the training counts: of each different
-word, and of each pair of characters that neighbours meet with.
+ordinary identifiers (the words of all documents, and neighbours joined as in names). What may
+be judged, any long run of key characters, is no sample, so that secrets without a label do
+not teach the model that they are names; a word weighs by the logarithm of its count, so that
+neither copies of a document nor strings that occur once outweigh the rest. A candidate token
+is a secret when the log-likelihood ratio of the models is above a threshold. The models are
+tables of 65 x 65 numbers, which is all that reaches the driver and goes back in the plan.
+Built-in expressions only; no shuffle but the training counts: of each different word, and of
+each pair of characters that neighbours meet with.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get the same
 spans; an empty table gives an empty table; other columns pass through (columns named like
@@ -20,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, match_spans, numbers, ordered_spans, replaced, text_of
+from .common import let, match_spans, numbers, ordered_spans, replaced, stored, text_of
 
 # Fixed values of the contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -71,26 +74,32 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
     )
 
 
+#: Whole words that are no longer than words are.
+WORD = "(?<![A-Za-z0-9])[A-Za-z0-9]{2,15}(?![A-Za-z0-9])"
 #: How names join their words.
 JOINTS = ["_", "-", "/", ""]
 _EDGE = "\t"
 
 
 def identifiers(df: DataFrame, text_column: str = "text") -> DataFrame:
-    """(token, n): words of all documents and how often they occur; and the ends of neighbours, joined in each way names are.
+    """(token, n): whole words of all documents and their weights; and the ends of neighbours, joined in each way names are.
 
-    What the fixed patterns find is cut out first, so that no labelled secret counts as a name.
+    What the fixed patterns find and all candidates are cut out first. Neighbours weigh as much
+    in all as the words they are of.
     """
     sample = df.select(text_of(df, text_column).alias("t"))
-    clean = F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    words = F.regexp_extract_all(clean, F.lit("[A-Za-z0-9]{2,15}"), F.lit(0))
+    clean = F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), f"{CANDIDATE}|{ACCESS}|{HEX}", " ")
+    words = F.regexp_extract_all(clean, F.lit(WORD), F.lit(0))
     edges = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.lit(_EDGE), F.right(F.get(w, i), F.lit(1)), F.left(x, F.lit(1))))
-    both = sample.select(F.explode(let(words, lambda w: F.concat(w, edges(w)))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    is_edge = F.startswith("token", F.lit(_EDGE))
+    counted = sample.select(F.explode(let(words, lambda w: F.concat(w, edges(w)))).alias("token")).groupBy("token").agg(F.count("*").cast("double").alias("n"))
+    is_edge, weight = F.startswith("token", F.lit(_EDGE)), 1 + F.ln("n")
+    both = stored(counted, "identifiers")
+    totals = both.where(~is_edge).agg(F.sum(weight).alias("weight"), F.sum("n").alias("n")).first()
+    share = (totals["weight"] or 0.0) / (totals["n"] or 1.0)
     a, b = F.substring("token", 2, 1), F.substring("token", 3, 1)
     joined = F.transform(F.array(*[F.lit(j) for j in JOINTS]), lambda j: F.concat(a, j, b))
     token = F.when(is_edge, joined).otherwise(F.array("token"))
-    return both.select(F.explode(token).alias("token"), F.when(is_edge, F.col("n") / len(JOINTS)).otherwise(F.col("n").cast("double")).alias("n"))
+    return both.select(F.explode(token).alias("token"), F.when(is_edge, F.col("n") * share / len(JOINTS)).otherwise(weight).alias("n"))
 
 
 def train(positive: DataFrame, negative: DataFrame) -> list[float]:

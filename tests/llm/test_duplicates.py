@@ -194,9 +194,11 @@ def test_leaks_match_brute_force(spark):
         return min(row)
 
     rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, prose(rng.randint(1, 14))) for i in range(12)] + [(None, "an item without an id, and some words"), (5, "second item of one id, long enough")]
     rows = []
-    for i in range(60):
+    for i in range(120):
         part = list(rng.choice(items)[1])
         for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
             k = rng.randrange(len(part))

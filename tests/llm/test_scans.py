@@ -53,6 +53,24 @@ def test_identifiers_come_from_every_document(spark):
     assert words.distinct().count() == 2500
 
 
+@pytest.mark.parametrize("each", [1, 10, 40])
+def test_unlabelled_secrets_do_not_teach_the_model(spark, each):
+    rng = random.Random(each)
+    words = ["".join(rng.choice("aeioulnrstdmckp") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    rows, planted = [], 0
+    for i in range(300):
+        parts = [rng.choice(words) for _ in range(120)]
+        for _ in range(each):
+            parts.insert(rng.randrange(len(parts)), "".join(rng.choice(alphabets[i % 2]) for _ in range(32)))
+            planted += 1
+        names = ["_".join(rng.choice(words) for _ in range(5)) for _ in range(4)]
+        rows.append((i, " ".join(parts + names)))
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    found = [s["value"] for r in out for s in r["spans"] if s["kind"] == "markov"]
+    assert len([v for v in found if "_" not in v]) >= 0.95 * planted and not [v for v in found if "_" in v]
+
+
 def test_letters_alone_may_be_random(spark):
     words = spark.createDataFrame([(i, f"the quick brown fox jumps over lazy dogs while under_scores and other names {i}") for i in range(30)], "doc_id long, text string")
     model = secrets.train(secrets.random_strings(spark), secrets.identifiers(words))
