@@ -284,59 +284,6 @@ def ewma_haar_breaks(x: np.ndarray, q: float, weights: np.ndarray | None = None,
     return np.unique(np.concatenate(found)).astype(int)
 
 
-def gaussian_hmm(signals: list[np.ndarray], means: list[float], sd: float = 0.3, rounds: int = 20, fixed: tuple[int, ...] = (), stay: float = 100.0) -> list[np.ndarray]:
-    """SEG-05: states by posterior decoding after Baum-Welch over all signals; states in fixed keep their means."""
-    k = len(means)
-    mu, var = np.array(means, dtype=float), np.full(k, sd**2)
-    trans = np.full((k, k), 1.0) + np.eye(k) * (stay - 1)
-    trans /= trans.sum(axis=1, keepdims=True)
-    half = (k - 1) / 2
-    start = np.array([math.comb(k - 1, i) for i in range(k)], dtype=float)
-    start = start / start.sum() if half else np.ones(1)
-
-    def posterior(x):
-        like = np.exp(-0.5 * (x[:, None] - mu) ** 2 / var) / np.sqrt(var) + 1e-300
-        n = len(x)
-        a, b, c = np.empty((n, k)), np.empty((n, k)), np.empty(n)
-        row = start * like[0]
-        for t in range(n):
-            row = row if t == 0 else (a[t - 1] @ trans) * like[t]
-            c[t] = row.sum()
-            a[t] = row / c[t]
-        b[-1] = 1
-        for t in range(n - 2, -1, -1):
-            b[t] = trans @ (like[t + 1] * b[t + 1]) / c[t + 1]
-        pairs = (a[:-1].T @ (like[1:] * b[1:] / c[1:, None])) * trans if n > 1 else np.zeros((k, k))
-        return a * b, pairs, float(np.log(c).sum())
-
-    real = [s for s in signals if len(s)]
-    last = -math.inf
-    for _ in range(rounds if real else 0):
-        mass, first, second, moves, fit = np.zeros(k), np.zeros(k), np.zeros(k), np.zeros((k, k)), 0.0
-        for x in real:
-            g, pairs, ll = posterior(x)
-            mass += g.sum(axis=0)
-            first += g.T @ x
-            second += g.T @ x**2
-            moves += pairs
-            fit += ll
-        seen = mass > 1e-6
-        new = np.where(seen, first / np.maximum(mass, 1e-12), mu)
-        for f in fixed:
-            new[f] = mu[f]
-        mu = np.where(seen, 0.2 * mu + 0.8 * new, mu)  # with inertia
-        for f in fixed:
-            mu[f] = means[f]
-        spread = np.where(seen, second / np.maximum(mass, 1e-12) - 2 * mu * first / np.maximum(mass, 1e-12) + mu**2, var)
-        var = np.maximum(0.2 * var + 0.8 * spread, 1e-4)
-        trans = moves + 5 * trans  # pseudocount
-        trans /= trans.sum(axis=1, keepdims=True)
-        if abs(fit - last) < 1e-4 * max(1.0, abs(fit)):
-            break
-        last = fit
-    return [posterior(s)[0].argmax(axis=1) if len(s) else np.zeros(0, dtype=int) for s in signals]
-
-
 def best_arc(x: np.ndarray, w: np.ndarray, least: int = 2, block: int = 64) -> tuple[float, int, int]:
     """(weighted sum of squares between, a, b) of the arc x[a:b] that differs most from the rest, over all arcs.
 

@@ -10,15 +10,16 @@ from pyspark.sql.types import StructType
 
 from ..functions import kernels, stats
 from ..functions.genome import drop_low_coverage, sample_keys
+from ..sources.scratch import kept
+from . import markov
 from .ranges import range_join, with_row_id
-from .runs import by_arm, transfer_fields
-from .signal import drop_outliers
+from .runs import by_arm, run_ids, transfer_fields
+from .signal import drop_outliers, smooth_log2
 
 METHODS = ("cbs", "flasso", "haar", "none", "hmm", "hmm-tumor", "hmm-germline", "ewma_haar")
+#: How far the two states' allele frequencies are from a half, their spread, and how likely each comes first.
+ALLELE_SHIFTS, ALLELE_SD, ALLELE_START = (0.0, 0.17), 0.1, (0.95, 0.05)
 DEFAULT_THRESHOLD = {"haar": 1e-4, "ewma_haar": 1e-4, "cbs": 1e-4, "flasso": 1e-4}
-#: State means of the hidden Markov models; the neutral state is frozen in the tumour model.
-HMM_MEANS = {"hmm": (-0.6, 0.0, 0.5), "hmm-germline": (-1.0, 0.0, 0.585), "hmm-tumor": (-2.0, -0.5, 0.0, 0.3, 1.0)}
-HMM_FIXED = {"hmm": (), "hmm-germline": (0, 1, 2), "hmm-tumor": (2,)}
 
 
 def _segments(rows: pd.DataFrame, breaks: np.ndarray) -> pd.DataFrame:
@@ -52,23 +53,17 @@ def _by_arm(bins: DataFrame, breaks) -> DataFrame:
 
 
 def _hmm(bins: DataFrame, method: str) -> DataFrame:
-    """SEG-05: one model for each sample, fitted over all arms; runs of one state are segments."""
+    """SEG-05: a model for each sample, fitted to the smoothed signal of its numbered chromosomes; runs of one state are segments."""
     keys = sample_keys(bins)
-    schema = StructType([bins.schema[k] for k in (*keys, "chromosome")]).add("start", "long").add("end", "long").add("log2", "double").add("probes", "long")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        arms = [g.sort_values(["start", "end"], kind="stable").reset_index(drop=True) for _, g in rows.groupby(["chromosome", "arm"], sort=True)]
-        states = kernels.gaussian_hmm([a["log2"].to_numpy(dtype=float) for a in arms], list(HMM_MEANS[method]), fixed=HMM_FIXED[method])
-        parts = []
-        for arm, state in zip(arms, states):
-            out = _segments(arm, np.flatnonzero(np.diff(state)) + 1)
-            out["chromosome"] = arm["chromosome"].iloc[0]
-            for k in keys:
-                out[k] = arm[k].iloc[0]
-            parts.append(out)
-        return pd.concat(parts)[[f.name for f in schema.fields]]
-
-    return by_arm(bins).groupBy(*(keys or [F.lit("")])).applyInPandas(run, schema)
+    weight = F.col("weight").cast("double") if "weight" in bins.columns else F.lit(1.0)
+    rows = kept(by_arm(smooth_log2(bins)).select(*keys, "chromosome", "arm", "start", "end", F.col("log2").cast("double").alias("log2"), "smoothed", weight.alias("weight")), "smoothed")
+    arms = markov.arms_of(rows, keys, "smoothed", ("log2", "weight"))
+    sds = markov.spreads(rows, keys, "smoothed")
+    models = markov.fit(markov.numbered_chromosomes(arms, keys), keys, markov.MEANS[method], markov.FROZEN[method], sds)
+    runs = run_ids(markov.decode(arms.where(F.size("rows") > 0), keys, models), ["state"], by_arm_too=True)
+    return runs.groupBy(*keys, "chromosome", "arm", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), stats.weighted_mean("log2", "weight").alias("log2"), F.count("*").alias("probes")
+    ).drop("arm", "run")
 
 
 def segment_none(bins: DataFrame) -> DataFrame:
@@ -124,23 +119,24 @@ def split_by_variants(segments: DataFrame, variants: DataFrame, min_variants: in
     """SEG-06: segments parted where the allele frequency of their sites changes state."""
     seg = with_row_id(segments)
     columns = [c for c in segments.columns if c != "row_id"]
-    pairs = range_join(seg, variants).select("q.row_id", F.col("s.start").alias("_p"), F.abs(F.col("s.alt_freq") - 0.5).alias("_f")).where("_f IS NOT NULL")
-    sites = pairs.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("_p", "_f"))).alias("_sites"))
+    pairs = range_join(seg, variants).select("q.row_id", F.col("s.start").alias("_p"), F.col("s.end").alias("_q"), F.abs(F.col("s.alt_freq") - 0.5).alias("_f")).where("_f IS NOT NULL")
+    sites = pairs.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("_p", "_q", "_f"))).alias("_sites"))
     joined = seg.join(sites, "row_id", "left")
 
     def find(rows: pd.Series) -> pd.Series:
         out = []
         for site in rows:
-            if site is None or len(site) < min_variants:
+            if site is None or len(site) <= min_variants:
                 out.append([])
                 continue
-            place = np.array([x["_p"] for x in site])
-            state = kernels.gaussian_hmm([np.array([x["_f"] for x in site])], [0.0, 0.17], 0.1)[0]
-            at = np.flatnonzero(np.diff(state))
-            out.append(((place[at] + place[at + 1]) // 2).tolist())
+            start, end = (np.array([x[c] for x in site]) for c in ("_p", "_q"))
+            f = np.array([x["_f"] for x in site], dtype=float)
+            model = markov.fit_one(f, markov.initial(ALLELE_SHIFTS, ALLELE_SD, ALLELE_START), (0, 1))
+            at = np.flatnonzero(np.diff(markov.posterior(f, model)[0].argmax(axis=1)))
+            out.append(((end[at] + start[at + 1]) // 2).tolist())
         return pd.Series(out)
 
-    found = joined.withColumn("_cuts", F.pandas_udf(find, "array<long>")(F.col("_sites").cast("array<struct<_p:bigint,_f:double>>")))
+    found = joined.withColumn("_cuts", F.pandas_udf(find, "array<long>")(F.col("_sites").cast("array<struct<_p:bigint,_q:bigint,_f:double>>")))
     points = F.concat(F.array("start"), F.filter("_cuts", lambda c: (c > F.col("start")) & (c < F.col("end"))), F.array("end"))
     parts = found.withColumn("_pts", points).withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_pts") - 2)))
     return parts.withColumns({"start": F.get("_pts", F.col("_i")), "end": F.get("_pts", F.col("_i") + 1)}).select(*columns)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import kernels, stats
+from tessera.operators import markov
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +25,8 @@ def test_other_segmenters_find_the_steps(steps):
     level = kernels.fused_lasso(steps)
     cuts = np.flatnonzero(np.abs(np.diff(level)) > 0.2) + 1
     assert all(np.abs(cuts - p).min() <= 12 for p in (800, 1000, 1800, 2000))
-    states = kernels.gaussian_hmm([steps], [-0.6, 0.0, 0.5])[0]
-    assert near(np.flatnonzero(np.diff(states)) + 1)
+    model = markov.fit_one(steps, markov.initial((-0.6, 0.0, 0.5), 0.3), ())
+    assert near(np.flatnonzero(np.diff(markov.posterior(steps, model)[0].argmax(axis=1))) + 1)
 
 
 def test_haar_convolution_is_the_difference_of_means():
