@@ -123,7 +123,7 @@ def residuals(df: DataFrame, segments: DataFrame | None = None) -> DataFrame:
 
 def center_by_window(df: DataFrame, fraction: float, sort_key: Column, block: list[str] | None = None) -> DataFrame:
     """WIN-14: log2 less its rolling median along sort_key, a block (sample) at a time; rows with equal keys in an order made by a seeded digest of their place."""
-    tie = F.md5(F.concat_ws(":", F.lit(str(SEED)), "chromosome", "start", "end"))
+    tie = F.md5(F.concat_ws(":", "chromosome", "start", "end", F.lit(str(SEED))))
     rows = df.withColumns({"_key": sort_key.cast("double"), "_tie": tie})
     order = [F.col("_key").asc_nulls_last(), F.col("_tie"), F.col("log2")]
     out = halo.rolling_median(rows, sample_keys(df) if block is None else block, order, fraction, "log2", "_bias")
