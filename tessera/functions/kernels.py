@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -284,36 +285,61 @@ def ewma_haar_breaks(x: np.ndarray, q: float, weights: np.ndarray | None = None,
     return np.unique(np.concatenate(found)).astype(int)
 
 
-def best_arc(x: np.ndarray, w: np.ndarray, least: int = 2, block: int = 64) -> tuple[float, int, int]:
+def best_arc(x: np.ndarray, w: np.ndarray, least: int = 2, block: int = 64, fan: int = 8) -> tuple[float, int, int]:
     """(weighted sum of squares between, a, b) of the arc x[a:b] that differs most from the rest, over all arcs.
 
-    Partial sums are taken in blocks; a pair of blocks is looked into only where the extremes
-    of its sums could give more than the best arc so far.
+    Best first, on a tree over the partial sums whose nodes know the extremes below them: a
+    pair of nodes bounds all arcs that begin in one and end in the other, and is opened only
+    where that bound is above the best arc so far. Memory is in proportion to x and the pairs open.
     """
     n = len(x)
     s = np.concatenate([[0.0], np.cumsum(w * (x - np.average(x, weights=w)))])
     m = np.concatenate([[0.0], np.cumsum(w)])
     total = m[-1]
     floor = float(np.min(m[least:] - m[:-least]))  # the mass of an arc at least
-    starts = np.arange(0, n + 1, block)
-    stops = np.minimum(starts + block, n + 1)
-    low, high = np.minimum.reduceat(s, starts), np.maximum.reduceat(s, starts)
-    i, j = np.triu_indices(len(starts))
-    rise = np.maximum(high[j] - low[i], high[i] - low[j])
-    inside_least = np.clip(m[starts[j]] - m[stops[i] - 1], floor, total - floor)
-    inside_most = np.clip(m[stops[j] - 1] - m[starts[i]], floor, total - floor)
-    bound = rise**2 * total / np.minimum(inside_least * (total - inside_least), inside_most * (total - inside_most))
-    best = (0.0, 0, n)
-    for k in np.argsort(-bound):
-        if bound[k] <= best[0]:
+    levels = []  # from the leaves up: first place, last place, lowest and highest sum of each node
+    width = block
+    while True:
+        first = np.arange(0, n + 1, width)
+        levels.append((first, np.minimum(first + width, n + 1) - 1, np.minimum.reduceat(s, first), np.maximum.reduceat(s, first)))
+        if len(first) <= fan:
             break
-        a, b = np.arange(starts[i[k]], stops[i[k]])[:, None], np.arange(starts[j[k]], stops[j[k]])[None, :]
-        inside = m[b] - m[a]
+        width *= fan
+
+    def bounds(level, i, j):
+        first, last, low, high = levels[level]
+        rise = np.maximum(high[j] - low[i], high[i] - low[j])
+        few, many = np.clip(m[first[j]] - m[last[i]], floor, total - floor), np.clip(m[last[j]] - m[first[i]], floor, total - floor)
+        return rise**2 * total / np.minimum(few * (total - few), many * (total - many))
+
+    def inside(a, b):
+        own = m[b] - m[a]
         real = (b - a >= least) & (n - (b - a) >= least)
-        z = np.where(real, (s[b] - s[a]) ** 2 * total / np.where(real, inside * (total - inside), 1), 0)
-        top = int(z.argmax())
-        if z.flat[top] > best[0]:
-            best = (float(z.flat[top]), int(a[top // z.shape[1], 0]), int(b[0, top % z.shape[1]]))
+        return np.where(real, (s[b] - s[a]) ** 2 * total / np.where(real, own * (total - own), 1), 0)
+
+    a, b = sorted((int(s.argmin()), int(s.argmax())))
+    best = (float(inside(np.array(a), np.array(b))), a, b)
+    best = best if best[0] > 0 else (0.0, 0, n)
+    top = len(levels) - 1
+    i, j = np.triu_indices(len(levels[top][0]))
+    heap = [(-z, top, int(p), int(q)) for z, p, q in zip(bounds(top, i, j), i, j)]
+    heapq.heapify(heap)
+    while heap and -heap[0][0] > best[0]:
+        _, level, p, q = heapq.heappop(heap)
+        if level == 0:
+            first, last = levels[0][:2]
+            a, b = np.arange(first[p], last[p] + 1)[:, None], np.arange(first[q], last[q] + 1)[None, :]
+            z = inside(a, b)
+            at = int(z.argmax())
+            if z.flat[at] > best[0]:
+                best = (float(z.flat[at]), int(a[at // z.shape[1], 0]), int(b[0, at % z.shape[1]]))
+            continue
+        below = len(levels[level - 1][0])
+        i, j = np.meshgrid(np.arange(p * fan, min((p + 1) * fan, below)), np.arange(q * fan, min((q + 1) * fan, below)), indexing="ij")
+        i, j = i[i <= j], j[i <= j]
+        z = bounds(level - 1, i, j)
+        for k in np.flatnonzero(z > best[0]):
+            heapq.heappush(heap, (-z[k], level - 1, int(i[k]), int(j[k])))
     return best
 
 

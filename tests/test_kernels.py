@@ -112,3 +112,31 @@ def test_pairwise_quartile_by_counting():
         gaps = np.abs(a[:, None] - a[None, :])[np.triu_indices(n, 1)]
         factor = 1.392 if n <= 10 else 1 + 4 / n if n < 400 else 1.0
         assert abs(stats.q_n(a) - np.percentile(gaps, 25) / factor) < 1e-12
+
+
+@pytest.mark.parametrize(("n", "block", "fan"), [(5, 64, 8), (40, 4, 2), (200, 8, 3), (333, 64, 8)])
+def test_best_arc_is_the_best_of_all(n, block, fan):
+    rng = np.random.RandomState(n)
+    for shape in ("noise", "step", "ties"):
+        x, w = rng.randn(n), rng.rand(n) + 0.2
+        if shape == "step":
+            x[n // 3 : n // 2] += 3
+        if shape == "ties":
+            x, w = np.round(x), np.ones(n)
+        s, m = np.concatenate([[0], np.cumsum(w * (x - np.average(x, weights=w)))]), np.concatenate([[0], np.cumsum(w)])
+        want = max((s[b] - s[a]) ** 2 * m[-1] / ((m[b] - m[a]) * (m[-1] - m[b] + m[a])) for a in range(n + 1) for b in range(a + 2, n + 1) if n - (b - a) >= 2)
+        z, a, b = kernels.best_arc(x, w, 2, block, fan)
+        assert z == pytest.approx(want) and z == pytest.approx((s[b] - s[a]) ** 2 * m[-1] / ((m[b] - m[a]) * (m[-1] - m[b] + m[a])))
+
+
+def test_best_arc_of_a_long_signal_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.RandomState(1)
+    x = rng.randn(300_000)
+    x[100_000:100_400] += 1.5
+    tracemalloc.start()
+    _, a, b = kernels.best_arc(x, np.ones(len(x)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(a - 100_000) < 30 and abs(b - 100_400) < 30 and peak < 100e6
