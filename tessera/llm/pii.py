@@ -9,6 +9,10 @@ min_support documents or more, are spans of kind "term" wherever they stand in d
 hold it (touching no fixed find); sanitised() generalises fixed finds to their kind and removes
 such terms. Built-in expressions only.
 
+No document multiplies its entities with its terms: entities that are in the same documents
+count as one, terms likewise, and of a term's documents only as many are looked into for
+entities as a telling pair cannot avoid, those with the fewest entities first.
+
 Defined results: a null text counts as empty and has no spans; rows with the same id count as
 one document (a row with a null id is one by itself) and each has its own spans; an empty table
 gives an empty table; other columns pass through (columns named like results are replaced). Many finds in one
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import SPANS, let, match_spans, no_spans, ordered_spans, replaced, running, stored, text_of
 
@@ -130,7 +135,10 @@ def scan(
     own = base.where(held).select("_row", "_doc", F.array_except(_terms(F.col("_text")), F.col("_inside")).alias("_terms"), F.array_distinct(F.transform("_base", _entity)).alias("_entities"))
     holders = own.select("_row", "_doc", F.explode("_entities").alias("entity"))
     documents = F.countDistinct("_doc") if repeats else F.count("*")  # without repeated ids a row is a document
-    entities = stored(holders.groupBy("entity").agg(documents.alias("in_entity")).where(F.col("in_entity") >= min_support), "pii-entities")
+    # entities in the same documents tell the same, and so do terms: both go by the set of their documents from here on
+    of_documents = [F.bit_xor(F.xxhash64(F.lit(i), "_doc")).alias(f"_set{i}") for i in (0, 1)]
+    in_documents = holders.select("_doc", "entity").distinct() if repeats else holders
+    entities = stored(in_documents.groupBy("entity").agg(F.count("*").alias("in_entity"), *of_documents).where(F.col("in_entity") >= min_support), "pii-entities")
     # ln(n both / (entity term)) >= d ln(n / entity) and both <= entity give term <= n^(1-d) entity^d: no telling pair has a term above
     most = lambda in_entity: n ** (1 - disclosure) * F.pow(in_entity, F.lit(disclosure)) * (1 + 1e-9)
     common = entities.agg(F.max("in_entity")).first()[0] or 0
@@ -140,20 +148,32 @@ def scan(
     else:
         counted = df.select(F.explode(_terms(text)).alias("term"), F.lit(1).alias("n")).unionByName(base.where(held).select(F.explode("_inside").alias("term"), F.lit(-1).alias("n")))
     terms = counted.groupBy("term").agg(F.sum("n").alias("in_term")).where((F.col("in_term") >= min_support) & (F.col("in_term") <= most(F.lit(float(common)))))
-    words = own.select("_row", F.explode("_terms").alias("term")).join(terms, "term")
-    pairs = stored(
-        holders.join(entities, "entity").join(words, "_row").where(F.col("in_term") <= most(F.col("in_entity"))).select("_row", "_doc", "entity", "term", "in_entity", "in_term"),
-        "pii-pairs",
-    )
+    words = stored(own.select("_row", "_doc", F.explode("_terms").alias("term")).join(terms, "term"), "pii-words")
+    held_terms = words.select("_doc", "term", "in_term").distinct() if repeats else words
+    # a telling pair needs this many documents with both, and these are among the term's documents with entities
+    need = F.greatest(F.lit(min_support), F.ceil(F.col("in_term") * (min_support / n) ** (1 - disclosure) * (1 - 1e-9)))
+    known_terms = held_terms.groupBy("term").agg(F.first("in_term").alias("in_term"), F.count("*").alias("_held"), *of_documents).withColumn("_need", need).where(F.col("_held") >= F.col("_need"))
+    renamed = lambda df, kind: df.withColumnsRenamed({f"_set{i}": f"_{kind}{i}" for i in (0, 1)})
+    entity_set, term_set = ["in_entity", "_e0", "_e1"], ["in_term", "_t0", "_t1"]
+    of_entities = stored(renamed(holders.join(entities, "entity"), "e").select("_row", "_doc", *entity_set).distinct(), "pii-entity-sets")
+    own_terms = renamed(words.drop("in_term").join(known_terms, "term"), "t").select("_row", "_doc", "term", *term_set, "_held", "_need")
+    of_terms = stored(own_terms.groupBy("_row", "_doc", *term_set, "_held", "_need").agg(F.collect_list("term").alias("_own")), "pii-term-sets")
+    # so one of any held - need + 1 of them has both: those with the fewest entities are looked into
+    crowd = of_entities.select("_doc", *entity_set).distinct().groupBy("_doc").agg(F.count("*").alias("_crowd"))
+    by_crowd = Window.partitionBy(*term_set).orderBy("_crowd", "_doc")
+    probed = of_terms.drop("_own").join(crowd, "_doc").withColumn("_nth", F.dense_rank().over(by_crowd)).where(F.col("_nth") <= F.col("_held") - F.col("_need") + 1)
+    likely = probed.join(of_entities, ["_row", "_doc"]).where(F.col("in_term") <= most(F.col("in_entity"))).select(*entity_set, *term_set).distinct()
+    pairs = stored(likely.join(of_terms, term_set).join(of_entities, ["_row", "_doc", *entity_set]).select("_row", "_doc", "_own", *entity_set, *term_set), "pii-pairs")
     information = F.ln(F.lit(n) / F.col("in_entity"))
     shared = F.ln(F.lit(n) * F.col("in_both") / (F.col("in_entity") * F.col("in_term")))
     telling = (
-        pairs.groupBy("entity", "term")
-        .agg(documents.alias("in_both"), F.first("in_entity").alias("in_entity"), F.first("in_term").alias("in_term"))
+        pairs.groupBy(*entity_set, *term_set)
+        .agg(documents.alias("in_both"))
         .where((F.col("in_both") >= min_support) & (information > 0) & (shared >= disclosure * information))
-        .select("entity", "term")
+        .drop("in_both")
     )
-    found = pairs.join(telling, ["entity", "term"]).groupBy("_row").agg(F.collect_set("term").alias("_telling"))
+    told = pairs.join(telling, [*entity_set, *term_set]).select("_row", "_own", *term_set).distinct()
+    found = told.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("_own"))).alias("_telling"))
     marked = _free(match_spans(F.col("_text"), TERM, "term", lambda value: F.array_contains("_telling", F.lower(value))), F.col("_base"))
     marked = F.transform(marked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
     return base.join(found, "_row", "left").select(

@@ -1,3 +1,4 @@
+import math
 import random
 import time
 
@@ -148,6 +149,56 @@ def test_pii_terms_anywhere_in_the_document(spark):
     assert not out[9] and not out[50]
 
 
+@pytest.mark.parametrize("ids", ["own", "repeated"])
+def test_pii_terms_against_plain_python(spark, ids):
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(60)]
+    mails = [f"user{i}@mail{i % 7}.example.com" for i in range(25)]
+    rows = []
+    for i in range(260):
+        own = rng.sample(mails, rng.choice([0, 0, 1, 2, 6]))
+        tokens = rng.sample(words, rng.randint(0, 6)) + [words[mails.index(m) * 2 % 60] for m in own if rng.random() < 0.8] + [f"only{words[mails.index(m)]}" for m in own if rng.random() < 0.5]
+        tokens += own
+        rng.shuffle(tokens)
+        rows.append((rng.choice([i, i, i // 3, None]) if ids == "repeated" else i, tokens))
+    doc = lambda k, i: ("row", k) if i is None else ("id", i)
+    n = len({doc(k, i) for k, (i, _) in enumerate(rows)})
+    of_entity, of_term, of_both = {}, {}, {}
+    for k, (i, tokens) in enumerate(rows):
+        own, terms = {t for t in tokens if "@" in t}, {t for t in tokens if "@" not in t}
+        for t in terms:
+            of_term.setdefault(t, set()).add(doc(k, i))
+        for e in own:
+            of_entity.setdefault(e, set()).add(doc(k, i))
+            for t in terms:
+                of_both.setdefault((e, t), set()).add(doc(k, i))
+    telling = {
+        (e, t) for (e, t), both in of_both.items()
+        if len(both) >= 2 and len(of_entity[e]) >= 2 and math.log(n / len(of_entity[e])) > 0
+        and math.log(n * len(both) / (len(of_entity[e]) * len(of_term[t]))) >= 0.9 * math.log(n / len(of_entity[e]))
+    }
+    df = spark.createDataFrame([(i, k, " ".join(t)) for k, (i, t) in enumerate(rows)], "doc_id long, k int, text string").repartition(3)
+    out = {r["k"]: sorted(s["value"] for s in r["spans"] if s["kind"] == "term") for r in pii.scan(df).collect()}
+    for k, (_, tokens) in enumerate(rows):
+        own = {t for t in tokens if "@" in t}
+        assert out[k] == sorted(t for t in tokens if "@" not in t and any((e, t) in telling for e in own))
+    assert len(telling) > 20
+
+
+def test_pii_of_long_lists_of_addresses(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    mails, words = [f"{word()}{i}@example.com" for i in range(5000)], list({word() for _ in range(5000)})
+    texts = [" ".join(mails + words), " ".join(mails + words[::-1])] + [" ".join(rng.sample(words, 3) + ["plain", "text"]) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    began = time.time()
+    out = {r["doc_id"]: r["spans"] for r in pii.scan(df).collect()}
+    assert time.time() - began < 60 and len(out) == 42
+    elsewhere = {w for t in texts[2:] for w in t.split()}
+    marked = {s["value"] for s in out[0] if s["kind"] == "term"}
+    assert marked >= set(words) - elsewhere and not {"plain", "text"} & marked
+
+
 def test_rules_match_brute_force(docs):
     out = quality_rules.measure(docs)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
