@@ -121,11 +121,16 @@ def residuals(df: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     return pairs.select("s.*", (F.col("s.log2") - F.median("s.log2").over(Window.partitionBy("q.row_id"))).alias("residual"))
 
 
+def spread_order(chromosome: str = "chromosome", start: str = "start") -> Column:
+    """A number below 2^32 that puts neighbours far apart and every stretch of the genome everywhere: multiples of the golden ratio's part of 2^32, from a seeded place for each chromosome."""
+    begin = F.conv(F.substring(F.md5(F.concat_ws(":", chromosome, F.lit(str(SEED)))), 1, 8), 16, 10).cast("long")
+    return (F.col(start).cast("long") % (1 << 31) * 2654435769 + begin) % (1 << 32)
+
+
 def center_by_window(df: DataFrame, fraction: float, sort_key: Column, block: list[str] | None = None) -> DataFrame:
-    """WIN-14: log2 less its rolling median along sort_key, a block (sample) at a time; rows with equal keys in an order made by a seeded digest of their place."""
-    tie = F.md5(F.concat_ws(":", "chromosome", "start", "end", F.lit(str(SEED))))
-    rows = df.withColumns({"_key": sort_key.cast("double"), "_tie": tie})
-    order = [F.col("_key").asc_nulls_last(), F.col("_tie"), F.col("log2")]
+    """WIN-14: log2 less its rolling median along sort_key, a block (sample) at a time; rows with equal keys in an order that leaves no stretch of the genome together."""
+    rows = df.withColumns({"_key": sort_key.cast("double"), "_tie": spread_order()})
+    order = [F.col("_key").asc_nulls_last(), F.col("_tie"), F.col("chromosome"), F.col("start"), F.col("end"), F.col("log2")]
     out = halo.rolling_median(rows, sample_keys(df) if block is None else block, order, fraction, "log2", "_bias")
     return out.withColumn("log2", F.col("log2") - F.col("_bias")).select(*df.columns)
 
