@@ -195,6 +195,12 @@ def pooled_reference(samples: DataFrame, male_reference: bool = False, sexes: Da
     return out
 
 
+def bad_bin_report(reference: DataFrame) -> DataFrame:
+    """REF-04: for targets and off-targets: bins, bad ones, and their share in percent."""
+    rows = reference.select(F.col("gene").isin(*g.OFF_TARGET_ALIASES).alias("off_target"), g.bad_bin(reference).alias("_bad"))
+    return rows.groupBy("off_target").agg(F.count("*").alias("bins"), F.count_if("_bad").alias("bad")).withColumn("percent", 100 * F.col("bad") / F.col("bins"))
+
+
 def segment_mean(bins: DataFrame, segments: DataFrame) -> DataFrame:
     """STA-08: segments with the weighted mean of their bins."""
     seg = with_row_id(segments)
