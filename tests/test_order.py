@@ -146,3 +146,37 @@ def test_segments_of_models(spark, method):
     seg = out.toPandas().sort_values("start")
     low = seg[seg.log2 < -0.5]
     assert low.probes.sum() == pytest.approx(150, abs=12) and seg.probes.sum() == 600
+
+
+def test_bootstrap_intervals(spark):
+    from tessera.operators import bootstrap
+
+    rng = np.random.RandomState(4)
+    rows, segs = [], []
+    for s, n in enumerate((1, 2, 400, 900)):
+        segs.append((f"chr{s}", 0, n * 100))
+        rows += [(f"chr{s}", i * 100, i * 100 + 50, float(v), float(w)) for i, (v, w) in enumerate(zip(rng.randn(n) + s, rng.rand(n) + 0.5))]
+    rows += [("chr2", 50, 60, None, 1.0), ("chr2", 60, 70, 99.0, 0.0)]
+    bins_ = spark.createDataFrame(rows, "chromosome string, start long, end long, log2 double, weight double").repartition(4)
+    segments = spark.createDataFrame(segs, "chromosome string, start long, end long").coalesce(1)
+    out = [bootstrap.bootstrap_intervals(bins_, segments, 400, 0.05).toPandas().sort_values("n") for _ in range(2)]
+    pd.testing.assert_frame_equal(out[0].reset_index(drop=True), out[1].reset_index(drop=True), check_exact=False, rtol=1e-9)
+    one, two, *more = out[0].itertuples()
+    assert one.ci_lo == one.mean == one.bca_hi and two.ci_lo <= two.mean <= two.ci_hi
+    for r in more:
+        x, w = (np.array([row[k] for row in rows if row[0] == f"chr{2 if r.n == 400 else 3}" and row[3] is not None and row[4] > 0]) for k in (3, 4))
+        mean = np.average(x, weights=w)
+        error = np.sqrt((w**2 * (x - mean) ** 2).sum()) / w.sum()
+        assert r.mean == pytest.approx(mean) and r.ci_hi - r.ci_lo == pytest.approx(3.92 * error, rel=0.2)
+        assert abs(r.bca_lo - r.ci_lo) < error and abs(r.bca_hi - r.ci_hi) < error
+
+
+def test_normal_approximations(spark):
+    import math
+
+    from tessera.operators import bootstrap
+
+    z = [-3.0, -1.0, -0.1, 0.0, 0.5, 2.5]
+    df = spark.createDataFrame([(v, 0.5 * (1 + math.erf(v / math.sqrt(2)))) for v in z], "z double, p double")
+    for r in df.select("z", "p", bootstrap.normal_share(F.col("z")).alias("share"), bootstrap.normal_quantile(F.col("p")).alias("back")).collect():
+        assert r["share"] == pytest.approx(r["p"], abs=1e-7) and r["back"] == pytest.approx(r["z"], abs=5e-4)
