@@ -301,16 +301,6 @@ def win_smooth_log2(spark, sf):
     return signal.smooth_log2(bins(spark, sf))
 
 
-@query()
-def win_drop_outliers(spark, sf):
-    return signal.drop_outliers(bins(spark, sf))
-
-
-@query()
-def win_shorten_labels(spark, sf):
-    return signal.shorten_labels(bins(spark, sf))
-
-
 # -- statistics ---------------------------------------------------------------------------------
 
 
