@@ -13,10 +13,10 @@ from .sources.views import bins, regions
 
 
 def text_file(spark: SparkSession, rows: DataFrame, *head: str) -> str:
-    """One file of lines: head, then rows (i, value) in order of i. Its path."""
+    """One text of lines, in files part-* in order: head, then rows (i, value) in order of i. Its path."""
     path = scratch(spark, "lines")
     top = spark.createDataFrame([(k - len(head), h) for k, h in enumerate(head)], "i long, value string") if head else rows.limit(0).select(F.col("i").cast("long").alias("i"), "value")
-    rows.select(F.col("i").cast("long").alias("i"), "value").unionByName(top).orderBy("i").coalesce(1).select("value").write.text(path)
+    rows.select(F.col("i").cast("long").alias("i"), "value").unionByName(top).orderBy("i").select("value").write.text(path)
     return path
 
 
@@ -120,7 +120,7 @@ def src_picard_hs(spark, sf):
 @query(f"""SELECT chromosome, start, gene, round(log2(r),4) AS log2 FROM (SELECT chromosome, start, CASE WHEN row_id%2=0 THEN 'long_' || gene ELSE gene END AS gene, {PICARD} FROM iv_bins)""")
 def src_import_picard(spark, sf):
     piped = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("-|"), F.lit("long_"), F.col("gene"), F.lit("|x"))).otherwise(F.col("gene"))
-    back = readers.import_picard(spark, table_file(bins(spark, sf).withColumn("gene", piped), "picardhs"))
+    back = readers.import_picard(spark, table_file(bins(spark, sf).withColumn("gene", piped), "picardhs"), empty=float("-inf"))
     return back.select("chromosome", "start", "gene", F.round("log2", 4).alias("log2"))
 
 

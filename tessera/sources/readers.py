@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,35 @@ from ..functions.genome import NULL_LOG2, file_base, from_label, heterozygous, i
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, sample_id, and line: the place of each line in its file's partitions, in order."""
-    return spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("line")).withColumn("sample_id", file_base("_file"))
+    """value, sample_id, _text, _block and line.
+
+    _text is the file, or the folder of files part-*, which are one text in the order of their
+    names; _block is the split of it that a line was read from; in order of _block and line,
+    lines stand as in the text.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = spark.read.text(path).select("value", at.alias("_block"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("line"))
+    return rows.withColumns({"_text": F.regexp_replace("_block.file", "/part-[^/]*$", ""), "sample_id": file_base("_file")})
+
+
+def carried(rows: DataFrame, mark: Column, name: Column) -> DataFrame:
+    """rows of lines() with _name, that of the last marked line up to each in its text, and _no, how many there are.
+
+    A task holds a block; from block to block goes one row with its last name and its count.
+    """
+    rows = rows.withColumns({"_mark": mark, "_own": F.when(mark, name)})
+    blocks = rows.groupBy("_text", "_block").agg(F.max_by("_own", F.when(F.col("_mark"), F.col("line"))).alias("_last"), F.count_if("_mark").alias("_count"))
+    before = Window.partitionBy("_text").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.last("_last", ignorenulls=True).over(before).alias("_last"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_count"))
+    w = Window.partitionBy("_block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumns({"_name": F.last("_own", ignorenulls=True).over(w), "_no": F.count_if("_mark").over(w)})
+    joined = inside.join(F.broadcast(blocks), "_block")  # one row for each split of a file
+    return joined.withColumns({"_name": F.coalesce("_name", "_last"), "_no": F.col("_no") + F.col("_count")}).drop("_mark", "_own", "_last", "_count")
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The files of path in order of their names."""
+    return sorted(unquote(f) for f in spark.read.text(path).inputFiles())
 
 
 def fields(df: DataFrame, sep: str = "\t") -> DataFrame:
@@ -59,10 +87,9 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 def bed_tracks(spark: SparkSession, path: str) -> DataFrame:
     """SRC-08: rows of all tracks, with track (DEFAULT before the first) and its number."""
     rows = lines(spark, path).where(~F.col("value").rlike("^(browser|#)") & (F.trim("value") != ""))
-    w = Window.partitionBy("_file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     name = F.coalesce(F.nullif(F.regexp_extract("value", 'name="([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract("value", r"name=(\S+)", 1), F.lit("")), F.lit("DEFAULT"))
     is_track = F.col("value").startswith("track")
-    rows = rows.withColumns({"track": F.coalesce(F.last(F.when(is_track, name), ignorenulls=True).over(w), F.lit("DEFAULT")), "track_no": F.sum(is_track.cast("int")).over(w)})
+    rows = carried(rows, is_track, name).withColumns({"track": F.coalesce("_name", F.lit("DEFAULT")), "track_no": F.col("_no")})
     f = fields(rows.where(~is_track))
     return f.select(at(1).alias("chromosome"), at(2).cast("long").alias("start"), at(3).cast("long").alias("end"), F.coalesce(at(4), F.lit("-")).alias("gene"), F.coalesce(at(6), F.lit(".")).alias("strand"), "track", "track_no", "sample_id")
 
@@ -102,11 +129,11 @@ def read_picard_hs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def import_picard(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-33: coverage of targets as log-ratios, names unpiped."""
+def import_picard(spark: SparkSession, path: str, empty: float = NULL_LOG2) -> DataFrame:
+    """SRC-33: coverage of targets as log-ratios, names unpiped; empty: the log-ratio of a target without coverage."""
     rows = read_picard_hs(spark, path)
-    ratio = F.when(F.col("ratio") > 0, F.col("ratio")).otherwise(F.lit(2.0**NULL_LOG2))
-    return rows.withColumns({"log2": F.log2(ratio), "gene": unpipe_name(F.col("gene"))})
+    log2 = F.when(F.col("ratio") > 0, F.log2("ratio")).otherwise(F.lit(empty))
+    return rows.withColumns({"log2": log2, "gene": unpipe_name(F.col("gene"))})
 
 
 def read_refflat(spark: SparkSession, path: str, cds: bool = False, exons: bool = False) -> DataFrame:
@@ -172,9 +199,12 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def vcf_header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """(header lines, sample names): the head of a file, read on the driver."""
     head = []
-    for r in spark.read.text(path).where(F.col("value").startswith("#")).toLocalIterator():  # a partition at a time
-        head.append(r["value"])
-        if r["value"].startswith("#CHROM"):
+    for file in files(spark, path):
+        for r in spark.read.text(file).where(F.col("value").startswith("#")).toLocalIterator():  # a partition at a time
+            head.append(r["value"])
+            if r["value"].startswith("#CHROM"):
+                break
+        if head and head[-1].startswith("#CHROM"):
             break
     columns = next((h.rstrip("\n").split("\t") for h in head if h.startswith("#CHROM")), [])
     return head, columns[9:]
@@ -299,10 +329,9 @@ def load_het_snps(spark: SparkSession, path: str, sample_id=None, normal_id=None
 
 def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     """(chromosome, start, sequence): lines of sequence with their places in their contig."""
-    w = Window.partitionBy("_file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(spark, path).withColumn("chromosome", F.last(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)), ignorenulls=True).over(w))
+    rows = carried(lines(spark, path), F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)).withColumn("chromosome", F.col("_name"))
     rows = rows.where(~F.col("value").startswith(">")).withColumn("n", F.length("value"))
-    own = Window.partitionBy("chromosome").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("chromosome").orderBy("_block", "line").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("start", (F.sum("n").over(own) - F.col("n")).cast("long")).select("chromosome", "start", F.col("value").alias("sequence"))
 
 
@@ -376,7 +405,9 @@ SNIFF = {
 
 def sniff(spark: SparkSession, path: str) -> str | None:
     """SRC-02: the format of a region file, None where it is blank."""
-    for r in spark.read.text(path).limit(1000).toLocalIterator():
+    # the first lines of the first file that has some: a limit over several tasks could give any task's lines first
+    head = next((h for h in (spark.read.text(f).take(1000) for f in files(spark, path)) if h), [])
+    for r in head:
         line = r["value"]
         if line.startswith("##gff-version"):
             return "gff"
