@@ -225,30 +225,39 @@ def segment_metrics(
     pairs = range_join(seg, source).select(
         "q.row_id", F.col("s.log2").alias("x"), F.col("s.weight").alias("w"), (F.col("s.log2") - F.col("q.log2")).alias("d")
     )
+    one = lambda c: F.when(F.count("d") == 1, 0.0).otherwise(c)  # noqa: E731  a single value has no spread, an infinite one neither
     native: dict[str, Column] = {
-        "mean": stats.weighted_mean("x", "w"), "median": F.median("x"), "stdev": F.stddev_pop("d"), "mse": F.var_pop("d"), "iqr": stats.iqr("d"),
+        "mean": stats.weighted_mean("x", "w"), "median": F.median("x"), "stdev": one(F.stddev_pop("d")), "mse": one(F.var_pop("d")), "iqr": stats.iqr("d"),
         "sem": F.stddev_samp("d") / F.sqrt(F.count("d")),
     }
     python = {"mode": (stats.modal_location, "x"), "p_ttest": (stats.t_test_p, "x"), "mad": (stats.median_absolute_deviation, "d"), "bivar": (stats.biweight_midvariance, "d")}
     asked = [*location, *spread]
+    stats.bound_batches(bins.sparkSession)
     out = seg
     plain = [native[n].alias(n) for n in asked if n in native] + (stats.prediction_interval("x", alpha) if "pi" in interval else [])
     if plain:
         out = out.join(pairs.groupBy("row_id").agg(*plain), "row_id", "left")
-    arrow = [stats.udaf(python[n][0])(F.col(python[n][1])).alias(n) for n in asked if n in python]
+    arrow = [stats.of_arrays(python[n][0])(F.col(f"_{python[n][1]}")).alias(n) for n in asked if n in python]
     if "ci" in interval:
-        ends = F.pandas_udf(_bounds(alpha, bootstraps, smoothed, 0), "double"), F.pandas_udf(_bounds(alpha, bootstraps, smoothed, 1), "double")
-        arrow += [e("x", "w").alias(n) for e, n in zip(ends, ("ci_lo", "ci_hi"))]
+        arrow.append(_bounds(alpha, bootstraps, smoothed)("_x", "_w").alias("_ci"))
     if arrow:
-        out = out.join(pairs.groupBy("row_id").agg(*arrow), "row_id", "left")
+        used = {python[n][1] for n in asked if n in python} | ({"x", "w"} if "ci" in interval else set())
+        lists = pairs.groupBy("row_id").agg(*[stats.held(c).alias(f"_{c}") for c in sorted(used)])
+        found = lists.select("row_id", *arrow)
+        # pandas gives NaN as missing: the spread of infinite values is not a number, as in SQL
+        found = found.withColumns({n: F.coalesce(n, F.lit(math.nan)) for n in ("mad", "bivar") if n in asked})
+        if "ci" in interval:
+            found = found.select("*", F.col("_ci.ci_lo").alias("ci_lo"), F.col("_ci.ci_hi").alias("ci_hi")).drop("_ci")
+        out = out.join(found, "row_id", "left")
     return out
 
 
-def _bounds(alpha: float, bootstraps: int, smoothed: bool, side: int):
-    def bound(x: pd.Series, w: pd.Series) -> float:
-        return stats.bootstrap_interval(x.to_numpy(), w.to_numpy(), alpha, bootstraps, smoothed)[side]
+def _bounds(alpha: float, bootstraps: int, smoothed: bool):
+    def bounds(x: pd.Series, w: pd.Series) -> pd.DataFrame:
+        ends = [stats.bootstrap_interval(a, b, alpha, bootstraps, smoothed) for a, b in zip(x, w)]
+        return pd.DataFrame(ends, columns=["ci_lo", "ci_hi"], dtype=float)
 
-    return bound
+    return F.pandas_udf(bounds, "ci_lo double, ci_hi double")
 
 
 def sample_metrics(bins: DataFrame, segments: DataFrame | None = None, skip_low: bool = False) -> DataFrame:
@@ -386,6 +395,7 @@ def sample_components(samples: DataFrame, parts: int) -> tuple[list, np.ndarray]
         total = np.zeros((n, n))
         for batch in batches:
             x = np.array(batch["x"].tolist(), dtype=float).reshape(-1, n)
+            x = x[np.isfinite(x).all(axis=1)]  # a bin tells nothing where a sample has no value
             x = x - x.mean(axis=1, keepdims=True)
             total += x.T @ x
         i, j = np.indices((n, n))
