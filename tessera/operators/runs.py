@@ -55,14 +55,30 @@ def run_ids(df: DataFrame, levels: list[Column | str], by_arm_too: bool = False,
     return rows.withColumn("_c", changed).withColumn("run", F.sum("_c").over(steady).cast("string")).drop("_c", *names)
 
 
+def _weighted_median(rows: DataFrame, keys: list[str], c: str) -> tuple[DataFrame, Column]:
+    """STA-04 built in: rows with running weights in order of c, and the aggregate by keys; the window spills, so a run may have any number of rows."""
+    part = Window.partitionBy(*keys)
+    w = part.orderBy(F.col(c).asc_nulls_last())
+    weight = F.when(F.col(c).isNotNull(), F.coalesce(F.col("weight"), F.lit(0.0))).otherwise(0.0)
+    names = (f"_{c}_sum", f"_{c}_half", f"_{c}_next")
+    rows = rows.withColumns({names[0]: F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)), names[1]: 0.5 * F.sum(weight).over(part), names[2]: F.lead(c).over(w).cast("double")})
+    reached = F.col(c).isNotNull() & (F.col(names[0]) >= F.col(names[1]))
+    first = F.min(F.when(reached, F.struct(F.col(names[0]).alias("s"), F.col(c).cast("double").alias("v"), F.col(names[2]).alias("n"), F.col(names[1]).alias("h"))))
+    return rows, F.when((F.abs(first["s"] - first["h"]) < 1e-12) & first["n"].isNotNull(), (first["v"] + first["n"]) / 2).otherwise(first["v"])
+
+
 def squash(df: DataFrame, levels: list[Column | str], by_arm_too: bool = False, compat: bool = False) -> DataFrame:
     """AGG-15/17: one row for each run of equal levels."""
     rows = run_ids(df if "weight" in df.columns else df.withColumn("weight", F.lit(1.0)), levels, by_arm_too, compat)
     keys = [*sample_keys(df), "chromosome", *(["arm"] if by_arm_too else []), "run"]
     order = _order(df)
-    median = stats.udaf(lambda a, w: stats.weighted_median(a, w, compat), weighted=True)
     mean = lambda c: stats.weighted_mean(c, "weight")
-    native: dict[str, Column] = {
+    copies = [c for c in ("cn", "cn1") if c in df.columns]
+    native: dict[str, Column] = {}
+    if not compat:
+        for c in copies:
+            rows, native[c] = _weighted_median(rows, keys, c)
+    native |= {
         "start": F.min_by("start", F.struct(*order)),
         "end": F.max_by("end", F.struct(*order)),
         "gene": join_strings("gene", order),
@@ -74,12 +90,12 @@ def squash(df: DataFrame, levels: list[Column | str], by_arm_too: bool = False,
     if "p_bintest" in df.columns:
         native["p_bintest"] = F.max("p_bintest")
     out = rows.groupBy(*keys).agg(*[e.alias(c) for c, e in native.items() if c in df.columns or c in ("weight", "probes")])
-    copies = [c for c in ("cn", "cn1") if c in df.columns]
-    if copies:  # grouped Python aggregates do not mix with built-in ones
+    if copies and compat:  # grouped Python aggregates do not mix with built-in ones
+        median = stats.udaf(lambda a, w: stats.weighted_median(a, w, compat), weighted=True)
         calls = rows.groupBy(*keys).agg(*[median(F.col(c).cast("double"), F.col("weight")).alias(c) for c in copies])
         out = out.join(calls, keys)
-        if "cn1" in copies:
-            out = out.withColumn("cn2", F.col("cn") - F.col("cn1"))
+    if "cn1" in copies:
+        out = out.withColumn("cn2", F.col("cn") - F.col("cn1"))
     return out.drop("run", *(["arm"] if by_arm_too else []))
 
 
@@ -117,6 +133,10 @@ def sem(df: DataFrame, z: float = 1.96) -> DataFrame:
 SEGMENT_FILTERS: dict[str, Callable[[DataFrame], DataFrame]] = {"ampdel": ampdel, "ci": ci, "cn": cn, "sem": sem}
 
 
+#: Bins in a stretch of a chromosome, in which bins and genes meet.
+GENE_STRETCH = 256
+
+
 def by_gene(df: DataFrame, ignore: tuple[str, ...] = IGNORED_GENES) -> DataFrame:
     """AGG-21: (bins with) gene_run and gene_name: spans from a gene's first to its last bin in each
     chromosome; bins outside all of them are off-target runs. A bin in two genes comes twice."""
@@ -130,7 +150,10 @@ def by_gene(df: DataFrame, ignore: tuple[str, ...] = IGNORED_GENES) -> DataFrame
         .groupBy(*keys, "gene_name")
         .agg(F.min("_rn").alias("_a"), F.max("_rn").alias("_b"))
     )
-    inside = rows.join(spans, keys).where(F.col("_rn").between(F.col("_a"), F.col("_b")))
+    # by stretches of ordinals, so that a chromosome's bins meet only the genes around them
+    stretch = lambda c: F.floor(F.col(c) / GENE_STRETCH)
+    dealt = spans.withColumn("_s", F.explode(F.sequence(stretch("_a"), stretch("_b"))))
+    inside = rows.withColumn("_s", stretch("_rn")).join(dealt, [*keys, "_s"]).where(F.col("_rn").between(F.col("_a"), F.col("_b"))).drop("_s")
     covered = inside.select(*keys, "_rn").distinct()
     outside = rows.join(covered, [*keys, "_rn"], "left_anti")
     gaps = Window.partitionBy(*keys).orderBy("_rn")
@@ -145,11 +168,13 @@ def squash_genes(df: DataFrame, summary: Callable = stats.biweight_location, squ
     rows = by_gene(df, ignore)
     keys = [*sample_keys(df), "chromosome", "gene_run", "gene_name"]
     numeric = [c for c, t in df.dtypes if t in ("double", "float") and c not in ("start", "end", "probes")]
-    kernel = stats.udaf(summary)
+    stats.bound_batches(df.sparkSession)
+    kernel = stats.of_arrays(summary)
     off = rows.where((F.col("gene_name") == OFF_TARGET) & F.lit(not squash_off_target))
     on = rows.where((F.col("gene_name") != OFF_TARGET) | F.lit(squash_off_target))
     ends = on.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("probes") if "probes" in df.columns else F.count("*")).alias("probes"))
-    values = on.groupBy(*keys).agg(*[kernel(F.col(c)).alias(c) for c in numeric])
+    lists = on.groupBy(*keys).agg(*[stats.held(c).alias(c) for c in numeric])
+    values = lists.select(*keys, *[kernel(F.col(c)).alias(c) for c in numeric])
     out = ends.join(values, keys).withColumn("gene", F.col("gene_name")).drop("gene_run", "gene_name")
     single = off.withColumn("probes", F.lit(1).cast("long") if "probes" not in df.columns else F.col("probes"))
     return out.unionByName(single.select(*out.columns))
