@@ -246,50 +246,61 @@ def records(blocks: Blocks, at: int, inside: int, stop: tuple[int, int], names:
 
 
 def bins_of(start: int, end: int) -> list[int]:
-    """The bins that may hold reads in a region."""
-    out, first = [], 0
-    for level, shift in enumerate(SHIFTS):
+    """The bins that may hold reads in a region; the first holds reads that fit no other, wherever they lie."""
+    out, first = [0], 1
+    for level, shift in list(enumerate(SHIFTS))[1:]:
         out += range(first + (start >> shift), first + (max(end - 1, start) >> shift) + 1)
         first += 1 << 3 * level
     return out
 
 
-def bin_of(start: int, end: int) -> int:
-    """The smallest bin that holds a read."""
-    last = max(end - 1, start)
-    first = sum(1 << 3 * level for level in range(len(SHIFTS)))
-    for level in range(len(SHIFTS) - 1, 0, -1):
-        first -= 1 << 3 * level
-        if start >> SHIFTS[level] == last >> SHIFTS[level]:
-            return first + (start >> SHIFTS[level])
-    return 0
+def bin_of(start, end):
+    """The smallest bin that holds a read, of numbers or arrays."""
+    last = np.maximum(end - 1, start)
+    out, first = np.zeros_like(last), 1
+    for level, shift in list(enumerate(SHIFTS))[1:]:
+        out = np.where(start >> shift == last >> shift, first + (start >> shift), out)
+        first += 1 << 3 * level
+    return out
 
 
-def index_bytes(references: int, places: list[tuple[int, int, int, int, int]]) -> bytes:
-    """A .bai of (reference, start, end, virtual begin, virtual end) of each read in order."""
-    of = [({}, {}) for _ in range(references)]
-    for ref, start, end, begin, after in places:
-        if ref < 0:
-            continue
-        bins, windows = of[ref]
-        chunks = bins.setdefault(bin_of(start, end), [])
-        if chunks and chunks[-1][1] == begin:
-            chunks[-1][1] = after
-        else:
-            chunks.append([begin, after])
-        for w in range(start >> 14, (max(end - 1, start) >> 14) + 1):
-            windows.setdefault(w, begin)
-    out = [b"BAI\x01", struct.pack("<i", references)]
-    for bins, windows in of:
-        out.append(struct.pack("<i", len(bins)))
-        for b in sorted(bins):
-            out.append(struct.pack("<Ii", b, len(bins[b])) + b"".join(struct.pack("<QQ", *c) for c in bins[b]))
-        line, last = [], 0
-        for w in range(max(windows) + 1 if windows else 0):
-            last = windows.get(w, last)
-            line.append(last)
-        out.append(struct.pack("<i", len(line)) + struct.pack(f"<{len(line)}Q", *line))
-    return b"".join(out)
+class Index:
+    """A .bai from the blocks of sorted reads. It grows with the bins that hold reads and the blocks, not with the reads: a bin has one stretch of a block."""
+
+    def __init__(self, references: int):
+        self.of = [({}, {}) for _ in range(references)]
+
+    def add(self, ref: np.ndarray, start: np.ndarray, end: np.ndarray, begin: np.ndarray, after: np.ndarray) -> None:
+        """Reference, start, end, virtual begin and virtual end of each read of a block in order."""
+        ref, start, end, begin, after = (a[ref >= 0] for a in (ref, start, end, begin, after))
+        bins = ref << 32 | bin_of(start, end)
+        kinds, first = np.unique(bins, return_index=True)
+        last = len(bins) - 1 - np.unique(bins[::-1], return_index=True)[1]
+        for k, a, z in zip(kinds.tolist(), begin[first].tolist(), after[last].tolist()):
+            chunks = self.of[k >> 32][0].setdefault(k & 0xFFFFFFFF, [])
+            if chunks and chunks[-1][1] >> 16 == a >> 16:
+                chunks[-1][1] = z
+            else:
+                chunks.append([a, z])
+        low = start >> SHIFTS[-1]
+        n = (np.maximum(end - 1, start) >> SHIFTS[-1]) - low + 1
+        own = np.repeat(np.arange(len(n)), n)
+        windows, first = np.unique(ref[own] << 32 | low[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), return_index=True)
+        for k, a in zip(windows.tolist(), begin[own[first]].tolist()):
+            self.of[k >> 32][1].setdefault(k & 0xFFFFFFFF, a)
+
+    def to_bytes(self) -> bytes:
+        out = [b"BAI\x01", struct.pack("<i", len(self.of))]
+        for bins, windows in self.of:
+            out.append(struct.pack("<i", len(bins)))
+            for b in sorted(bins):
+                out.append(struct.pack("<Ii", b, len(bins[b])) + b"".join(struct.pack("<QQ", *c) for c in bins[b]))
+            line, last = [], 0
+            for w in range(max(windows) + 1 if windows else 0):
+                last = windows.get(w, last)
+                line.append(last)
+            out.append(struct.pack("<i", len(line)) + struct.pack(f"<{len(line)}Q", *line))
+        return b"".join(out)
 
 
 def region_chunks(index: bytes, ref: int, start: int, end: int) -> list[tuple[int, int]]:
@@ -426,14 +437,32 @@ def read_bam(spark, path: str, region: str | None = None, split_bytes: int = SPL
 # -- sink ---------------------------------------------------------------------------------------
 
 
-def encode(name: str, flag: int, ref: int, pos: int, mapq: int, cigar: str) -> tuple[bytes, int]:
-    """A record without bases, and the length of its reference."""
+def steps_of(cigar: str) -> tuple[bytes, int]:
+    """The steps of a record, and the length of its reference."""
     steps = [(int(n), STEPS.index(s)) for n, s in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
-    length = sum(n for n, s in steps if OF_REFERENCE[s])
-    text = name.encode() + b"\0"
-    own = bin_of(max(pos, 0), max(pos, 0) + max(length, 1))
-    body = struct.pack("<iiBBHHHiiii", ref, pos, len(text), mapq, own, len(steps), flag, 0, -1, -1, 0) + text + b"".join(struct.pack("<I", n << 4 | s) for n, s in steps)
-    return struct.pack("<i", len(body)) + body, length
+    return b"".join(struct.pack("<I", n << 4 | s) for n, s in steps), sum(n for n, s in steps if OF_REFERENCE[s])
+
+
+def encode(frame: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """Rows as records without bases, and the reference, start and end of each (a row of the array for each of the three)."""
+    which, kinds = pd.factorize(frame["cigar"], use_na_sentinel=False)
+    known = [steps_of(c) for c in kinds]
+    steps = [known[k][0] for k in which]
+    name = [n.encode() + b"\0" for n in frame["name"]]
+    size = np.array([len(n) for n in name], dtype=np.int64)
+    ref, pos = frame["_ref"].fillna(-1).to_numpy(dtype=np.int64), frame["pos"].to_numpy(dtype=np.int64)
+    start = np.maximum(pos, 0)
+    end = start + np.maximum(np.array([n for _, n in known], dtype=np.int64)[which], 1)
+    own = bin_of(start, end) & 0xFFFF  # places after 2^29 have bins that do not fit; the index has them
+    count = np.array([len(s) for s in steps], dtype=np.int64) // 4
+    values = {"size": 32 + size + 4 * count, "ref": ref, "pos": pos, "name": size, "mapq": frame["mapq"].to_numpy(), "bin": own, "steps": count, "flag": frame["flag"].to_numpy(), "mate": -1, "mate_pos": -1}
+    fixed = np.zeros(len(frame), dtype=[("size", "<i4"), *FIXED.descr])
+    for field, value in values.items():
+        fixed[field] = value
+        if not (fixed[field] == value).all():
+            raise ValueError(f"a BAM file cannot hold a read's {field}: {value[fixed[field] != value][0]}")
+    raw, n = fixed.tobytes(), fixed.itemsize
+    return [raw[n * i : n * i + n] + a + b for i, (a, b) in enumerate(zip(name, steps))], np.array([ref, start, end])
 
 
 def write_bam(df: DataFrame, folder: str, references: list[tuple[str, int]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -453,43 +482,41 @@ def write_bam(df: DataFrame, folder: str, references: list[tuple[str, int]], blo
     def write(frames):
         store, base = store_of(folder)
         store.create_dir(base)
-        out, places, pending, part, count, at = None, [], [], None, 0, 0
+        out, part, count, at, index = None, None, 0, 0, Index(len(references))
 
-        def flush():
-            nonlocal at, pending
-            data = b"".join(r for r, *_ in pending)  # more than a block only where one record is
+        def flush(raw: list[bytes], places: np.ndarray) -> None:
+            nonlocal at
+            data = b"".join(raw)  # more than a block only where one record is
             made = b"".join(block(data[i : i + BLOCK_BYTES]) for i in range(0, len(data), BLOCK_BYTES))
-            inside = 0
-            for raw, ref, pos, length in pending:
-                begin, inside = at << 16 | inside, inside + len(raw)
-                places.append([ref, pos, pos + max(length, 1), begin, at << 16 | min(inside, 0xFFFF)])
-            places[-1][4] = (at + len(made)) << 16  # the next record begins in the next block
+            inside = np.cumsum([0, *map(len, raw)])
+            after = at << 16 | np.minimum(inside[1:], 0xFFFF)
+            after[-1] = (at + len(made)) << 16  # the next record begins in the next block
+            index.add(*places, at << 16 | inside[:-1], after)
             out.write(made)
-            at, pending = at + len(made), []
+            at += len(made)
 
-        held = 0
+        held, places = [], np.zeros((3, 0), dtype=np.int64)  # records of a block that more may go into
         for frame in frames:
-            for name, flag, ref, pos, mapq, cigar, own in frame.itertuples(index=False):
-                if out is None:
-                    part = f"{base}/part-{own:05d}.bam"
-                    out = store.open_output_stream(f"{part}.writing")
-                    for i in range(0, len(head), BLOCK_BYTES):
-                        made = block(head[i : i + BLOCK_BYTES])
-                        out.write(made)
-                        at += len(made)
-                raw, length = encode(name, flag, -1 if pd.isna(ref) else int(ref), pos, mapq, cigar)
-                if held + len(raw) > block_bytes and pending:
-                    flush()
-                    held = 0
-                pending.append((raw, -1 if pd.isna(ref) else int(ref), pos, length))
-                held, count = held + len(raw), count + 1
+            if out is None and len(frame):
+                part = f"{base}/part-{frame['_part'].iloc[0]:05d}.bam"
+                out = store.open_output_stream(f"{part}.writing")
+                for i in range(0, len(head), BLOCK_BYTES):
+                    made = block(head[i : i + BLOCK_BYTES])
+                    out.write(made)
+                    at += len(made)
+            raw, more = encode(frame)
+            held, places, count, i = held + raw, np.concatenate([places, more], axis=1), count + len(raw), 0
+            total = np.cumsum([0, *map(len, held)])
+            while (j := max(int(np.searchsorted(total, total[i] + block_bytes, "right")) - 1, i + 1)) < len(held):
+                flush(held[i:j], places[:, i:j])
+                i = j
+            held, places = held[i:], places[:, i:]
         if out is not None:
-            if pending:
-                flush()
+            flush(held, places)
             out.write(END_BLOCK)
             out.close()
-            with store.open_output_stream(f"{part}.bai") as index:
-                index.write(index_bytes(len(references), places))
+            with store.open_output_stream(f"{part}.bai") as file:
+                file.write(index.to_bytes())
             store.move(f"{part}.writing", part)
             yield pd.DataFrame({"path": [part], "reads": [count], "bytes": [at + len(END_BLOCK)]})
 

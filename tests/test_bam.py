@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyarrow import fs
 
@@ -97,3 +99,26 @@ def test_no_reads(spark, tmp_path):
     none = spark.createDataFrame([], "name string, flag int, chromosome string, pos long, mapq int, cigar string")
     assert bam.write_bam(none, str(tmp_path / "none"), REFERENCES).collect() == []
     assert bam.read_bam(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_the_index_does_not_grow_with_the_reads():
+    """A task kept a list of five numbers for each read of its file."""
+    index, n = bam.Index(2), 1000
+    for k in range(300):  # blocks of a thousand reads in one bin, each third one across its end
+        start = np.arange(n) // 3 + 16_000 + np.arange(n) % 3 // 2 * 380
+        begin = k << 16 | np.arange(n) * 50
+        index.add(np.full(n, 1), start, start + 10, begin, np.append(begin[1:], (k + 1) << 16))
+    bins, windows = index.of[1]
+    assert index.of[0] == ({}, {}) and sum(len(c) for c in bins.values()) < 700 and len(windows) <= 2
+    assert min(c[0][0] for c in bins.values()) == 0 and max(c[-1][1] for c in bins.values()) == 300 << 16
+
+
+def test_places_far_out(spark, tmp_path):
+    """A read over the border of the largest bins is in the first one, and a place that the format cannot hold fails."""
+    rows = [("a", 0, "chr1", (1 << 29) - 5, 9, "10M"), ("b", 0, "chr1", (1 << 29) + (1 << 26) - 5, 9, "10M"), ("c", 0, "chr1", 1_500_000_000, 9, "10M")]
+    schema = "name string, flag int, chromosome string, pos long, mapq int, cigar string"
+    bam.write_bam(spark.createDataFrame(rows, schema), str(tmp_path / "far"), [("chr1", 2_000_000_000)]).collect()
+    for name, _, _, pos, _, _ in rows:
+        assert [r["name"] for r in bam.read_bam(spark, str(tmp_path / "far"), f"chr1:{pos + 8}-{pos + 9}").collect()] == [name]
+    with pytest.raises(ValueError, match="pos"):
+        bam.encode(pd.DataFrame([("d", 0, 0, 1 << 31, 9, "10M")], columns=["name", "flag", "_ref", "pos", "mapq", "cigar"]))
