@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions import genome as g
 from ..functions import stats
+from ..sources.scratch import kept
 from .ranges import baf_by_ranges, match_reference, range_join, with_row_id
+from .robust import biweight_midvariances
 from .runs import SEGMENT_FILTERS, by_gene
 from .signal import adjust_bh, center_by_window, edge_bias, residuals
 
@@ -102,10 +104,9 @@ def apply_weights(df: DataFrame, log2: str = "ref_log2", spread: str = "ref_spre
     keys = g.sample_keys(df)
     off = F.col("gene").isin(*g.OFF_TARGET_ALIASES)
     rows = df.withColumns({"_off": off, "_root": F.sqrt((F.col("end") - F.col("start")).cast("double"))})
-    sd = stats.udaf(stats.biweight_midvariance)
     both = [*keys, "_off"]
-    var = residuals(g.drop_low_coverage(rows).withColumn("chromosome", F.concat_ws("/", F.col("chromosome"), F.col("_off").cast("string"))))
-    var = var.groupBy(*both).agg(sd("residual").alias("_sd"))
+    var = g.drop_low_coverage(rows).select(*both, F.concat_ws("/", F.col("chromosome"), F.col("_off").cast("string")).alias("chromosome"), "log2")
+    var = biweight_midvariances(residuals(var), both, "residual", "_sd")
     size = rows.groupBy(*both).agg(F.avg("_root").alias("_mean"))
     spreads = rows.groupBy(*keys).agg(
         (F.coalesce(F.max(F.col(spread) > epsilon), F.lit(False)) & F.coalesce(F.max(F.abs(F.col(log2) % 1) > epsilon), F.lit(False))).alias("_use")
@@ -119,6 +120,7 @@ def apply_weights(df: DataFrame, log2: str = "ref_log2", spread: str = "ref_spre
 def correct_bias(df: DataFrame, do_gc: bool = True, do_edge: bool = True, do_mask: bool = True, order: tuple[str, ...] = ("gc", "edge", "rmask")) -> DataFrame:
     """FIX-01/FUN-12: centre by windows along GC, edge effect and masked share; left alone where most bins are empty."""
     keys = g.sample_keys(df)
+    df = kept(df, "biased")  # read again for each step, and for the samples that no step takes
     covered = df.groupBy(*keys).agg((F.avg((F.col("log2") > g.NULL_LOG2 - g.MIN_REF_COVERAGE).cast("double")) > 0.5).alias("_covered"))
     rows = _one_row(df, covered, keys)
     good, rest = rows.where("_covered").drop("_covered"), rows.where("NOT coalesce(_covered, false)").drop("_covered")
@@ -149,8 +151,8 @@ def correct(target: DataFrame, reference: DataFrame, off_target: DataFrame | Non
     rows = one(target, True)
     if off_target is not None:
         rows = rows.unionByName(one(off_target, False), allowMissingColumns=True)
-    rows = rows.withColumn("log2", F.col("log2") - F.col("ref_log2"))
-    return center_all(apply_weights(rows), "median", skip_low=True).drop("ref_log2", "ref_spread", "ref_depth", "gc", "rmask")
+    rows = kept(rows.withColumn("log2", F.col("log2") - F.col("ref_log2")), "corrected")
+    return center_all(kept(apply_weights(rows), "weighted"), "median", skip_low=True).drop("ref_log2", "ref_spread", "ref_depth", "gc", "rmask")
 
 
 def flat_reference(regions: DataFrame, male_reference: bool = False) -> DataFrame:
@@ -192,7 +194,7 @@ def pooled_reference(samples: DataFrame, male_reference: bool = False, sexes: Da
     extras = [c for c in ("gc", "rmask") if c in samples.columns]
     if extras:
         out = out.join(samples.groupBy(*at).agg(*[F.first(c).alias(c) for c in extras]), at)
-    return out
+    return kept(out, "reference")
 
 
 def bad_bin_report(reference: DataFrame) -> DataFrame:
