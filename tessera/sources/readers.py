@@ -17,15 +17,19 @@ from pyspark.sql.window import Window
 from ..functions.genome import NULL_LOG2, file_base, from_label, heterozygous, is_autosome, tumor_boost, unpipe_name, zygosity
 
 
+#: Lines of a block at most, as a power of two: what is sorted at a time does not grow with a file or its splits.
+BLOCK_BITS = 16
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value, sample_id, _text, _block and line.
 
     _text is the file, or the folder of files part-*, which are one text in the order of their
-    names; _block is the split of it that a line was read from; in order of _block and line,
-    lines stand as in the text.
+    names; _block is a stretch of the split of it that a line was read from; in order of _block
+    and line, lines stand as in the text.
     """
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    rows = spark.read.text(path).select("value", at.alias("_block"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("line"))
+    rows = rows.withColumn("_block", F.struct(F.col("_path").alias("file"), F.col("_start").alias("start"), F.shiftright("line", BLOCK_BITS).alias("stretch"))).drop("_path", "_start")
     return rows.withColumns({"_text": F.regexp_replace("_block.file", "/part-[^/]*$", ""), "sample_id": file_base("_file")})
 
 
@@ -40,7 +44,7 @@ def carried(rows: DataFrame, mark: Column, name: Column) -> DataFrame:
     blocks = blocks.select("_block", F.last("_last", ignorenulls=True).over(before).alias("_last"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_count"))
     w = Window.partitionBy("_block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.withColumns({"_name": F.last("_own", ignorenulls=True).over(w), "_no": F.count_if("_mark").over(w)})
-    joined = inside.join(F.broadcast(blocks), "_block")  # one row for each split of a file
+    joined = inside.join(F.broadcast(blocks), "_block")  # one row for each block
     return joined.withColumns({"_name": F.coalesce("_name", "_last"), "_no": F.col("_no") + F.col("_count")}).drop("_mark", "_own", "_last", "_count")
 
 

@@ -106,3 +106,14 @@ def test_one_text_in_many_files(spark, tmp_path):
     assert readers.read_auto(spark, f"{tmp_path}/vcf").count() == 2999
     tracks = readers.bed_tracks(spark, f"{tmp_path}/bed").groupBy("track", "track_no", "gene").count().collect()
     assert {tuple(r) for r in tracks} == {("DEFAULT", 0, "a", 1), ("one", 1, "b", 1), ("one", 1, "c", 500), ("two", 2, "d", 1)}
+
+
+def test_blocks_of_a_long_file(spark, tmp_path):
+    """A block does not grow with its split; tracks go on from block to block of one."""
+    n, per = 300_000, 40_000
+    text = "".join((f'track name="t{i // per}"\n' if i % per == 0 else "") + f"chr1\t{i}\t{i + 1}\n" for i in range(n))
+    (tmp_path / "long.bed").write_text(text)
+    rows = readers.lines(spark, f"{tmp_path}/long.bed").groupBy("_block").count().collect()
+    assert sum(r["count"] for r in rows) == n + 8 and max(r["count"] for r in rows) <= 65_536
+    tracks = readers.bed_tracks(spark, f"{tmp_path}/long.bed").groupBy("track", "track_no").agg(F.min("start").alias("a"), F.max("start").alias("z"), F.count("*").alias("n")).collect()
+    assert {tuple(r) for r in tracks} == {(f"t{k}", k + 1, k * per, min(n, k * per + per) - 1, min(n, k * per + per) - k * per) for k in range(8)}
