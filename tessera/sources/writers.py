@@ -219,9 +219,11 @@ def export_nexus_ogt(bins: DataFrame, variants: DataFrame, min_weight: float = 0
 
 
 def merge_samples(bins: DataFrame, samples: list[str]) -> DataFrame:
-    """SNK-15: one log2 column for each sample; samples must have the same bins, each once."""
+    """SNK-15: one log2 column for each sample; samples must have the same bins. Repeats of a bin are rows of their own, in order of log2."""
     name = F.concat_ws(":", "chromosome", F.concat_ws("-", "start", "end"), "gene")
-    wide = bins.withColumn("label", name).groupBy("chromosome", "start", "end", "gene", "label").pivot("sample_id", samples).agg(F.struct(F.first("log2").alias("v"), F.count(F.lit(1)).alias("n")))
+    again = Window.partitionBy("sample_id", "chromosome", "start", "end", "gene").orderBy("log2")
+    rows = bins.withColumns({"label": name, "_again": F.row_number().over(again)})
+    wide = rows.groupBy("chromosome", "start", "end", "gene", "label", "_again").pivot("sample_id", samples).agg(F.struct(F.first("log2").alias("v"), F.count(F.lit(1)).alias("n")))
     wrong = F.lit(False)
     for s in samples:
         wrong = wrong | F.col(f"`{s}`.n").isNull() | (F.col(f"`{s}`.n") != 1)

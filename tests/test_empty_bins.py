@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tessera import catalog, catalog_more, catalog_order, catalog_sources  # noqa: E402, F401
 from tessera.functions import kernels, stats  # noqa: E402
 from tessera.operators import copynum, runs  # noqa: E402
-from tessera.sources import readers  # noqa: E402
+from tessera.sources import readers, writers  # noqa: E402
 from tessera.sources.views import log2  # noqa: E402
 
 NAMES = (
@@ -127,3 +127,12 @@ def test_median_of_a_chromosome_without_values(spark, tmp_path):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t == 'events' else '/root/testdata/sf0.001'}/{t}.parquet'")
     want = db.execute(catalog.ORACLE_SQL["sta_weighted_median"]).fetchall()
     assert sorted(map(tuple, catalog.QUERIES["sta_weighted_median"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) > 5
+
+
+def test_repeated_bins_of_samples(spark):
+    """Repeats are rows of their own if all samples have them; else the samples do not have the same bins."""
+    rows = [(s, "chr1", at, at + 5, "g", float(v + k)) for k, s in enumerate(("a", "b")) for at, v in ((0, 1), (0, 3), (9, 2))]
+    frame = spark.createDataFrame(rows, "sample_id string, chromosome string, start long, end long, gene string, log2 double")
+    assert sorted((r["Name"], r["a"], r["b"]) for r in writers.export_jtv(frame, ["a", "b"]).collect()) == [("chr1:0-5:g", 1.0, 2.0), ("chr1:0-5:g", 3.0, 4.0), ("chr1:9-14:g", 2.0, 3.0)]
+    with pytest.raises(Exception, match="same bins"):
+        writers.export_jtv(frame.where("NOT (sample_id = 'b' AND log2 = 4)"), ["a", "b"]).collect()
