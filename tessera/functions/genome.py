@@ -67,9 +67,9 @@ def canonical_order(df: DataFrame, required: tuple[str, ...] = ("chromosome", "s
 
 
 def label(chromosome: Column | str = "chromosome", start: Column | str = "start", end: Column | str = "end") -> Column:
-    """PRJ-08: chr:start-end with a 1-based start."""
+    """PRJ-08: chr:start-end with a 1-based start; NULL where one of them is missing."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    return F.format_string("%s:%d-%d", col(chromosome), col(start) + 1, col(end))
+    return F.concat(col(chromosome), F.lit(":"), (col(start) + 1).cast("string"), F.lit("-"), col(end).cast("string"))
 
 
 LABEL = r"^(\w[\w.]*)?:(\d+)?-(\d+)?\s*(\S+)?"

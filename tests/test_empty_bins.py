@@ -169,3 +169,15 @@ def test_logarithm_of_extremes(spark):
     want = [None if v is None else duckdb.execute("SELECT log2(?::DOUBLE)", [v]).fetchone()[0] for v in values]
     assert got[-1] is None and want[-1] is None
     np.testing.assert_allclose(got[:-1], want[:-1], rtol=1e-15)
+
+
+@pytest.mark.parametrize("name", ("snk_nexus_basic", "prj_labels", "fun_shift_sex_chroms", "prj_shift_xx"))
+def test_missing_chromosome_against_sql(spark, tmp_path, name):
+    """A label has no place without a chromosome; it read null:1-null."""
+    db = duckdb.connect()
+    db.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id%10<>3 THEN user_id END AS user_id) FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'")
+    for t in ("events", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t == 'events' else '/root/testdata/sf0.001'}/{t}.parquet'")
+    want = db.execute(catalog.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in catalog.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())
