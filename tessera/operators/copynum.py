@@ -99,13 +99,13 @@ def average_depth(counts: DataFrame, read_length: float) -> DataFrame:
     return rows.groupBy().agg(median("d", "w").alias("depth"))
 
 
-def apply_weights(df: DataFrame, log2: str = "ref_log2", spread: str = "ref_spread", epsilon: float = 1e-4) -> DataFrame:
-    """STA-20: weights by bin size and variance, and by the reference's spread where it has one."""
+def apply_weights(df: DataFrame, log2: str = "ref_log2", spread: str = "ref_spread", epsilon: float = 1e-4, skip_low: bool = True) -> DataFrame:
+    """STA-20: weights by bin size and variance (of covered bins, or all), and by the reference's spread where it has one."""
     keys = g.sample_keys(df)
     off = F.col("gene").isin(*g.OFF_TARGET_ALIASES)
     rows = df.withColumns({"_off": off, "_root": F.sqrt((F.col("end") - F.col("start")).cast("double"))})
     both = [*keys, "_off"]
-    var = g.drop_low_coverage(rows).select(*both, F.concat_ws("/", F.col("chromosome"), F.col("_off").cast("string")).alias("chromosome"), "log2")
+    var = (g.drop_low_coverage(rows) if skip_low else rows).select(*both, F.concat_ws("/", F.col("chromosome"), F.col("_off").cast("string")).alias("chromosome"), "log2")
     var = biweight_midvariances(residuals(var), both, "residual", "_sd")
     size = rows.groupBy(*both).agg(F.avg("_root").alias("_mean"))
     spreads = rows.groupBy(*keys).agg(

@@ -181,3 +181,19 @@ def test_missing_chromosome_against_sql(spark, tmp_path, name):
     want = db.execute(catalog.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in catalog.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())
+
+
+@pytest.fixture(scope="module")
+def many_empty(spark, tmp_path_factory):
+    """The tables of sf0.01 with a value of 0 in every eleventh bin: medians move."""
+    out = str(tmp_path_factory.mktemp("many_empty"))
+    db = duckdb.connect()
+    db.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id%11=7 THEN 0 ELSE value END AS value) FROM '/root/testdata/sf0.01/events.parquet') TO '{out}/events.parquet'")
+    for t in ("orders", "lineitem", "nation", "part"):
+        db.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.01/{t}.parquet') TO '{out}/{t}.parquet'")
+    return out
+
+
+def test_weights_with_many_empty_bins(spark, many_empty, tmp_path):
+    """The query's SQL takes empty bins into its medians; the reference leaves them out."""
+    test_query_against_sql(spark, many_empty, "sta_apply_weights", tmp_path)
