@@ -9,7 +9,7 @@ from .catalog import CALLS, calls, query, r6
 from .functions import genome as g
 from .sources import readers, writers
 from .sources.scratch import scratch
-from .sources.views import bins, regions
+from .sources.views import bins, regions, rounded
 
 
 def text_file(spark: SparkSession, rows: DataFrame, *head: str) -> str:
@@ -49,7 +49,7 @@ def six(x: str, name: str) -> str:
 def src_tab(spark, sf):
     rows = bins(spark, sf).withColumn("log2", F.when(F.col("row_id") % 5 != 0, F.col("log2"))).drop("row_id")
     back = readers.read_table(spark, table_file(rows, "tab"), "tab")
-    return back.select("chromosome", "start", "end", "gene", r6("log2", "log2"), r6("depth", "depth"), F.round("weight", 4).alias("weight"))
+    return back.select("chromosome", "start", "end", "gene", r6("log2", "log2"), r6("depth", "depth"), rounded("weight", 4).alias("weight"))
 
 
 def _bed(spark, sf) -> str:
