@@ -121,7 +121,7 @@ def src_picard_hs(spark, sf):
 def src_import_picard(spark, sf):
     piped = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("-|"), F.lit("long_"), F.col("gene"), F.lit("|x"))).otherwise(F.col("gene"))
     back = readers.import_picard(spark, table_file(bins(spark, sf).withColumn("gene", piped), "picardhs"), empty=float("-inf"))
-    return back.select("chromosome", "start", "gene", F.round("log2", 4).alias("log2"))
+    return back.select("chromosome", "start", "gene", rounded("log2", 4).alias("log2"))
 
 
 def _refflat(spark, sf) -> str:

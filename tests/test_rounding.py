@@ -55,3 +55,8 @@ def test_rounded_as_in_sql(spark):
 
 def test_table_with_halves(spark, made, tmp_path):
     same_text(spark, made["halves"], "src_tab", tmp_path)
+
+
+def test_ratios_near_the_mean(spark, made, tmp_path):
+    """Log-ratios that round to a negative 0."""
+    same_text(spark, made["near_mean"], "src_import_picard", tmp_path)
