@@ -11,7 +11,7 @@ from .functions import genome as g
 from .functions import stats
 from .operators import copynum, coverage, intervals, ranges, runs, segment, signal
 from .sources import writers
-from .sources.views import SQL_VIEWS, bins, log2, regions, variants
+from .sources.views import SQL_VIEWS, bins, log2, regions, rounded, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,7 +38,7 @@ CALLS = """, seg AS (SELECT r.*, round(log2(o.o_totalprice/100000),3) AS log2, C
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions with a log-ratio, taken as segments."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), F.round(log2(F.col("o_totalprice") / 100000), 3).alias("log2"), (F.col("o_custkey") % 40 + 1).alias("probes"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), rounded(log2(F.col("o_totalprice") / 100000), 3).alias("log2"), (F.col("o_custkey") % 40 + 1).alias("probes"))
     return regions(spark, sf_dir).join(o, "row_id").select("chromosome", "start", "end", "gene", "row_id", "log2", "probes")
 
 

@@ -15,14 +15,14 @@ from ..operators.ranges import range_join, with_row_id
 
 
 def short_float(c: Column) -> Column:
-    """%.6g as other tools print it: six significant digits, no trailing zeros; inf and -inf."""
+    """%.6g as other tools print it: six significant digits, no trailing zeros; -0, inf and -inf."""
     e = F.floor(F.log10(F.abs(c)))
     plain = (e >= -5) & (e < 6)
     rounded = F.regexp_replace(F.format_string("%.6g", c), r"(\.\d*?)0+$", "$1")
     text = F.regexp_replace(rounded, r"\.$", "")
     science = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", c), r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
     endless = F.abs(c) == float("inf")
-    return F.when(c.isNull(), None).when(c == 0, F.lit("0")).when(endless, F.when(c < 0, "-inf").otherwise("inf")).when(plain, text).otherwise(science)
+    return F.when(c.isNull(), None).when(c == 0, F.when(c.cast("string").startswith("-"), "-0").otherwise("0")).when(endless, F.when(c < 0, "-inf").otherwise("inf")).when(plain, text).otherwise(science)
 
 
 def as_text(df: DataFrame) -> DataFrame:

@@ -60,3 +60,7 @@ def test_table_with_halves(spark, made, tmp_path):
 def test_ratios_near_the_mean(spark, made, tmp_path):
     """Log-ratios that round to a negative 0."""
     same_text(spark, made["near_mean"], "src_import_picard", tmp_path)
+
+
+def test_calls_near_one(spark, made, tmp_path):
+    same_text(spark, made["near_one"], "snk_vcf", tmp_path)
