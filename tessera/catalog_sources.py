@@ -152,7 +152,7 @@ def _seg(spark, sf) -> str:
 
 @query(CALLS + """ SELECT 's' || CAST(row_id%3 AS VARCHAR) AS sample_id, chromosome, start, "end", '-' AS gene, round(log2,6) AS log2, probes FROM seg""")
 def src_seg(spark, sf):
-    return readers.read_seg(spark, _seg(spark, sf), every=True).withColumn("log2", F.round("log2", 6))
+    return readers.read_seg(spark, _seg(spark, sf), every=True).withColumn("log2", rounded("log2", 6))
 
 
 @query(CALLS + """ SELECT 'X' || chromosome AS chromosome, start, "end", round(log2*log2(10),6) AS log2 FROM seg WHERE row_id%3=1""")

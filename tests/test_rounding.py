@@ -18,6 +18,7 @@ MADE = {
     "halves": ("events", "value", "CASE WHEN event_id%7=0 THEN 40.58 WHEN event_id%7=1 THEN 11.07 ELSE value END"),
     "near_mean": ("events", "value", "10+(event_id%2)*0.0002::DOUBLE"),
     "near_one": ("orders", "o_totalprice", "CASE WHEN o_custkey%24=23 THEN 99999 ELSE o_totalprice END"),
+    "near_center": ("events", "value", "10+CAST(event_id%3>0 AS INTEGER)*0.000001::DOUBLE"),
     "near_64": ("events", "value", "CASE WHEN event_id%7=0 THEN 63.99999 WHEN event_id%7=1 THEN 0.9999999 WHEN event_id%7=2 THEN 0.4999999 ELSE value END"),
 }
 
@@ -64,3 +65,13 @@ def test_ratios_near_the_mean(spark, made, tmp_path):
 
 def test_calls_near_one(spark, made, tmp_path):
     same_text(spark, made["near_one"], "snk_vcf", tmp_path)
+
+
+@pytest.mark.parametrize("name", ["agg_squash_runs", "fun_shift_sex_chroms", "prj_shift_xx", "rng_match_reference", "snk_jtv", "snk_nexus_basic"])
+def test_values_near_powers_of_two(spark, made, tmp_path, name):
+    same_text(spark, made["near_64"], name, tmp_path)
+
+
+@pytest.mark.parametrize("name", ["sta_center_all", "sta_center_median"])
+def test_values_near_the_center(spark, made, tmp_path, name):
+    same_text(spark, made["near_center"], name, tmp_path)
