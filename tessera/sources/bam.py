@@ -13,7 +13,9 @@ gathered at once. Files are opened through pyarrow.fs, so any store that it reac
     spark.read.format("bam").option("region", "chr2:1000-2000").load(folder)
 
 Defined results: reads without a place have a null chromosome and pos -1; a file without
-records gives no rows; a folder stands for the .bam files in it; a file cut short raises.
+records gives no rows; a folder stands for the .bam files in it; a file cut short raises. A
+reference of 2^31 places or more, which no record can hold, is written as pieces, references
+named NAME~at0, NAME~at536870912 and so on by their first place, and is read as NAME again.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ UNMAPPED, SECONDARY, QCFAIL, DUPLICATE = 0x4, 0x100, 0x200, 0x400
 SHIFTS = (29, 26, 23, 20, 17, 14)
 #: Bytes of records in a block, of a file in a split, and records in an Arrow batch; records that must chain where a split begins.
 BLOCK_BYTES, SPLIT_BYTES, BATCH, CHAIN = 60_000, 32 << 20, 20_000, 4
+#: Places that a record can hold, and places of a piece of a longer reference.
+MOST, PIECE = 1 << 31, 1 << 29
 FIXED = np.dtype([("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("steps", "<u2"), ("flag", "<u2"), ("bases", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("length", "<i4")])
 
 
@@ -120,6 +124,23 @@ class Blocks:
             held, begin = held[n:], begin + n
 
 
+# -- references ---------------------------------------------------------------------------------
+
+
+def pieces(references: list[tuple[str, int]]) -> list[tuple[str, int, str, int]]:
+    """name, first place, name in the file and size of each reference, or of each piece of one that is too long."""
+    out = []
+    for n, size in references:
+        out += [(n, 0, n, size)] if size < MOST else [(n, at, f"{n}~at{at}", min(PIECE, size - at)) for at in range(0, size, PIECE)]
+    return out
+
+
+def home_of(name: str) -> tuple[str, int]:
+    """The reference, and the first place in it, of a name in a file."""
+    m = re.fullmatch(r"(.+)~at(\d+)", name)
+    return (m[1], int(m[2])) if m else (name, 0)
+
+
 # -- records ------------------------------------------------------------------------------------
 
 
@@ -200,9 +221,11 @@ def decode(data: bytes, starts: np.ndarray, names: list[str]) -> pa.RecordBatch:
     cigar = ["".join(written[e - n : e]) or "*" for e, n in zip(ends, steps)]
     name = [data[s + FIXED.itemsize : s + FIXED.itemsize + n - 1].decode() for s, n in zip(starts.tolist(), fixed["name"].tolist())]
     flag, bases = fixed["flag"].astype(np.int32), fixed["bases"].astype(np.int64)
-    chromosome = pa.array(names, pa.string()).take(pa.array(fixed["ref"], mask=fixed["ref"] < 0)) if names else pa.nulls(len(starts), pa.string())
+    homes = [home_of(n) for n in names]
+    chromosome = pa.array([n for n, _ in homes], pa.string()).take(pa.array(fixed["ref"], mask=fixed["ref"] < 0)) if names else pa.nulls(len(starts), pa.string())
+    offset = np.array([*[at for _, at in homes], 0], dtype=np.int64)  # the last is of reads without a reference (-1)
     columns = [
-        chromosome, pa.array(fixed["pos"].astype(np.int64)), pa.array(total(OF_REFERENCE).astype(np.int32)), pa.array(np.where(bases > 0, bases, total(OF_READ)).astype(np.int32)),
+        chromosome, pa.array(fixed["pos"] + offset[fixed["ref"]]), pa.array(total(OF_REFERENCE).astype(np.int32)), pa.array(np.where(bases > 0, bases, total(OF_READ)).astype(np.int32)),
         pa.array(fixed["mapq"].astype(np.int32)), pa.array(flag), *[pa.array((flag & bit) > 0) for bit in (DUPLICATE, SECONDARY, UNMAPPED, QCFAIL)], pa.array(name, pa.string()), pa.array(cigar, pa.string()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -357,6 +380,8 @@ class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitbytes", SPLIT_BYTES))
         self.region = parse_region(options["region"]) if options.get("region") else None
+        if self.region and not re.fullmatch(r".+:[\d,]+-[\d,]+", options["region"].strip()):
+            self.region = *self.region[:2], 1 << 62  # to the end, wherever it is
 
     def partitions(self) -> list[Split]:
         store, path = store_of(self.path)
@@ -368,11 +393,14 @@ class BamReader(DataSourceReader):
                 out += [Split(f.path, at, min(at + self.split, f.size)) for at in range(0, f.size, self.split)]
                 continue
             with store.open_input_file(f.path) as file:
-                names = [n for n, _ in read_header(Blocks(file, f.size))[0]]
-            if self.region[0] not in names:
+                homes = [home_of(n) for n, _ in read_header(Blocks(file, f.size))[0]]
+            name, start, end = self.region
+            mine = [(i, at) for i, (n, at) in enumerate(homes) if n == name and at < end]
+            if not mine:
                 continue
             with store.open_input_file(f"{f.path}.bai") as file:
-                chunks = region_chunks(file.read(), names.index(self.region[0]), *self.region[1:])
+                index = file.read()
+            chunks = [c for i, at in mine for c in region_chunks(index, i, max(start - at, 0), min(end - at, MOST)) if start - at < MOST]
             out += [Split(f.path, c[0] >> 16, c[1] >> 16, c[0] & 0xFFFF, c[1] & 0xFFFF) for c in chunks]
         return out or [Split("", 0, 0)]
 
@@ -471,13 +499,19 @@ def write_bam(df: DataFrame, folder: str, references: list[tuple[str, int]], blo
     A task writes a file of its range of places, under a name of its own until it is whole, so
     a task that is run again leaves one file. Reads without a known chromosome come last.
     """
-    place = {n: i for i, (n, _) in enumerate(references)}
+    parts = pieces(references)
+    names, long_ = [n for n, *_ in parts], [n for n, size in references if size >= MOST]
+    place = {n: names.index(n) for n, _ in references}
+    references = [(n, size) for _, _, n, size in parts]
     text = "".join(["@HD\tVN:1.6\tSO:coordinate\n", *[f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in references]]).encode()
     head = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(references))
     head += b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in references)
     number = F.element_at(F.create_map(*[x for n, i in place.items() for x in (F.lit(n), F.lit(i))]), F.col("chromosome"))
+    which = F.lit(0)
+    for n in long_:
+        which = F.when((F.col("chromosome") == n) & (F.col("pos") >= 0), F.least(F.floor(F.col("pos") / PIECE), F.lit(names.count(n) - 1))).otherwise(which)
     order = [F.col("_ref").asc_nulls_last(), "pos", "name"]
-    ranged = df.select("name", "flag", number.alias("_ref"), "pos", "mapq", "cigar").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = df.select("name", "flag", (number + which).alias("_ref"), (F.col("pos") - which * F.lit(PIECE).cast("long")).alias("pos"), "mapq", "cigar").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
 
     def write(frames):
         store, base = store_of(folder)
