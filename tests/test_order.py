@@ -104,6 +104,34 @@ def test_forward_and_backward_scans(n):
         assert g == pytest.approx(w)
 
 
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 17, 50])
+def test_scans_in_stretches(n, monkeypatch):
+    rng = np.random.RandomState(n)
+    model = markov.Model(np.array([0.2, 0.5, 0.3]), rng.dirichlet([5, 2, 1], 3), np.array([-1.0, 0.0, 0.6]), np.array([0.1, 0.2, 0.3]))
+    x = rng.randn(n)
+    if n > 6:
+        x[[2, 5]] = np.nan
+    want, sums = markov.posterior(x, model), markov.statistics(x, model)
+    monkeypatch.setattr(markov, "STRETCH", 5)
+    for g, w in zip(markov.posterior(x, model), want):
+        assert g == pytest.approx(w, rel=1e-12)
+    assert markov.statistics(x, model) == pytest.approx(sums, rel=1e-12)
+    state, certainty = markov.likeliest(x, model)
+    assert (state == want[0].argmax(axis=1)).all() and certainty == pytest.approx(want[0].max(axis=1))
+
+
+def test_states_of_a_long_arm_are_not_held_at_once():
+    """An arm of a million places took 168 MB beside its values."""
+    import tracemalloc
+
+    x = np.random.RandomState(1).randn(1_000_000)
+    tracemalloc.start()
+    markov.statistics(x, markov.initial((-1.0, 0.0, 0.585), 0.5))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+
+
 def test_far_values_do_not_underflow():
     both, _, fit = markov.posterior(np.array([0.0, 1e6, -1e6, 0.0]), markov.initial((-1.0, 0.0, 0.585), 0.1))
     assert np.isfinite(both).all() and np.isfinite(fit)
